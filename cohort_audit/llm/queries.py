@@ -7,9 +7,23 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import base, bpe, packing, tokenids
+from . import base, bpe, langid, media, packing, quality, tokenids, toxicity, unigram
 
-WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
+WORD_BPE, BYTE_BPE, PIECES = "word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = base.read_documents(spark, sf_dir)
+    models = langid.fit(docs.where(~langid.held_out()))
+    return langid.identify(docs, models).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.token_counts(base.read_documents(spark, sf_dir), public_tokenizers.path(PIECES))
+
+
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.document_media(base.read_documents(spark, sf_dir))
 
 
 def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,8 +38,19 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(base.read_documents(spark, sf_dir), public_tokenizers.path(WORD_BPE))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(base.read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = base.read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held = langid.held_out(folds=3, fold=1)
+    scored = toxicity.score(docs, toxicity.fit(docs, labels.where(~held)))
+    return scored.select("doc_id", held.alias("held_out"), "score", "predicted", "evidence")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_token_ids, op7_packing, op8_bpe)}
+    return {f.__name__: f for f in (op2_language, op4_token_counts, op5_media, op6_token_ids, op7_packing, op8_bpe, op9_quality, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
