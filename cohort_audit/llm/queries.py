@@ -7,17 +7,25 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import base, bpe, langid, media, packing, quality, tokenids, toxicity, unigram
+from . import base, bpe, langid, media, minhash, packing, quality, suffixes, tokenids, toxicity, unigram
 
 WORD_BPE, BYTE_BPE, PIECES = "word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(base.read_documents(spark, sf_dir))
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = base.read_documents(spark, sf_dir)
     models = langid.fit(docs.where(~langid.held_out()))
     return langid.identify(docs, models).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.removed(base.read_documents(spark, sf_dir))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.token_counts(base.read_documents(spark, sf_dir), public_tokenizers.path(PIECES))
 
@@ -50,7 +58,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language, op4_token_counts, op5_media, op6_token_ids, op7_packing, op8_bpe, op9_quality, op10_toxicity)}
+    return {f.__name__: f for f in (op1_near_duplicates, op2_language, op3_repeats, op4_token_counts, op5_media, op6_token_ids, op7_packing, op8_bpe, op9_quality, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
