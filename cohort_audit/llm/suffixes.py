@@ -41,12 +41,12 @@ BLOCK_BYTES = 3 << 20
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Suffix array of symbols below 512 by prefix doubling; only groups still tied are sorted again."""
+    """Suffix array of symbols below 511 by prefix doubling; only groups still tied are sorted again."""
     n = len(text)
     key = np.zeros(n, np.int64)
     for i in range(7):
         key <<= 9
-        key[: n - i] |= text[i:]
+        key[: n - i] |= text[i:] + 1  # 0 is past the end
     order = np.argsort(key)
     slots = np.arange(n)
     sa, rank, h = order.copy(), np.zeros(n, np.int64), 7
