@@ -30,7 +30,7 @@ ORDER = 4
 #: Labelled documents of a language that a model is fitted on.
 PER_LANGUAGE = 1500
 #: Share of the calibration rows of a language that may be rejected, and the least distance that rejects.
-REJECT_SHARE, REJECT_LEAST = 0.001, 8.0
+REJECT_SHARE, REJECT_LEAST = 0.001, 12.0
 SPACE = 32
 
 
