@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import base
+from . import base, minhash
 
 EXAMPLES, NEIGHBOURS, BLOCK = 20_000, 15, 128
 #: Selected terms at most, and terms of toxic rows that are tested at most (those in most rows).
@@ -174,6 +174,33 @@ def build(rows: list[tuple[int, int, dict[str, int]]], total: int, df: dict[str,
     return index
 
 
+def _first_of_copies(texts: DataFrame, keys: int = 4) -> list[int]:
+    """Ids of the bounded sample without its near copies: a text stays if no text of a lower id shares one of its least shingle hashes.
+
+    Else a term of one much-copied toxic text would look like a mark of many toxic texts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, off in base.byte_chunks(batch):
+                h, row = minhash.shingle_hashes(*minhash.word_hashes(data, off))
+                least = np.zeros((hi - lo, keys), np.uint64)
+                for k in range(keys):
+                    least[:, k] = np.iinfo(np.uint64).max
+                    np.minimum.at(least[:, k], row, base.mix(h, 400 + k))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1) * keys, pa.int32()), base.to_long(least.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), lists], ["doc_id", "least"])
+
+    seen: set[tuple[int, int]] = set()
+    kept = []
+    for r in sorted(texts.select("doc_id", "text").mapInArrow(run, "doc_id long, least array<long>").collect()):
+        own = set(enumerate(r["least"]))
+        if not own & seen:
+            kept.append(r["doc_id"])
+        seen |= own
+    return sorted(set(kept))
+
+
 def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index | None:
     """An index from the labelled rows of ``labels`` (doc_id, toxic), at most ``examples`` of them."""
     spark = docs.sparkSession
@@ -181,7 +208,8 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index |
     sample = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(examples)
     # At most ``examples`` ids and labels: their size is bounded, so they may be broadcast.
     sample = spark.createDataFrame([tuple(r) for r in sample.collect()], "doc_id long, toxic int")
-    texts = base.id_text(docs).join(F.broadcast(sample), "doc_id").where(F.col("text").isNotNull())
+    texts = base.stored(base.id_text(docs).join(F.broadcast(sample), "doc_id").where(F.col("text").isNotNull()), "labelled")
+    texts = texts.join(F.broadcast(spark.createDataFrame([(i,) for i in _first_of_copies(texts)], "doc_id long")), "doc_id")
 
     def count(toxic: bool, among: set[str] | None) -> Counter:
         heads = None if among is None else {t.rstrip("*")[:4] for t in among}
