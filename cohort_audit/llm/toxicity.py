@@ -1,8 +1,8 @@
 """Operator 10 - toxicity by nearest labelled examples under exact TF-IDF cosine.
 
 Terms are lower-case words and their beginnings of 4 to 6 letters. From a bounded sample of labelled rows (``EXAMPLES``,
-those with the smallest hash of their id) the terms whose link with the label is significant after a Bonferroni correction
-are selected; examples are TF-IDF vectors of unit length over them. Postings lie in blocks of ``BLOCK`` examples, and each
+those with the smallest hash of their id) the terms whose link with the label is significant, at a false discovery rate of
+``ALPHA``, are selected; examples are TF-IDF vectors of unit length over them. Postings lie in blocks of ``BLOCK`` examples, and each
 (term, block) keeps its greatest weight: a query takes blocks by falling upper bound and stops when none can still reach
 its k-th best, so the top k are exact. The neighbours vote with squared cosines; a monotone (isotonic) map, fitted to
 leave-one-out votes of the sample, turns the vote into the score.
@@ -29,7 +29,7 @@ from . import base, minhash
 
 EXAMPLES, NEIGHBOURS, BLOCK = 20_000, 15, 128
 #: Selected terms at most, and terms of toxic rows that are tested at most (those in most rows).
-TERMS, TESTED, LEAST_ROWS, ALPHA = 4000, 50_000, 3, 0.05
+TERMS, TESTED, LEAST_ROWS, ALPHA = 4000, 50_000, 3, 0.01
 HEADS = (4, 5, 6)
 THRESHOLD = 0.7
 _WORD = re.compile(r"[^\W\d_]+")
@@ -236,14 +236,18 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index |
         return None
     rate = bad[""] / (bad[""] + good[""])
     tested = max(1, len(bad) - 1)
+    limit = -math.inf
     strength = {t: _tail(k, k + good[t], rate) for t, k in bad.items() if t and k > good[t]}
     main: dict[str, int] = {}  # the rows of the most frequent word with a beginning
     for w, n in bad.items():
         for k in HEADS if not w.endswith("*") else ():
             if len(w) >= k:
                 main[w[:k] + "*"] = max(main.get(w[:k] + "*", 0), n)
+    for i, x in enumerate(sorted(strength.values()), 1):  # Benjamini and Hochberg's step-up rule
+        if x <= math.log10(ALPHA * i / tested):
+            limit = x
     # A beginning says more than its words only if no single word makes up half of it.
-    chosen = sorted((t for t, x in strength.items() if x < math.log10(ALPHA / tested) and main.get(t, 0) * 2 < bad[t]), key=lambda t: (strength[t], t))[:TERMS]
+    chosen = sorted((t for t, x in strength.items() if x <= limit and main.get(t, 0) * 2 < bad[t]), key=lambda t: (strength[t], t))[:TERMS]
     pool = set(chosen)
     heads = {t.rstrip("*")[:4] for t in chosen}
 
