@@ -77,6 +77,60 @@ def bootstrap_auroc(df: DataFrame, attributes: Sequence[str] = (), replicates: i
     return _chunks(hist, replicates).groupBy("attribute", "group", "chunk").applyInPandas(draw, "attribute string, group string, replicate long, value double")
 
 
+def _weighted_ace(scores: np.ndarray, n: np.ndarray, k: np.ndarray, bins: int, least: int) -> float:
+    """Adaptive calibration error of counts by ascending score; nan if no bin is large enough."""
+    cum = np.cumsum(n)
+    total = cum[-1]
+    if total <= 0:
+        return float("nan")
+    h = (total - 1) * np.arange(bins + 1) / bins
+    low, high = (scores[np.searchsorted(cum, np.floor(h) + 1e-9, "right").clip(0, len(scores) - 1)], scores[np.searchsorted(cum, np.ceil(h) + 1e-9, "right").clip(0, len(scores) - 1)])
+    edges = np.unique(low + (high - low) * (h - np.floor(h)))
+    at = np.searchsorted(edges[1:-1], scores, "right")
+    size, pos, sum_p = (np.bincount(at, w, minlength=1) for w in (n, k, n * scores))
+    ok = size >= least
+    return float(np.abs(pos - sum_p)[ok].sum() / size[ok].sum()) if ok.any() else float("nan")
+
+
+def bootstrap_ace(df: DataFrame, attributes: Sequence[str] = (), replicates: int = C.N_BOOTSTRAP, seed: int = C.SEED, clusters: bool = False, bins: int = C.BINS, least: int = 5, resolution: int = 2000) -> DataFrame:
+    """Samples of the adaptive calibration error: attribute, group, replicate, value.
+
+    Scores are counted in at most ``resolution`` steps a group. Rows are resampled by multinomial counts; with ``clusters``
+    whole clusters (column ``cluster``) have Poisson(1) weights instead.
+    """
+    stepped = df.withColumn("p", F.round(F.col("p") * resolution) / resolution)
+    schema = "attribute string, group string, replicate long, value double"
+    if clusters:
+        rows = groups.long(stepped, attributes, "p", "y", "cluster").groupBy("attribute", "group", "cluster", "p").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("k"))
+        reps = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+        w = _weight(F.col("cluster"), F.col("replicate"), seed)
+        hist = reps.groupBy("attribute", "group", "replicate", "p").agg(F.sum(F.col("n") * w).alias("n"), F.sum(F.col("k") * w).alias("k")).where("n > 0")
+
+        def one(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("p")
+            v = _weighted_ace(pdf["p"].to_numpy(), pdf["n"].to_numpy().astype(float), pdf["k"].to_numpy().astype(float), bins, least)
+            return pdf.iloc[:1][["attribute", "group", "replicate"]].assign(value=v)
+
+        return hist.groupBy("attribute", "group", "replicate").applyInPandas(one, schema).where(~F.isnan("value"))
+
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, g, chunk = pdf["attribute"].iloc[0], pdf["group"].iloc[0], int(pdf["chunk"].iloc[0])
+        pdf = pdf.sort_values("p")
+        k, x = pdf["k"].to_numpy(), pdf["p"].to_numpy()
+        both = np.concatenate([pdf["n"].to_numpy() - k, k])
+        size = min(CHUNK, replicates - chunk * CHUNK)
+        s = _generator(seed, "ace", a, g, chunk).multinomial(both.sum(), both / both.sum(), size).astype(float)
+        v = np.array([_weighted_ace(x, r[: len(x)] + r[len(x) :], r[len(x) :], bins, least) for r in s])
+        return pd.DataFrame({"attribute": a, "group": g, "replicate": chunk * CHUNK + np.arange(size), "value": v}).dropna()
+
+    return _chunks(groups.histogram(stepped, attributes), replicates).groupBy("attribute", "group", "chunk").applyInPandas(draw, schema)
+
+
+def gap_samples(samples: DataFrame) -> DataFrame:
+    """Greatest less least value over the groups of an attribute, in each replicate."""
+    return samples.where(F.col("attribute") != C.OVERALL).groupBy("attribute", "replicate").agg((F.max("value") - F.min("value")).alias("value"))
+
+
 def bootstrap_confusion(cells: DataFrame, replicates: int = C.N_BOOTSTRAP, seed: int = C.SEED, stratified: bool = False) -> DataFrame:
     """Samples of sensitivity, specificity, ppv and npv, drawn from the four cells alone; 0 on an empty denominator."""
 
@@ -176,3 +230,9 @@ def permutation_test(df: DataFrame, attribute: str, metric: str = "tpr", thresho
     null = spread.where("rep > 0").crossJoin(F.broadcast(obs))  # one row
     q = F.percentile("v", F.array(F.lit(0.025), F.lit(0.975)))
     return null.groupBy("observed").agg(((1 + F.count_if(F.col("v") >= F.col("observed"))) / (1 + F.count(F.lit(1)))).alias("p_value"), q.alias("q"), F.count(F.lit(1)).alias("n_permutations")).select(F.lit(metric).alias("metric"), "observed", "p_value", F.col("q")[0].alias("null_lower"), F.col("q")[1].alias("null_upper"), "n_permutations")
+
+
+def permutation_test_arrays(spark, y_true: Sequence[int], y_pred: Sequence[int], labels: Sequence[str], metric: str = "selection_rate", permutations: int = 1000, seed: int = C.SEED) -> DataFrame:
+    """:func:`permutation_test` on plain sequences, each row its own cluster."""
+    rows = [(str(i), float(p), int(y), str(g)) for i, (y, p, g) in enumerate(zip(y_true, y_pred, labels, strict=True))]
+    return permutation_test(spark.createDataFrame(rows, "cluster string, p double, y int, g string"), "g", metric, 0.5, permutations=permutations, seed=seed)

@@ -91,6 +91,10 @@ def ref_sql(source: str, order: str = "n DESC") -> str:
     return f"(SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY attribute ORDER BY {order}, \"group\") AS rn FROM {source} WHERE attribute <> '_overall') x WHERE rn = 1)"
 
 
+_HIST = f"WITH {S}, {LONG}, h AS (SELECT attribute, \"group\", p, COUNT(*) AS n, CAST(SUM(y) AS BIGINT) AS k FROM l GROUP BY attribute, \"group\", p)"
+_AUC = f"{_HIST}, w AS (SELECT *, SUM(n - k) OVER (PARTITION BY attribute, \"group\" ORDER BY p) - (n - k) AS neg FROM h), u AS (SELECT attribute, \"group\", CAST(SUM(n) AS BIGINT) AS n, CAST(SUM(k) AS BIGINT) AS n_positive, SUM(CAST(k AS DOUBLE) * (neg + (n - k)/2.0)) AS pairs FROM w GROUP BY attribute, \"group\"), auc AS (SELECT attribute, \"group\", n, n_positive, CASE WHEN n_positive > 0 AND n > n_positive THEN pairs/(CAST(n_positive AS DOUBLE)*(n - n_positive)) END AS auroc FROM u)"
+
+
 # ---- rates and disparities -------------------------------------------------------------------------------------------
 
 
@@ -202,6 +206,16 @@ def disparity_index(df):
     return disparity.disparity_index(disparity.fairness_summary(disparity.fairness(rates.cells(df, ATTRIBUTES, T))))
 
 
+@query(f"{_AUC}, c AS {cells_sql()}, v AS (SELECT c.attribute, c.\"group\", c.n, {RATE['tpr'].replace('n_positive', 'c.n_positive')} AS tpr, {RATE['fpr']} AS fpr, {RATE['ppv']} AS ppv, {q('n_flagged', 'c.n')} AS sr, auc.auroc FROM c JOIN auc ON c.attribute = auc.attribute AND c.\"group\" = auc.\"group\" WHERE c.attribute <> '_overall' AND c.n >= 10), b AS {ref_sql('v')} SELECT a.attribute, a.\"group\", b.\"group\" AS ref_group, {r('a.tpr - b.tpr', 'tpr_diff')}, {r('a.fpr - b.fpr', 'fpr_diff')}, {r('a.sr - b.sr', 'selection_rate_diff')}, {r('a.auroc - b.auroc', 'auroc_diff')}, {r('GREATEST(ABS(a.tpr - b.tpr), ABS(a.fpr - b.fpr))', 'equalized_odds_diff')}, {r('CASE WHEN b.ppv > 0 THEN a.ppv/b.ppv END', 'ppv_ratio')}, {r('CASE WHEN b.sr > 0 THEN a.sr/b.sr END', 'selection_rate_ratio')} FROM v a JOIN b ON a.attribute = b.attribute AND a.\"group\" <> b.\"group\"")
+def subgroup_disparities(df):
+    return disparity.subgroup_disparities(rates.cells(df, ATTRIBUTES, T), discrimination.auroc(groups.histogram(df, ATTRIBUTES)))
+
+
+@query(f"WITH d AS ({disparity_sql('tpr')}) SELECT attribute, reference_group AS a, comparison_group AS b, difference FROM d UNION ALL SELECT attribute, comparison_group, reference_group, 0.0 - difference FROM d")
+def disparity_matrix(df):
+    return disparity.disparity_matrix(disparity.disparities(rates.cells(df, ATTRIBUTES, T), "tpr", p_values=False)).drop("metric")
+
+
 # ---- thresholds ------------------------------------------------------------------------------------------------------
 
 
@@ -246,6 +260,16 @@ def decision_curve(df):
     return thresholds.decision_curve(df, ATTRIBUTES).select("attribute", "group", "t_index", "threshold", "net_benefit", "net_benefit_all")
 
 
+@query(f"{_CURVE} SELECT attribute, \"group\", {r('MIN(threshold)', 'min_threshold')}, {r('MAX(threshold)', 'max_threshold')} FROM k WHERE nb > GREATEST(na, 0.0) GROUP BY attribute, \"group\"")
+def useful_range(df):
+    return thresholds.useful_range(thresholds.decision_curve(df, ATTRIBUTES))
+
+
+@query(f"{_SWEEP}, {fairness_sql('c', 't_index, threshold')}, {summary_sql('t_index, threshold')}, o AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY attribute ORDER BY ROUND(worst_equalized_odds, 6), threshold) AS k FROM fs) SELECT attribute, {r('threshold', 'optimal_threshold')} FROM o WHERE k = 1")
+def optimal_threshold(df):
+    return thresholds.best_threshold(rounded(thresholds.threshold_fairness(df, ATTRIBUTES)))
+
+
 @query(f"{CELLS}, k AS (SELECT attribute, \"group\", CAST(tp AS DOUBLE)/n - CAST(fp AS DOUBLE)/n AS nb, CAST(n_positive AS DOUBLE)/n AS prev FROM c) SELECT attribute, \"group\", {r('nb', 'net_benefit')}, {r('prev', 'max_net_benefit')}, {r('CASE WHEN prev > 0 THEN nb/prev END', 'standardized_net_benefit')} FROM k")
 def net_benefit_by_group(df):
     return thresholds.net_benefit(rates.cells(df, ATTRIBUTES, T), T).drop("interpretation")
@@ -253,10 +277,6 @@ def net_benefit_by_group(df):
 
 # ---- discrimination --------------------------------------------------------------------------------------------------
 
-_HIST = f"WITH {S}, {LONG}, h AS (SELECT attribute, \"group\", p, COUNT(*) AS n, CAST(SUM(y) AS BIGINT) AS k FROM l GROUP BY attribute, \"group\", p)"
-_AUC = f"{_HIST}, w AS (SELECT *, SUM(n - k) OVER (PARTITION BY attribute, \"group\" ORDER BY p) - (n - k) AS neg FROM h), u AS (SELECT attribute, \"group\", CAST(SUM(n) AS BIGINT) AS n, CAST(SUM(k) AS BIGINT) AS n_positive, SUM(CAST(k AS DOUBLE) * (neg + (n - k)/2.0)) AS pairs FROM w GROUP BY attribute, \"group\"), auc AS (SELECT attribute, \"group\", n, n_positive, CASE WHEN n_positive > 0 AND n > n_positive THEN pairs/(CAST(n_positive AS DOUBLE)*(n - n_positive)) END AS auroc FROM u)"
-
-
 @query(f"{_AUC} SELECT n, n_positive, {r('auroc', 'auroc')} FROM auc WHERE attribute = '_overall'")
 def auroc_overall(df):
     return discrimination.auroc(groups.histogram(df, [])).select("n", "n_positive", "auroc")
@@ -481,6 +501,21 @@ def bootstrap_auroc_ci(df):
     return resampling.percentile_ci(resampling.bootstrap_auroc(df, ATTRIBUTES, 200))
 
 
+@query()
+def ace_bootstrap_ci(df):
+    return resampling.percentile_ci(resampling.bootstrap_ace(df, ATTRIBUTES, 100))
+
+
+@query()
+def ace_gap_ci(df):
+    return resampling.percentile_ci(resampling.gap_samples(resampling.bootstrap_ace(df, ATTRIBUTES[:1], 50, clusters=True)), ("attribute",))
+
+
+@query()
+def four_pack(df):
+    return audit.four_pack(df, ATTRIBUTES, T)["measures"]
+
+
 @query()
 def bootstrap_confusion_ci(df):
     return resampling.percentile_ci(resampling.bootstrap_confusion(rates.cells(df, ATTRIBUTES, T)), ("attribute", "group", "metric"))
