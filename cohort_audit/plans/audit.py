@@ -219,6 +219,17 @@ def findings(pack: dict[str, DataFrame]) -> list[str]:
     return out
 
 
+def two_tables(df: DataFrame, attributes: Sequence[str], threshold: float = C.THRESHOLD, metrics: Sequence[str] = ("tpr", "fpr", "ppv", "npv"), reference: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The audit as two flat frames: rates with intervals of every group and overall, and disparities of every metric. ``df`` is a standard frame."""
+    cells = rates.cells(df, attributes, threshold)
+    table = rates.with_intervals(rates.group_rates(cells, metrics), metrics)
+    gaps = [disparity.disparities(cells, m, reference) for m in metrics]
+    out = gaps[0]
+    for g in gaps[1:]:
+        out = out.unionByName(g)
+    return table, out.withColumn("status", F.upper("status"))
+
+
 def checklist(results: AuditResults) -> list[dict[str, str]]:
     """Nine criteria as pass, warn or fail."""
     o, g, c = results.overall(), results.governance_recommendation, results.config

@@ -167,6 +167,25 @@ def test_audit_end_to_end(spark, cohort, tmp_path):
     assert len(render.checkpoint(results)) == 9
 
 
+def test_two_tables(spark, cohort):
+    table, gaps = audit.two_tables(groups.standard(cohort, attributes=["race", "sex"]), ["race", "sex"])
+    assert table.count() == 5 + 2 + 1 and gaps.count() == 4 * (4 + 1)
+    assert {r["status"] for r in gaps.collect()} <= {"PASS", "WARN", "FAIL"}
+
+
+def test_ace_bootstrap(spark, cohort):
+    df = groups.standard(cohort, attributes=["sex"], cluster="patient_id")
+    for clusters in (False, True):
+        ci = {(r["attribute"], r["group"]): r for r in resampling.percentile_ci(resampling.bootstrap_ace(df, ["sex"], 40, clusters=clusters)).collect()}
+        one = calibration.ace(df, ["sex"]).where("attribute = '_overall'").first()["ace"]
+        assert abs(ci["_overall", "_overall"]["mean"] - one) < 0.05 and ci["_overall", "_overall"]["ci_lower"] <= ci["_overall", "_overall"]["ci_upper"]
+
+
+def test_permutation_on_sequences(spark):
+    got = resampling.permutation_test_arrays(spark, [0, 1] * 40, [1] * 40 + [0] * 40, ["a"] * 40 + ["b"] * 40, permutations=50).first()
+    assert got["observed"] == 1.0 and got["p_value"] < 0.05
+
+
 def test_four_pack(spark, cohort):
     pack = audit.four_pack(groups.standard(cohort, attributes=["race"]), ["race"])
     assert pack["measures"].where("attribute = '_overall'").count() == 1
