@@ -1,7 +1,7 @@
 """Operator 2 - language identification by interpolated Kneser-Ney character models.
 
-A model of order 4 for each language is counted by Spark over a bounded sample of labelled rows (``PER_LANGUAGE``
-documents a language, those with the smallest hash of their id). The models are stored as sorted arrays of 64-bit n-gram
+A model of order 4 for each language is counted by Spark over a bounded sample of labelled rows (about ``PER_LANGUAGE``
+documents a language, those with the smallest hashes of their ids). The models are stored as sorted arrays of 64-bit n-gram
 codes with a column a language; a text's n-grams are looked up in them by binary search, all texts of a chunk at once. The
 language of the lowest cross-entropy a symbol is predicted. A tenth of the sample is kept out of the counts to calibrate
 the score (how often such a margin is right) and the rejection (how far a text's cross-entropy may lie above its language).
@@ -21,7 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import base
@@ -193,16 +193,17 @@ def _margin(ce: np.ndarray, letters: np.ndarray) -> np.ndarray:
 
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Models | None:
     """Models of the languages in ``labelled`` (doc_id, text, lang; nulls are left out)."""
-    rows = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", "lang", F.xxhash64(F.col("doc_id").cast("string")).alias("rank"))
-    ranked = rows.select("lang", "rank").withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("rank"))).where(F.col("n") <= per_language)
-    # A row a language: the hash below which its sample lies.
-    limits = {r["lang"]: r["until"] for r in ranked.groupBy("lang").agg(F.max("rank").alias("until")).collect()}
-    if not limits:
+    rows = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("text", "lang", base.id_share().alias("share"))
+    # A row a language: how many documents it has, and so the share of id hashes that holds about ``per_language``.
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not sizes:
         return None
-    taken = F.lit(False)
+    limits = {lang: min(1.0, per_language / n) for lang, n in sizes.items()}
+    taken, held = F.lit(False), F.lit(False)
     for lang, until in limits.items():
-        taken = taken | ((F.col("lang") == lang) & (F.col("rank") <= until))
-    sample = rows.where(taken).withColumn("held", F.pmod("rank", F.lit(10)) == 0)
+        taken = taken | ((F.col("lang") == lang) & (F.col("share") < until))
+        held = held | ((F.col("lang") == lang) & (F.col("share") < until / 10))
+    sample = rows.where(taken).withColumn("held", held)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
