@@ -205,7 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index |
     """An index from the labelled rows of ``labels`` (doc_id, toxic), at most ``examples`` of them."""
     spark = docs.sparkSession
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") == 1).cast("int").alias("toxic"))
-    sample = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(examples)
+    sample = base.bounded_sample(known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), examples)
     # At most ``examples`` ids and labels: their size is bounded, so they may be broadcast.
     sample = spark.createDataFrame([tuple(r) for r in sample.collect()], "doc_id long, toxic int")
     texts = base.stored(base.id_text(docs).join(F.broadcast(sample), "doc_id").where(F.col("text").isNotNull()), "labelled")
