@@ -7,8 +7,8 @@ Registers are banded; texts that share a band are candidates, and candidates are
 of their shingle sets. Verified links make classes: the connected components.
 
 Equal word sequences are one node. In a band's bucket only links to the bucket's first node are tried at first; nodes of a
-bucket that are then still in different classes are tried against each other, so no link between classes is lost, while a
-bucket of n copies of one text costs n pairs. Every step is a join or an aggregation of Spark; nothing of all documents
+bucket that are then still in different classes are joined among each other by exact prefix filtering on their shingles, so
+no link between classes is lost, while a bucket of n near copies of one text costs about n pairs. Every step is a join or an aggregation of Spark; nothing of all documents
 comes to the driver, and each step's table is written to the shared folder.
 
 Words are runs of ASCII letters and digits and of characters beyond ASCII; ASCII case is folded. Defined results: a text of
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import base
@@ -149,6 +149,28 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(near).select("a", "b")
 
 
+def prefix_pairs(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """All pairs (a, b) of ``nodes`` (node, of) of different ``of`` that can have the similarity, by prefix filtering.
+
+    Sets of n shingles that are similar enough share one of their n - ceil(similarity * n) + 1 rarest shingles, whatever
+    fixed order of rarity is taken; and what both have from the first shared shingle on must still be enough (positional
+    filter). A text's own edits are its rarest shingles, so a far copy of a common text meets nothing, and near copies of it
+    are in one class by now.
+    """
+    rows = nodes.join(sets.withColumnRenamed("doc_id", "node"), "node").select("node", "of", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    rows = base.stored(rows, "prefix")
+    often = base.stored(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("m")), "often")
+    place = F.row_number().over(Window.partitionBy("node").orderBy("m", "shingle"))  # a text's own shingles
+    head = rows.join(often, "shingle").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1)
+    head = base.stored(head.where("m > 1").select("shingle", "node", "of", "n", "place"), "heads")
+    mixed = head.groupBy("shingle").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo <> hi").select("shingle")
+    head = base.stored(head.join(mixed, "shingle", "left_semi"), "heads")
+    other = head.select("shingle", F.col("node").alias("other"), F.col("of").alias("other_of"), F.col("n").alias("other_n"), F.col("place").alias("other_place"))
+    fits = (F.col("of") < F.col("other_of")) & (F.least("n", "other_n") >= similarity * F.greatest("n", "other_n"))
+    fits = fits & (1 + F.least(F.col("n") - F.col("place"), F.col("other_n") - F.col("other_place")) >= similarity / (1 + similarity) * (F.col("n") + F.col("other_n")) - 1e-9)
+    return head.join(other, "shingle").where(fits).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``id`` and ``class_id`` (the least id of its connected component) of every node of the edges (a, b).
 
@@ -186,10 +208,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     # Nodes of a bucket whose classes still differ.
     member = buckets.join(classes.withColumnRenamed("id", "node"), "node", "left").select("band", "node", F.coalesce("class_id", "node").alias("of"))
     mixed = member.groupBy("band").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo <> hi").select("band")
-    open_rows = base.stored(member.join(mixed, "band", "left_semi"), "open")
-    other = open_rows.select("band", F.col("node").alias("other"), F.col("of").alias("other_of"))
-    cross = open_rows.join(other, "band").where("of < other_of").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-    cross = cross.join(stars, ["a", "b"], "left_anti")
+    open_nodes = base.stored(member.join(mixed, "band", "left_semi").select("node", "of").distinct(), "open")
+    cross = prefix_pairs(open_nodes, sets, similarity)
+    cross = base.stored(cross.join(stars, ["a", "b"], "left_anti"), "cross")
     more = base.stored(verified(cross, sets, similarity), "links")
     classes = base.stored(components(links.union(more)), "classes") if not more.isEmpty() else base.stored(classes, "classes")
     of = nodes.select("k1", "k2", "node").join(classes.withColumnRenamed("id", "node"), "node", "left").select("k1", "k2", "node", F.coalesce("class_id", "node").alias("class_id"))
