@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that the numpy kernels take at a time; a longer document is taken alone.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
+#: Rows of text that Spark hands to a Python worker at a time: texts are long, and a worker holds a batch whole.
+BATCH_ROWS = 1000
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -39,7 +41,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def id_text(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and ``text`` alone, so that further columns of any name do no harm."""
+    """``doc_id`` and ``text`` alone, so that further columns of any name do no harm; batches of at most ``BATCH_ROWS`` rows."""
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
@@ -86,7 +91,7 @@ def byte_chunks(batch: pa.RecordBatch, column: str = "text", most: int = CHUNK_B
         lo = hi
 
 
-def row_chunks(batch: pa.RecordBatch, column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def row_chunks(batch: pa.RecordBatch, column: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with at most ``most`` bytes of text, unless one row has more."""
     for lo, hi, _, _ in byte_chunks(batch, column, most):
         yield batch.slice(lo, hi - lo)

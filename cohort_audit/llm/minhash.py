@@ -18,6 +18,7 @@ Rows with equal ``doc_id`` are one document, linked by any of its texts; a null
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -105,7 +106,7 @@ def sketches(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, off in base.byte_chunks(batch, most=base.CHUNK_BYTES // 2):
+            for lo, hi, data, off in base.byte_chunks(batch):
                 rows = hi - lo
                 word, row = word_hashes(data, off)
                 n = np.bincount(row, minlength=rows)
@@ -117,8 +118,9 @@ def sketches(docs: DataFrame) -> DataFrame:
                         sums = np.zeros(len(word) + 1, np.uint64)
                         np.cumsum(base.mix(word + base.mix(place, seed), seed), out=sums[1:])
                         own = sums[begin[1:]] - sums[begin[:-1]]
-                        whole = base.mix(base.Rolling(data, seed).of(off[:-1], off[1:]) ^ np.diff(off).astype(np.uint64), seed + 10)
-                        keys.append(np.where(n > 0, own, whole))
+                        for i in np.flatnonzero(n == 0):  # no word: the text itself
+                            own[i] = int.from_bytes(hashlib.blake2b(data[off[i] : off[i + 1]].tobytes(), digest_size=8, key=bytes([seed])).digest(), "little")
+                        keys.append(own)
                 bands = band_hashes(signatures(*weighted(*shingle_hashes(word, row)), rows))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * BANDS, pa.int32()), base.to_long(bands.ravel()), mask=pa.array(n == 0))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, rows), base.to_long(keys[0]), base.to_long(keys[1]), lists], ["doc_id", "k1", "k2", "bands"])

@@ -34,7 +34,7 @@ from . import base
 
 MINIMUM, ANCHOR = 400, 48
 HOT, REFINE = 1000, (64, 8, 1)
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 1 << 20
 
 
 # ---- the interval expansion ------------------------------------------------------------------------------------------
@@ -190,7 +190,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def contexts_of(docs: DataFrame, minimum: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, _, data, off in base.byte_chunks(batch, most=base.CHUNK_BYTES // 2):
+            for lo, _, data, off in base.byte_chunks(batch):
                 row, place, s0, s1 = anchors(data, off, minimum)
                 if not len(row):
                     continue
