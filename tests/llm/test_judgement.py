@@ -9,9 +9,10 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cohort_audit.llm import langid, media, quality, toxicity
+from cohort_audit.llm import base, langid, media, quality, toxicity
 
 SF = "/root/testdata/sf0.01"
 tables = pytest.mark.skipif(not Path(SF).exists(), reason="no test tables here")
@@ -141,6 +142,26 @@ def test_op9_keeps_good_rows(spark):
     assert np.mean([r["kept"] for r in rows]) > 0.98
 
 
+def test_op9_margin_weighs_both_labels():
+    good, bad = np.linspace(0, 1, 1000), np.concatenate([np.linspace(2, 3, 80), np.linspace(0, 1, 20)])
+    none = np.zeros(1000, bool)
+    cut = quality.best_margin(good, none, bad)
+    assert (good > cut).mean() <= 0.01 and (bad > cut).mean() >= 0.8
+    cut = quality.best_margin(good, none, np.full(100, 0.993))
+    assert (np.full(100, 0.993) > cut).all() and 0 < (good > cut).mean() <= 0.01
+    assert (good > quality.best_margin(good, none, np.full(100, 0.5))).mean() <= 0.01
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.1").exists(), reason="no test tables here")
+def test_op9_rejects_held_out_bad_rows(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    table = base.stored(quality.rule_statistics(docs), "rules")
+    rows = quality.judge(table, quality.fit(table, labels.where(~langid.held_out()))).join(labels, "doc_id").where(langid.held_out() & ~F.col("base_failed")).collect()
+    kept = {q: [r["kept"] for r in rows if r["quality"] == q] for q in (0, 1)}
+    print({q: (len(k), sum(k)) for q, k in kept.items()})
+    assert len(kept[0]) > 50 and np.mean(kept[0]) < 0.1 and np.mean(kept[1]) > 0.98
+
+
 # ---- toxicity --------------------------------------------------------------------------------------------------------
 
 
