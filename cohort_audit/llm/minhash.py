@@ -1,8 +1,9 @@
 """Operator 1 - near-duplicate classes by ProbMinHash, banding and exact verification.
 
-A text's elements are its shingles of ``WORDS`` words, weighted by their counts. Each element is a Poisson process with its
-weight as rate: its arrivals fall on random registers, and it stops as soon as its next arrival is later than every
-register (early termination). Two texts agree in a register with the probability Jaccard similarity of their weights.
+A text's elements are its distinct shingles of ``WORDS`` words, each of weight 1, so that a passage repeated many times counts
+as once, as it does in verification. Each element is a Poisson process with its weight as rate: its arrivals fall on random
+registers, and it stops as soon as its next arrival is later than every register (early termination). Two texts agree in a
+register with the probability Jaccard similarity of their weights, which for weights of 1 is about that of their sets.
 Registers are banded; texts that share a band are candidates, and candidates are verified by the exact Jaccard similarity
 of their shingle sets. Verified links make classes: the connected components.
 
@@ -121,7 +122,8 @@ def sketches(docs: DataFrame) -> DataFrame:
                         for i in np.flatnonzero(n == 0):  # no word: the text itself
                             own[i] = int.from_bytes(hashlib.blake2b(data[off[i] : off[i + 1]].tobytes(), digest_size=8, key=bytes([seed])).digest(), "little")
                         keys.append(own)
-                bands = band_hashes(signatures(*weighted(*shingle_hashes(word, row)), rows))
+                h, of, _ = weighted(*shingle_hashes(word, row))
+                bands = band_hashes(signatures(h, of, np.ones(len(h)), rows))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * BANDS, pa.int32()), base.to_long(bands.ravel()), mask=pa.array(n == 0))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, rows), base.to_long(keys[0]), base.to_long(keys[1]), lists], ["doc_id", "k1", "k2", "bands"])
 

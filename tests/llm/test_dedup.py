@@ -47,6 +47,18 @@ def test_op1_repeated_rows_and_null_ids(spark):
     assert got == [("1", 1), ("1", 1), ("2", 1), ("3", 3), ("None", None)]
 
 
+def test_op1_finds_copies_with_a_repeated_passage(spark):
+    """Pairs of equal shingle sets, of which one repeats a tenth of its shingles 60 times."""
+    texts = {}
+    for i in range(8):
+        body, foot = " ".join(f"b{i}x{k}" for k in range(270)), " ".join(f"f{i}x{k}" for k in range(30))
+        texts[2 * i] = f"{body} {foot} {foot}"
+        texts[2 * i + 1] = " ".join([body] + [foot] * 60)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(df).collect()}
+    assert got == classes(texts) == {i: i - i % 2 for i in texts}
+
+
 def test_chain_and_hot_group(spark, rng):
     """Near copies of one text at all distances: links beyond the first node of a bucket are found."""
     start = [f"w{i}" for i in range(120)]
