@@ -131,7 +131,7 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and the sorted distinct shingle hashes."""
+    """``doc_id`` and the sorted distinct shingle hashes of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,10 +161,10 @@ def prefix_pairs(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFr
     filter). A text's own edits are its rarest shingles, so a far copy of a common text meets nothing, and near copies of it
     are in one class by now.
     """
-    rows = nodes.join(sets.withColumnRenamed("doc_id", "node"), "node").select("node", "of", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    rows = nodes.join(sets.withColumnRenamed("doc_id", "node"), "node").select("node", "of", F.xxhash64("shingles").alias("part"), F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
     rows = base.stored(rows, "prefix")
     often = base.stored(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("m")), "often")
-    place = F.row_number().over(Window.partitionBy("node").orderBy("m", "shingle"))  # a text's own shingles
+    place = F.row_number().over(Window.partitionBy("node", "part").orderBy("m", "shingle"))  # a text's own shingles
     head = rows.join(often, "shingle").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1)
     head = base.stored(head.where("m > 1").select("shingle", "node", "of", "n", "place"), "heads")
     mixed = head.groupBy("shingle").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo <> hi").select("shingle")
@@ -196,6 +196,11 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("id"), F.col("b").alias("class_id")).union(now.select(F.col("b").alias("id"), F.col("b").alias("class_id")).distinct())
 
 
+def repeated_ids(rows: DataFrame) -> DataFrame:
+    """``doc_id`` of more than one row."""
+    return base.stored(rows.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "ids")
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row a document: ``doc_id``, ``copy_of`` (least id of its word sequence) and ``class_id`` (least id of its class)."""
     table = base.stored(sketches(docs), "sketches")
@@ -206,8 +211,16 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     buckets = base.stored(rows.join(heads, "band"), "buckets")
     stars = base.stored(buckets.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     used = buckets.select(F.col("node").alias("doc_id")).union(stars.select("a")).distinct()
-    sets = base.stored(shingle_sets(docs.join(used, "doc_id", "left_semi")), "shingles")
-    links = base.stored(verified(stars, sets, similarity), "links")
+    of_used = docs.select("doc_id", "text").join(used, "doc_id", "left_semi")
+    links, ids = None, repeated_ids(table)
+    if not ids.isEmpty():
+        # Equal rows count once. A repeated id with several texts is one document: its texts' classes are one.
+        of_used = of_used.join(ids, "doc_id", "left_anti").union(of_used.join(ids, "doc_id", "left_semi").distinct())
+        own = table.join(ids, "doc_id", "left_semi").join(nodes.select("k1", "k2", "node"), ["k1", "k2"]).select("doc_id", "node").distinct()
+        links = own.join(own.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    sets = base.stored(shingle_sets(of_used), "shingles")
+    near = verified(stars, sets, similarity)
+    links = base.stored(near.union(links) if links is not None else near, "links")
     classes = components(links)
     # Nodes of a bucket whose classes still differ.
     member = buckets.join(classes.withColumnRenamed("id", "node"), "node", "left").select("band", "node", F.coalesce("class_id", "node").alias("of"))
@@ -219,7 +232,6 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     classes = base.stored(components(links.union(more)), "classes") if not more.isEmpty() else base.stored(classes, "classes")
     of = nodes.select("k1", "k2", "node").join(classes.withColumnRenamed("id", "node"), "node", "left").select("k1", "k2", "node", F.coalesce("class_id", "node").alias("class_id"))
     found = table.select("doc_id", "k1", "k2").join(of, ["k1", "k2"], "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("copy_of"), F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"))
-    # A repeated id with several texts is one document: its texts' classes are one.
     return found
 
 

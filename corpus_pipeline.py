@@ -33,9 +33,21 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: of each class of near duplicates the document with the least id stays."""
-    classes = minhash.near_duplicates(docs)
-    return _keep(docs, classes.where("doc_id <> class_id").select("doc_id").distinct())
+    """Operator 1: of each class of near duplicates one row stays, of the document with the least id.
+
+    Rows of one id are one document, of which the longest text stays. A text without an id is a document of an id made of its
+    hash, beyond other ids, so it goes where a copy with an id stays, and its own copies go.
+    """
+    own = F.lit(1 << 62).bitwiseOR(F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)))
+    rows = docs.withColumn("_id", F.col("doc_id")).withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), own))
+    classes = base.stored(minhash.near_duplicates(rows), "classes")
+    left = _keep(rows, classes.where("doc_id <> class_id").select("doc_id").distinct())
+    ids = minhash.repeated_ids(classes)
+    if not ids.isEmpty():
+        first = F.max_by(F.struct(*left.columns), F.struct(F.length("text"), "text")).alias("row")
+        one = left.join(ids, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("of"))
+        left = left.join(ids, "doc_id", "left_anti").union(one.agg(first).select("row.*").select(*left.columns))
+    return left.withColumn("doc_id", F.col("_id")).select(*docs.columns)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
