@@ -21,11 +21,13 @@ BATCH_ROWS = 1000
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that the driver and all executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``. Where that is unset (local tests) a temporary folder is made
-    once for the session.
+    The folder is the session's ``spark.checkpoint.dir``. Where that is unset and Spark runs in one local process (tests) a
+    temporary folder is made once for the session; on a cluster that is an error, as executors do not share such a folder.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("cohort_audit.sharedDir", None)
     if base is None:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("cohort_audit.sharedDir", base)
         spark.sparkContext.setCheckpointDir(base)
@@ -40,6 +42,49 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of the shared folder that are deleted together, once what was made of them is stored itself."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        path = shared_path(self.spark, name)
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for path in self.paths:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+        self.paths = []
+
+
+#: Buckets of keys of which a heavy one is told to all tasks, and tasks that share the rows of a heavy bucket's keys.
+BUCKETS, SALTS = 1 << 14, 16
+
+
+def split_join(many: DataFrame, few: DataFrame, on: list[str], heavy: Column, spread: list[str], how: str = "inner") -> DataFrame:
+    """``many`` joined with ``few`` (a row a key), the rows of heavy keys (``heavy`` is true of their row in ``few``) split.
+
+    Only the numbers of buckets of keys that hold a heavy one are broadcast, at most ``BUCKETS`` whatever the input. Rows of
+    ``many`` in such buckets go to ``SALTS`` tasks a key, by a hash of ``spread``; the matching rows of ``few`` are repeated.
+    """
+    bucket = F.pmod(F.xxhash64(*on), F.lit(BUCKETS))
+    hot = few.where(heavy).select(bucket.alias("__bucket")).distinct().withColumn("__hot", F.lit(True))
+
+    def marked(df: DataFrame) -> DataFrame:
+        return df.withColumn("__bucket", bucket).join(F.broadcast(hot), "__bucket", "left").drop("__bucket")
+
+    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(*spread), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))
+    left = marked(many).withColumn("__salt", salt).drop("__hot")
+    salts = F.when(F.col("__hot"), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    right = marked(few).withColumn("__salt", F.explode(salts)).drop("__hot")
+    return left.join(right, [*on, "__salt"], how).drop("__salt")
+
+
 def id_text(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``text`` alone, so that further columns of any name do no harm; batches of at most ``BATCH_ROWS`` rows."""
     conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -110,17 +155,17 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
 
 
 class Rolling:
-    """Hashes of any byte range of a buffer in constant time, by prefix sums of a polynomial modulo 2**64."""
+    """Hashes of any range of a buffer (bytes, or 64-bit hashes of words) in constant time, by prefix sums of a polynomial modulo 2**64."""
 
     _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def __init__(self, data: np.ndarray, seed: int = 1):
         base = int(mix(np.array([seed], np.uint64), 77)[0]) | 1
-        table = mix(np.arange(256, dtype=np.uint64), seed + 100)
+        value = mix(np.arange(256, dtype=np.uint64), seed + 100)[data] if data.dtype == np.uint8 else data
         self.inverse, power = self._of(base, len(data) + 1)
         with np.errstate(over="ignore"):
             self.sums = np.zeros(len(data) + 1, np.uint64)
-            np.cumsum(table[data] * power[: len(data)], out=self.sums[1:])
+            np.cumsum(value * power[: len(data)], out=self.sums[1:])
 
     @classmethod
     def _of(cls, base: int, n: int) -> tuple[np.ndarray, np.ndarray]:

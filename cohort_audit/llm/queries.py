@@ -23,7 +23,7 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.removed(base.read_documents(spark, sf_dir))
+    return suffixes.removed(base.read_documents(spark, sf_dir), suffixes.BYTES, suffixes.PASSAGES)
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,29 +1,37 @@
-"""Operator 3 - removal of byte strings that repeat across the corpus.
+"""Operator 3 - removal of strings that repeat across the corpus.
 
-A byte goes if a string of ``MINIMUM`` bytes that covers it also starts anywhere else in the corpus. The work is split by
-content, so that strings that may be equal meet in one task and nothing else does:
+A unit (a byte, or a word with ``unit="words"``) goes if a string of ``minimum`` units that covers it also starts anywhere
+else in the corpus. The work is split by content, so that strings that may be equal meet in one task and nothing else does:
 
-1. Each string of ``MINIMUM`` bytes picks an anchor, the least hash of its windows of ``ANCHOR`` bytes (winnowing). Equal
+1. Each string of ``minimum`` units picks an anchor, the least hash of its windows of ``anchor`` units (winnowing). Equal
    strings pick the same anchor at the same distance; neighbouring strings mostly share one. A *context* is the stretch of
    all neighbouring strings with one anchor.
 2. Contexts are compared by anchor and 128-bit hash: a context that occurs twice is repeated as a whole. An anchor with one
-   context is done. Only anchors with different contexts need their bytes.
+   context is done. Only anchors with different contexts need their units.
 3. Those contexts are put together by anchor in blocks of bounded size. A block's suffix array and Burrows-Wheeler
    transform are built, and intervals are extended backwards breadth-first, which settles longest common prefixes by
-   increasing value, up to ``MINIMUM``; neighbours still open then share at least ``MINIMUM`` bytes. Contexts end in a
+   increasing value, up to ``minimum``; neighbours still open then share at least ``minimum`` units. Contexts end in a
    separator that no extension passes, so no match crosses documents.
 4. Anchors with more than ``HOT`` contexts never meet in a task: their contexts are cut into ever narrower classes of
    strings (widths ``REFINE``), keyed by what all strings of the class share, and counted by hash, until a class is one
-   string.
+   string. Keys that many contexts share are split over tasks where only membership is asked.
 
-Defined results: null text is the empty text; a text of fewer than ``MINIMUM`` bytes keeps all; repeated rows are
-documents of their own, whatever their ids; strings are judged on the input.
+Words are runs of anything but space and the bytes 9 to 13, compared by 64-bit hash. :data:`BYTES` is the operator's measure;
+:data:`PASSAGES` finds passages of over 50 words, whatever their length in bytes: a passage of 51 words whose first and last
+word run into their neighbours still has 49 whole ones.
+
+Defined results: null text is the empty text; a text of fewer than ``minimum`` units keeps all, however long texts are taken
+whole; repeated rows are documents of their own, whatever their ids, so all their strings of ``minimum`` units go; every place
+of a repeated string counts alike, so there are no ties; strings are judged on the input; an empty table gives no rows; only
+``doc_id`` and ``text`` are read, and further columns of any name do no harm.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,24 +40,51 @@ from pyspark.sql import functions as F
 
 from . import base
 
-MINIMUM, ANCHOR = 400, 48
+
+@dataclass(frozen=True)
+class Measure:
+    """What a string is made of, how many units repeat at least, and the units of an anchor."""
+
+    unit: str
+    minimum: int
+    anchor: int
+
+    @property
+    def dtype(self) -> np.dtype:
+        """How contexts are kept: bytes, or 64-bit hashes of words."""
+        return np.dtype(np.uint8 if self.unit == "bytes" else "<u8")
+
+    def units(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Units of a chunk and the offsets of its rows in them."""
+        if self.unit == "bytes":
+            return data, off
+        start, end, row = base.runs(~SPACE[data], off)
+        n = np.bincount(row, minlength=len(off) - 1)
+        return base.mix(base.Rolling(data, 3).of(start, end) ^ (end - start).astype(np.uint64), 4), np.concatenate([[0], np.cumsum(n)])
+
+
+SPACE = np.zeros(256, bool)
+SPACE[[32, *range(9, 14)]] = True
+BYTES, PASSAGES = Measure("bytes", 400, 48), Measure("words", 49, 8)
 HOT, REFINE = 1000, (64, 8, 1)
-BLOCK_BYTES = 1 << 20
+BLOCK_UNITS = 1 << 20
 
 
 # ---- the interval expansion ------------------------------------------------------------------------------------------
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Suffix array of symbols below 511 by prefix doubling; only groups still tied are sorted again."""
+    """Suffix array of symbols from 0 by prefix doubling; only groups still tied are sorted again."""
     n = len(text)
+    bits = int(text.max() + 1).bit_length()
+    width = min(n, 63 // bits)
     key = np.zeros(n, np.int64)
-    for i in range(7):
-        key <<= 9
+    for i in range(width):
+        key <<= bits
         key[: n - i] |= text[i:] + 1  # 0 is past the end
     order = np.argsort(key)
     slots = np.arange(n)
-    sa, rank, h = order.copy(), np.zeros(n, np.int64), 7
+    sa, rank, h = order.copy(), np.zeros(n, np.int64), width
     idx, key = order, key[order]
     while True:
         new = np.ones(len(idx), bool)
@@ -77,7 +112,7 @@ def shares_prefix(text: np.ndarray, sa: np.ndarray, minimum: int) -> np.ndarray:
     to be used.
     """
     n = len(text)
-    bwt = text[sa - 1].astype(np.uint16)
+    bwt = text[sa - 1].astype(np.uint16 if text.max() < 1 << 16 else np.int64)
     by_symbol = np.argsort(bwt, kind="stable").astype(np.int32)
     step = np.empty(n, np.int32)
     step[by_symbol] = np.arange(n, dtype=np.int32)
@@ -106,14 +141,15 @@ def shares_prefix(text: np.ndarray, sa: np.ndarray, minimum: int) -> np.ndarray:
     return ~settled[:n]
 
 
-def repeated_starts(contexts: list[bytes], minimum: int = MINIMUM) -> list[np.ndarray]:
-    """For each context the starts of strings of ``minimum`` bytes that start at another place of the contexts too."""
+def repeated_starts(contexts: list[np.ndarray], minimum: int) -> list[np.ndarray]:
+    """For each context the starts of strings of ``minimum`` units that start at another place of the contexts too."""
     length = np.array([len(c) for c in contexts], np.int64)
     ends = np.cumsum(length + 1)
     text = np.zeros(int(ends[-1]), np.int64)
     inside = np.ones(len(text), bool)
     inside[ends - 1] = False
-    text[inside] = np.frombuffer(b"".join(contexts), np.uint8).astype(np.int64) + 1
+    units = np.concatenate(contexts)
+    text[inside] = (units if units.dtype == np.uint8 else np.unique(units, return_inverse=True)[1]).astype(np.int64) + 1
     sa = suffix_array(text)
     room = np.repeat(ends - 1, length + 1) - np.arange(len(text)) >= minimum
     fits = room[sa]
@@ -139,38 +175,27 @@ def spans(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 # ---- anchors and contexts --------------------------------------------------------------------------------------------
 
 
-def anchors(data: np.ndarray, off: np.ndarray, minimum: int = MINIMUM, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(units: np.ndarray, off: np.ndarray, measure: Measure = BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, anchor place, first start, last start) of each context of a chunk; places count from the chunk's start."""
     none = np.zeros(0, np.int64)
-    n, w = len(data), minimum - anchor + 1
+    minimum, anchor = measure.minimum, measure.anchor
+    n, w = len(units), minimum - anchor + 1
     if n < minimum:
         return none, none, none, none
     m = n - anchor + 1
-    places = np.arange(m)
-    value = base.mix(base.Rolling(data, 7).of(places, places + anchor), 8)
-    # Least of each window of w values, by prefixes and suffixes of blocks of w.
-    pad = -m % w
-    blocks = np.concatenate([value, np.full(pad, np.iinfo(np.uint64).max)]).reshape(-1, w)
+    value = base.mix(base.Rolling(units, 7).of(slice(0, m), slice(anchor, None)), 8)
+    # The first place of the least value of each window of w: 32 bits of the value stand before the place, and the least is
+    # taken by prefixes and suffixes of blocks of w.
+    low = np.uint64(32)
+    value = (value >> low << low) | np.arange(m, dtype=np.uint64)
+    blocks = np.concatenate([value, np.full(-m % w, np.iinfo(np.uint64).max)]).reshape(-1, w)
     ahead = np.minimum.accumulate(blocks, axis=1).ravel()
     back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    starts = np.arange(n - minimum + 1)
-    row = np.searchsorted(off, starts, "right") - 1
-    starts = starts[starts + minimum <= off[row + 1]]
+    fits = np.repeat(off[1:], np.diff(off))[: n - minimum + 1] >= np.arange(minimum, n + 1)
+    starts = np.flatnonzero(fits)
     if not len(starts):
         return none, none, none, none
-    least = np.minimum(back[starts], ahead[starts + w - 1])
-    # The first place from each start that has the least value: places sorted by (value, place).
-    chosen = np.flatnonzero(np.isin(value, np.unique(least)))
-    order = chosen[np.argsort(value[chosen], kind="stable")]
-    first = np.searchsorted(value[order], least, "left")
-    place = order[first]
-    late = np.flatnonzero(place < starts)  # an earlier equal value lies before the start
-    if len(late):
-        rank = np.unique(least[late])
-        group = np.searchsorted(rank, value[order])
-        known = (group < len(rank)) & (rank[np.minimum(group, len(rank) - 1)] == value[order])
-        key = group[known].astype(np.int64) * (n + 1) + order[known]
-        place[late] = key[np.searchsorted(key, np.searchsorted(rank, least[late]).astype(np.int64) * (n + 1) + starts[late])] % (n + 1)
+    place = (np.minimum(back[starts], ahead[starts + w - 1]) & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
     new = np.ones(len(starts), bool)
     new[1:] = (place[1:] != place[:-1]) | (starts[1:] != starts[:-1] + 1)
     begin = np.flatnonzero(new)
@@ -187,15 +212,16 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return base.id_text(docs).select("doc_id", F.coalesce("doc_id", F.lit(-1)).alias("did"), F.xxhash64("doc_id", "text").alias("key"), "text")
 
 
-def contexts_of(docs: DataFrame, minimum: int) -> DataFrame:
+def contexts_of(docs: DataFrame, measure: Measure) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, _, data, off in base.byte_chunks(batch):
-                row, place, s0, s1 = anchors(data, off, minimum)
+            for lo, _, data, ends in base.byte_chunks(batch):
+                units, off = measure.units(data, ends)
+                row, place, s0, s1 = anchors(units, off, measure)
                 if not len(row):
                     continue
-                name = base.mix(base.Rolling(data, 9).of(place, place + ANCHOR), 10)
-                c1, c2 = (base.mix(base.Rolling(data, s).of(s0, s1 + minimum) ^ (s1 - s0).astype(np.uint64), s) for s in (11, 12))
+                name = base.mix(base.Rolling(units, 9).of(place, place + measure.anchor), 10)
+                c1, c2 = (base.mix(base.Rolling(units, s).of(s0, s1 + measure.minimum) ^ (s1 - s0).astype(np.uint64), s) for s in (11, 12))
                 at = pa.array(row + lo)
                 ints = [pa.array(x.astype(np.int32)) for x in (place - s0, s0 - off[row], s1 - off[row])]
                 yield pa.RecordBatch.from_arrays([batch.column("did").take(at), batch.column("key").take(at), base.to_long(name), *ints, base.to_long(c1), base.to_long(c2)], ["did", "key", "anchor", "back", "first", "last", "c1", "c2"])
@@ -203,8 +229,8 @@ def contexts_of(docs: DataFrame, minimum: int) -> DataFrame:
     return docs.select("did", "key", "text").mapInArrow(run, _CONTEXT)
 
 
-def _slices(docs: DataFrame, wanted: DataFrame, minimum: int) -> DataFrame:
-    """The bytes of contexts: ``wanted`` has did, key, anchor, back, first, last, settled, hot."""
+def _slices(docs: DataFrame, wanted: DataFrame, measure: Measure) -> DataFrame:
+    """The units of contexts: ``wanted`` has did, key, anchor, back, first, last, settled, hot."""
     lists = wanted.groupBy("did", "key").agg(F.collect_list(F.struct("anchor", "back", "first", "last", "settled", "hot")).alias("cuts"))  # at most a text's own contexts
     joined = docs.select("did", "key", "text").join(lists, ["did", "key"])
 
@@ -214,9 +240,15 @@ def _slices(docs: DataFrame, wanted: DataFrame, minimum: int) -> DataFrame:
         for whole in batches:
             for batch in base.row_chunks(whole, most=1 << 20):
                 out: list[tuple] = []
-                for did, key, text, cuts in zip(*(batch.column(c).to_pylist() for c in ("did", "key", "text", "cuts")), strict=True):
-                    raw = (text or "").encode("utf-8")
-                    out += [(did, key, c["anchor"], c["back"], c["first"], c["last"], c["settled"], c["hot"], raw[c["first"] : c["last"] + minimum]) for c in cuts]
+                at = 0
+                columns = [batch.column(c).to_pylist() for c in ("did", "key", "cuts")]
+                for _, _, data, ends in base.byte_chunks(batch):
+                    units, off = measure.units(data, ends)
+                    for i in range(len(off) - 1):
+                        did, key, cuts = (c[at] for c in columns)
+                        at += 1
+                        raw = units[off[i] : off[i + 1]]
+                        out += [(did, key, c["anchor"], c["back"], c["first"], c["last"], c["settled"], c["hot"], raw[c["first"] : c["last"] + measure.minimum].tobytes()) for c in cuts]
                 for i in range(0, len(out), 2000):
                     cols = zip(*out[i : i + 2000], strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
@@ -227,7 +259,7 @@ def _slices(docs: DataFrame, wanted: DataFrame, minimum: int) -> DataFrame:
 _MARKS = "did long, key long, lo int, hi int"
 
 
-def _marks_of_blocks(slices: DataFrame, minimum: int) -> DataFrame:
+def _marks_of_blocks(slices: DataFrame, measure: Measure) -> DataFrame:
     """Marks (first and last start of repeated strings) of contexts that meet by anchor in blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +268,7 @@ def _marks_of_blocks(slices: DataFrame, minimum: int) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             out: list[tuple] = []
-            for r, starts in zip(held, repeated_starts([x["data"] for x in held], minimum), strict=True):
+            for r, starts in zip(held, repeated_starts([np.frombuffer(x["data"], measure.dtype) for x in held], measure.minimum), strict=True):
                 if not r["settled"]:
                     out += [(r["did"], r["key"], r["first"] + int(a), r["first"] + int(b)) for a, b in zip(*spans(starts), strict=True)]
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["did", "key", "lo", "hi"])
@@ -244,11 +276,11 @@ def _marks_of_blocks(slices: DataFrame, minimum: int) -> DataFrame:
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 for r in batch.slice(i, 500).to_pylist():
-                    if size > BLOCK_BYTES and r["anchor"] != held[-1]["anchor"]:
+                    if size > BLOCK_UNITS * measure.dtype.itemsize and r["anchor"] != held[-1]["anchor"]:
                         yield flush()
                         held, size = [], 0
                     held.append(r)
-                    size += len(r["data"]) + 1
+                    size += len(r["data"]) + measure.dtype.itemsize
         if held:
             yield flush()
 
@@ -256,8 +288,9 @@ def _marks_of_blocks(slices: DataFrame, minimum: int) -> DataFrame:
     return cols.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, _MARKS)
 
 
-def _classes(level: DataFrame, width: int, minimum: int) -> DataFrame:
+def _classes(level: DataFrame, width: int, measure: Measure) -> DataFrame:
     """Cut each stretch of starts (lo to hi, counted from the anchor) into classes of ``width``; hash what they share and hold."""
+    minimum, size = measure.minimum, measure.dtype.itemsize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["sid", "lo", "hi", "weight", "kind", "core1", "core2", "all1", "all2"]
@@ -266,8 +299,8 @@ def _classes(level: DataFrame, width: int, minimum: int) -> DataFrame:
                 part = batch.slice(i, 1000)
                 data = part.column("data").cast(pa.large_binary())
                 off = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1]
-                raw = np.frombuffer(data.buffers()[2], np.uint8)[off[0] : off[-1]]
-                base_at = off[:-1] - off[0]
+                units = np.frombuffer(data.buffers()[2], np.uint8)[off[0] : off[-1]].copy().view(measure.dtype)
+                base_at = (off[:-1] - off[0]) // size
                 lo, hi, back = (part.column(c).to_numpy().astype(np.int64) for c in ("lo", "hi", "back"))
                 kinds = hi // width - lo // width + 1
                 row = np.repeat(np.arange(len(lo)), kinds)
@@ -277,62 +310,74 @@ def _classes(level: DataFrame, width: int, minimum: int) -> DataFrame:
                 zero = base_at[row] + back[row]  # where the anchor lies
                 cols = []
                 for seed in (13, 14):
-                    roll = base.Rolling(raw, seed)
+                    roll = base.Rolling(units, seed)
                     cols.append(base.mix(roll.of(zero + b, zero + a + minimum), seed))
                 for seed in (15, 16):
-                    cols.append(base.mix(base.Rolling(raw, seed).of(zero + low, zero + high + minimum), seed))
+                    cols.append(base.mix(base.Rolling(units, seed).of(zero + low, zero + high + minimum), seed))
                 at = pa.array(row)
                 yield pa.RecordBatch.from_arrays([part.column("sid").take(at), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32)), part.column("weight").take(at), pa.array(kind.astype(np.int32)), *map(base.to_long, cols)], names)
 
     return level.select("sid", "back", "lo", "hi", "weight", "data").mapInArrow(run, "sid long, lo int, hi int, weight int, kind int, core1 long, core2 long, all1 long, all2 long")
 
 
-def _marks_of_hot(slices: DataFrame, minimum: int) -> DataFrame | None:
+def _marks_of_hot(slices: DataFrame, measure: Measure, scratch: base.Scratch) -> DataFrame | None:
     """Marks of contexts of hot anchors, by ever narrower classes that are only counted."""
-    hot = base.stored(slices.withColumn("sid", F.monotonically_increasing_id()), "hot")
+    hot = scratch.stored(slices.withColumn("sid", F.monotonically_increasing_id()), "hot")
     if hot.isEmpty():
         return None
     level = hot.select("sid", "back", (-F.col("back")).alias("lo"), (F.col("last") - F.col("first") - F.col("back")).alias("hi"), F.when(F.col("settled"), 2).otherwise(1).alias("weight"), "data")
     marks = None
-    for width in REFINE:
-        rows = base.stored(_classes(level, width, minimum), "classes")
+    for width in (x for x in REFINE if x == 1 or 4 * x <= measure.minimum):
+        rows = scratch.stored(_classes(level, width, measure), "classes")
         same = ["kind", "core1", "core2", "all1", "all2", "lo", "hi"]
-        held = rows.groupBy(*same).agg(F.sum("weight").alias("n"), F.first("sid").alias("sid"))
-        twice = rows.where("weight = 1").join(held.where("n > 1").drop("sid", "n"), same).select("sid", "lo", "hi")
+        held = scratch.stored(rows.groupBy(*same).agg(F.sum("weight").alias("n"), F.first("sid").alias("sid")), "held")
+        twice = base.split_join(rows.where("weight = 1"), held.where("n > 1").drop("sid"), same, F.col("n") > HOT, ["sid"]).select("sid", "lo", "hi")
         marks = twice if marks is None else marks.union(twice)
         if width == 1:
             break
-        mixed = held.groupBy("kind", "core1", "core2").agg(F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
-        left = held.join(mixed, ["kind", "core1", "core2"]).select("sid", "lo", "hi", F.when(F.col("n") > 1, 2).otherwise(1).alias("weight"))
+        mixed = held.groupBy("kind", "core1", "core2").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+        left = base.split_join(held, mixed, ["kind", "core1", "core2"], F.col("m") > HOT, ["sid", "all1"]).select("sid", "lo", "hi", F.when(F.col("n") > 1, 2).otherwise(1).alias("weight"))
         level = left.join(hot.select("sid", "back", "data"), "sid")
     return marks.join(hot.select("sid", "did", "key", "first", "back"), "sid").select("did", "key", (F.col("first") + F.col("back") + F.col("lo")).alias("lo"), (F.col("first") + F.col("back") + F.col("hi")).alias("hi"))
 
 
-def repeated(docs: DataFrame, minimum: int = MINIMUM) -> DataFrame:
-    """Marks of all documents (from :func:`_keyed`): did, key and an array of (lo, hi) of starts of repeated strings."""
-    table = base.stored(contexts_of(docs, minimum), "contexts")
+def repeated(docs: DataFrame, measure: Measure = BYTES) -> DataFrame:
+    """Marks of documents (from :func:`_keyed`) that have any: did, key and an array of (lo, hi) of starts of repeated strings."""
+    scratch = base.Scratch(docs.sparkSession)
+    table = scratch.stored(contexts_of(docs, measure), "contexts")
     own = ["anchor", "c1", "c2", "back"]
-    held = base.stored(table.groupBy(*own).agg(F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in ("did", "key", "first", "last"))), "held")
-    whole = table.join(held.where("n > 1").select(*own), own).select("did", "key", F.col("first").alias("lo"), F.col("last").alias("hi"))
+    held = scratch.stored(table.groupBy(*own).agg(F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in ("did", "key", "first", "last"))), "held")
+    twice = base.split_join(table, held.where("n > 1").select(*own, "n"), own, F.col("n") > HOT, ["did", "key", "first"])
+    whole = twice.select("did", "key", F.col("first").alias("lo"), F.col("last").alias("hi"))
     kinds = held.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    wanted = held.join(kinds, "anchor").select("did", "key", "anchor", "back", "first", "last", (F.col("n") > 1).alias("settled"), (F.col("m") > HOT).alias("hot"))
-    slices = base.stored(_slices(docs, wanted, minimum), "slices")
-    marks = whole.union(_marks_of_blocks(slices.where("not hot"), minimum))
-    hot = _marks_of_hot(slices.where("hot"), minimum)
+    wanted = base.split_join(held, kinds, ["anchor"], F.col("m") > HOT, ["did", "key", "first"])
+    wanted = wanted.select("did", "key", "anchor", "back", "first", "last", (F.col("n") > 1).alias("settled"), (F.col("m") > HOT).alias("hot"))
+    slices = scratch.stored(_slices(docs, wanted, measure), "slices")
+    marks = whole.union(_marks_of_blocks(slices.where("not hot"), measure))
+    hot = _marks_of_hot(slices.where("hot"), measure, scratch)
     if hot is not None:
         marks = marks.union(hot)
-    return marks.groupBy("did", "key").agg(F.collect_list(F.struct("lo", "hi")).alias("marks"))  # at most a text's own contexts
+    lists = marks.groupBy("did", "key").agg(F.collect_list(F.struct("lo", "hi")).alias("marks"))  # at most a text's own contexts
+    out = base.stored(lists, "marks")
+    scratch.clear()
+    return out
+
+
+_WORD = re.compile(rb"[^ \t-\r]+")
 
 
-def covered(marks, n: int, minimum: int) -> list[tuple[int, int]]:
-    """Maximal removed runs of a text of n bytes."""
+def covered(raw: bytes, marks, measure: Measure) -> list[tuple[int, int]]:
+    """Maximal removed runs of the bytes of a text."""
     out: list[tuple[int, int]] = []
-    for lo, hi in sorted((m["lo"], m["hi"] + minimum) for m in ([] if marks is None else marks)):
+    for lo, hi in sorted((m["lo"], m["hi"] + measure.minimum) for m in ([] if marks is None else marks)):
         if out and lo <= out[-1][1]:
             out[-1] = out[-1][0], max(out[-1][1], hi)
         else:
             out.append((lo, hi))
-    return [(a, min(b, n)) for a, b in out]
+    if out and measure.unit == "words":
+        words = [m.span() for m in _WORD.finditer(raw)]
+        return [(words[a][0], words[b - 1][1]) for a, b in out]
+    return out
 
 
 def _kept(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
@@ -343,34 +388,44 @@ def _kept(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join([*parts, raw[at:]])
 
 
-def removed(docs: DataFrame, minimum: int = MINIMUM) -> DataFrame:
-    """``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept_sha256`` of every document."""
+def removed(docs: DataFrame, measure: Measure = BYTES, passages: Measure | None = None) -> DataFrame:
+    """``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept_sha256`` of every document.
+
+    With ``passages`` also ``n_passages`` and ``passage_bytes``: the maximal runs, and their bytes, that this second measure
+    finds in the input.
+    """
     keyed = _keyed(docs)
+    found = keyed.join(repeated(keyed, measure), ["did", "key"], "left")
+    others = repeated(keyed, passages).withColumnRenamed("marks", "others") if passages else None
+    found = found.withColumn("others", F.lit(None).cast("boolean")) if others is None else found.join(others, ["did", "key"], "left")
+    kinds = [pa.int64()] * 3 + [pa.string()] + [pa.int64()] * 2 * bool(passages)
+    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["n_passages", "passage_bytes"] if passages else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in base.row_chunks(whole, most=1 << 20):
-                n, gone, count, sha = [], [], [], []
-                for text, marks in zip(base.texts_of(batch), batch.column("marks").to_pylist(), strict=True):
+                rows: list[tuple] = []
+                for text, marks, more in zip(base.texts_of(batch), batch.column("marks").to_pylist(), batch.column("others").to_pylist(), strict=True):
                     raw = text.encode("utf-8")
-                    runs = covered(marks, len(raw), minimum)
-                    n.append(len(raw))
-                    gone.append(sum(b - a for a, b in runs))
-                    count.append(len(runs))
-                    sha.append(hashlib.sha256(_kept(raw, runs)).hexdigest())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(count, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                    runs = covered(raw, marks, measure)
+                    row = (len(raw), sum(b - a for a, b in runs), len(runs), hashlib.sha256(_kept(raw, runs)).hexdigest())
+                    if passages:
+                        runs = covered(raw, more, passages)
+                        row = (*row, len(runs), sum(b - a for a, b in runs))
+                    rows.append(row)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], ["doc_id", *names])
 
-    joined = keyed.join(repeated(keyed, minimum), ["did", "key"], "left").select("doc_id", "text", "marks")
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    schema = "doc_id long, " + ", ".join(f"{n} {'string' if n == 'kept_sha256' else 'long'}" for n in names)
+    return found.select("doc_id", "text", "marks", "others").mapInArrow(run, schema)
 
 
-def without_repeats(docs: DataFrame, minimum: int = MINIMUM) -> DataFrame:
+def without_repeats(docs: DataFrame, measure: Measure = BYTES) -> DataFrame:
     """``docs`` with repeated strings cut out of ``text``; a character of which a cut took some bytes goes as a whole.
 
     A null text stays null. Other columns stay as they are.
     """
     keyed = docs.withColumn("__did", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).withColumn("__key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    marks = repeated(_keyed(docs), minimum).select(F.col("did").alias("__did"), F.col("key").alias("__key"), F.col("marks").alias("__marks"))
+    marks = repeated(_keyed(docs), measure).select(F.col("did").alias("__did"), F.col("key").alias("__key"), F.col("marks").alias("__marks"))
 
     @F.pandas_udf("string")
     def cut(text, found):
@@ -382,7 +437,7 @@ def without_repeats(docs: DataFrame, minimum: int = MINIMUM) -> DataFrame:
                 out.append(t)
             else:
                 raw = t.encode("utf-8")
-                out.append(_kept(raw, covered(m, len(raw), minimum)).decode("utf-8", "ignore"))
+                out.append(_kept(raw, covered(raw, m, measure)).decode("utf-8", "ignore"))
         return pd.Series(out)
 
     joined = keyed.join(marks, ["__did", "__key"], "left").withColumn("text", cut("text", "__marks"))

@@ -124,6 +124,24 @@ def test_weights_are_rates():
     assert np.mean(hits) == pytest.approx(want, abs=0.05)
 
 
+def brute_passages(texts, size):
+    """Byte runs of each text covered by strings of ``size`` words that start at another place too."""
+    found = [list(re.finditer(rb"[^ \t-\r]+", (t or "").encode())) for t in texts]
+    lists = [[m.group() for m in f] for f in found]
+    c = Counter(tuple(w[i : i + size]) for w in lists for i in range(len(w) - size + 1))
+    out = []
+    for f, w in zip(found, lists, strict=True):
+        runs = []
+        for i in range(len(w) - size + 1):
+            if c[tuple(w[i : i + size])] > 1:
+                if runs and i <= runs[-1][1]:
+                    runs[-1][1] = i + size
+                else:
+                    runs.append([i, i + size])
+        out.append([(f[a].start(), f[b - 1].end()) for a, b in runs])
+    return out
+
+
 def brute(texts, size):
     raw = [(t or "").encode() for t in texts]
     c = Counter(b[i : i + size] for b in raw for i in range(len(b) - size + 1))
@@ -142,11 +160,33 @@ def brute(texts, size):
 @pytest.mark.parametrize("hot", [1000, 1])
 def test_op3(docs, no_docs, texts, hot, monkeypatch):
     monkeypatch.setattr(suffixes, "HOT", hot)
-    got = {r["doc_id"]: tuple(r)[1:] for r in suffixes.removed(docs).collect()}
-    assert got == dict(zip(texts, brute(texts.values(), 400), strict=True))
+    got = {r["doc_id"]: tuple(r)[1:] for r in suffixes.removed(docs, passages=suffixes.PASSAGES).collect()}
+    runs = brute_passages(texts.values(), 49)
+    assert sum(map(len, runs)) > 20
+    want = [(*x, len(y), sum(b - a for a, b in y)) for x, y in zip(brute(texts.values(), 400), runs, strict=True)]
+    assert got == dict(zip(texts, want, strict=True))
     assert suffixes.removed(no_docs).count() == 0
 
 
+def test_op3_on_a_whole_table(spark):
+    """All columns on the smallest documents, which hold copies, near copies, repeated lines and shared passages."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = {r["doc_id"]: tuple(r)[1:] for r in suffixes.removed(docs, passages=suffixes.PASSAGES).collect()}
+    assert got == {i: (*x, len(y), sum(b - a for a, b in y)) for i, x, y in zip(texts, brute(texts.values(), 400), brute_passages(texts.values(), 49), strict=True)}
+
+
+def test_passages_of_over_50_words_go(spark, rng):
+    """Passages of 51 words, shorter than 400 bytes, between words they run into; passages of 40 words stay."""
+    own = lambda k, n: " ".join(f"{k}{x}" for x in rng.sample(range(1000), n))
+    long, short = " ".join(f"p{k}" for k in range(51)), " ".join(f"q{k}" for k in range(40))
+    rows = [(i, f"{own(f"a{i}x", 30)}.{long};{own(f"b{i}x", 30)} {short} {own(f"c{i}x", 5)}", 7) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    for r in corpus_pipeline.without_repeats(spark, docs, "").collect():
+        assert not re.search(r"\bp\d+ p", r["text"]) and short in r["text"] and r["n_chars"] == len(r["text"])
+        assert len(r["text"].split()) == 30 + 30 + 40 + 5
+
+
 def test_op3_repeated_rows_and_ids(spark):
     rows = [(1, "q" * 900), (1, "q" * 900), (2, "ab" * 300), (2, "cd" * 300 + "z" * 401), (None, "cd" * 300), (None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -166,7 +206,7 @@ def test_interval_expansion(size):
     parts = [bytes(rng.integers(97, 100, rng.integers(0, 40)).astype(np.uint8)) + shared[rng.integers(3)] + bytes(rng.integers(97, 100, rng.integers(0, 40)).astype(np.uint8)) for _ in range(15)]
     parts += [parts[0], b"a" * 50, b""]
     c = Counter(b[i : i + size] for b in parts for i in range(len(b) - size + 1))
-    for b, got in zip(parts, suffixes.repeated_starts(parts, size), strict=True):
+    for b, got in zip(parts, suffixes.repeated_starts([np.frombuffer(b, np.uint8) for b in parts], size), strict=True):
         assert got.tolist() == [i for i in range(len(b) - size + 1) if c[b[i : i + size]] > 1]
 
 
