@@ -51,8 +51,11 @@ def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: strings of 400 bytes that repeat are cut out; ``n_chars`` follows the text."""
-    cut = suffixes.without_repeats(docs)
+    """Operator 3: passages of over 50 words that repeat are cut out; ``n_chars`` follows the text.
+
+    In bytes such passages are of any length (the 400 bytes of the operator's own query miss most), so words are counted.
+    """
+    cut = suffixes.without_repeats(docs, suffixes.PASSAGES)
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
 
 
