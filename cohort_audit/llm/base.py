@@ -62,18 +62,19 @@ class Scratch:
         self.paths = []
 
 
-#: Buckets of keys of which a heavy one is told to all tasks, and tasks that share the rows of a heavy bucket's keys.
-BUCKETS, SALTS = 1 << 14, 16
+#: Rows of one key that make it heavy; buckets of keys of which those with a heavy one are told to all tasks; tasks that share a
+#: heavy bucket's keys.
+HEAVY, BUCKETS, SALTS = 1000, 1 << 14, 16
 
 
-def split_join(many: DataFrame, few: DataFrame, on: list[str], heavy: Column, spread: list[str], how: str = "inner") -> DataFrame:
-    """``many`` joined with ``few`` (a row a key), the rows of heavy keys (``heavy`` is true of their row in ``few``) split.
+def split_join(many: DataFrame, few: DataFrame, on: list[str], heavy: DataFrame, spread: list[str], how: str = "inner") -> DataFrame:
+    """``many`` joined with ``few``, where the rows of ``many`` of a heavy key (a row of ``heavy``) go to several tasks.
 
-    Only the numbers of buckets of keys that hold a heavy one are broadcast, at most ``BUCKETS`` whatever the input. Rows of
-    ``many`` in such buckets go to ``SALTS`` tasks a key, by a hash of ``spread``; the matching rows of ``few`` are repeated.
+    Only the numbers of the buckets of keys that hold a heavy one are broadcast, at most ``BUCKETS`` whatever the input. Rows
+    of ``many`` in such buckets go to ``SALTS`` tasks a key, by a hash of ``spread``; those of ``few`` are repeated.
     """
     bucket = F.pmod(F.xxhash64(*on), F.lit(BUCKETS))
-    hot = few.where(heavy).select(bucket.alias("__bucket")).distinct().withColumn("__hot", F.lit(True))
+    hot = heavy.select(bucket.alias("__bucket")).distinct().withColumn("__hot", F.lit(True))
 
     def marked(df: DataFrame) -> DataFrame:
         return df.withColumn("__bucket", bucket).join(F.broadcast(hot), "__bucket", "left").drop("__bucket")

@@ -14,7 +14,9 @@ comes to the driver, and each step's table is written to the shared folder.
 
 Words are runs of ASCII letters and digits and of characters beyond ASCII; ASCII case is folded. Defined results: a text of
 1 to 4 words has one shingle, all of them; texts without a word (null and empty ones too) are linked only if they are equal.
-Rows with equal ``doc_id`` are one document, linked by any of its texts; a null ``doc_id`` has a null class.
+Long texts are taken whole. Rows with equal ``doc_id`` are one document, linked by any of its texts; a null ``doc_id`` has a null
+class. A class is named by its least id, so there are no ties; an empty table gives no rows; only ``doc_id`` and ``text`` are
+read, and further columns of any name do no harm.
 """
 
 from __future__ import annotations
@@ -147,10 +149,11 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Of the pairs (a, b) those whose shingle sets have at least that Jaccard similarity."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
+    heavy = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > base.HEAVY)
     both = F.size(F.array_intersect("x", "y"))
     # Sizes alone rule out pairs before the sets are intersected.
     near = (F.least(F.size("x"), F.size("y")) >= similarity * F.greatest(F.size("x"), F.size("y"))) & (both >= similarity * (F.size("x") + F.size("y") - both))
-    return pairs.join(left, "a").join(right, "b").where(near).select("a", "b")
+    return base.split_join(pairs.join(right, "b"), left, ["a"], heavy, ["b"]).where(near).select("a", "b")
 
 
 def prefix_pairs(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -165,14 +168,15 @@ def prefix_pairs(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFr
     rows = base.stored(rows, "prefix")
     often = base.stored(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("m")), "often")
     place = F.row_number().over(Window.partitionBy("node", "part").orderBy("m", "shingle"))  # a text's own shingles
-    head = rows.join(often, "shingle").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1)
+    heavy = often.where(F.col("m") > base.HEAVY)
+    head = base.split_join(rows, often, ["shingle"], heavy, ["node"]).withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1)
     head = base.stored(head.where("m > 1").select("shingle", "node", "of", "n", "place"), "heads")
     mixed = head.groupBy("shingle").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo <> hi").select("shingle")
-    head = base.stored(head.join(mixed, "shingle", "left_semi"), "heads")
+    head = base.stored(base.split_join(head, mixed, ["shingle"], heavy, ["node"]), "heads")
     other = head.select("shingle", F.col("node").alias("other"), F.col("of").alias("other_of"), F.col("n").alias("other_n"), F.col("place").alias("other_place"))
     fits = (F.col("of") < F.col("other_of")) & (F.least("n", "other_n") >= similarity * F.greatest("n", "other_n"))
     fits = fits & (1 + F.least(F.col("n") - F.col("place"), F.col("other_n") - F.col("other_place")) >= similarity / (1 + similarity) * (F.col("n") + F.col("other_n")) - 1e-9)
-    return head.join(other, "shingle").where(fits).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    return base.split_join(head, other, ["shingle"], heavy, ["node"]).where(fits).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -184,9 +188,10 @@ def components(edges: DataFrame) -> DataFrame:
     last = None
     while True:
         both = now.union(now.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("a", "m"))
+        large = base.split_join(both, least.drop("n"), ["a"], least.where(F.col("n") > base.HEAVY), ["b"])
+        large = large.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"))  # a node's stars are few: each is a component so far
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         now = base.stored(small, "edges")
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -207,8 +212,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     nodes = table.where("doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"))
     nodes = base.stored(nodes, "nodes")
     rows = nodes.where("bands is not null").select("node", F.explode("bands").alias("band"))
-    heads = rows.groupBy("band").agg(F.min("node").alias("head"), F.max("node").alias("tail")).where("head <> tail").select("band", "head")
-    buckets = base.stored(rows.join(heads, "band"), "buckets")
+    heads = base.stored(rows.groupBy("band").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1"), "bands")
+    buckets = base.stored(base.split_join(rows, heads.select("band", "head"), ["band"], heads.where(F.col("n") > base.HEAVY), ["node"]), "buckets")
     stars = base.stored(buckets.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     used = buckets.select(F.col("node").alias("doc_id")).union(stars.select("a")).distinct()
     of_used = docs.select("doc_id", "text").join(used, "doc_id", "left_semi")
@@ -225,7 +230,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     # Nodes of a bucket whose classes still differ.
     member = buckets.join(classes.withColumnRenamed("id", "node"), "node", "left").select("band", "node", F.coalesce("class_id", "node").alias("of"))
     mixed = member.groupBy("band").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo <> hi").select("band")
-    open_nodes = base.stored(member.join(mixed, "band", "left_semi").select("node", "of").distinct(), "open")
+    open_nodes = base.stored(base.split_join(member, mixed, ["band"], heads.where(F.col("n") > base.HEAVY), ["node"]).select("node", "of").distinct(), "open")
     cross = prefix_pairs(open_nodes, sets, similarity)
     cross = base.stored(cross.join(stars, ["a", "b"], "left_anti"), "cross")
     more = base.stored(verified(cross, sets, similarity), "links")

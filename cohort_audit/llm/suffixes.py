@@ -8,8 +8,9 @@ else in the corpus. The work is split by content, so that strings that may be eq
    all neighbouring strings with one anchor.
 2. Contexts are compared by anchor and 128-bit hash: a context that occurs twice is repeated as a whole. An anchor with one
    context is done. Only anchors with different contexts need their units.
-3. Those contexts are put together by anchor in blocks of bounded size. A block's suffix array and Burrows-Wheeler
-   transform are built, and intervals are extended backwards breadth-first, which settles longest common prefixes by
+3. Those contexts are put together by anchor in blocks of bounded size. Strings at about the same distance from the anchor
+   share a core; where a core occurs once among an anchor's contexts its strings do too, and are left out. The suffix array
+   and Burrows-Wheeler transform of the rest of a block are built, and intervals are extended backwards breadth-first, which settles longest common prefixes by
    increasing value, up to ``minimum``; neighbours still open then share at least ``minimum`` units. Contexts end in a
    separator that no extension passes, so no match crosses documents.
 4. Anchors with more than ``HOT`` contexts never meet in a task: their contexts are cut into ever narrower classes of
@@ -66,7 +67,7 @@ class Measure:
 SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
 BYTES, PASSAGES = Measure("bytes", 400, 48), Measure("words", 49, 8)
-HOT, REFINE = 1000, (64, 8, 1)
+HOT, REFINE, CORES = 1000, (64, 8, 1), 8
 BLOCK_UNITS = 1 << 20
 
 
@@ -164,6 +165,34 @@ def repeated_starts(contexts: list[np.ndarray], minimum: int) -> list[np.ndarray
     return [np.flatnonzero(hit[a:b]) for a, b in zip(starts, ends, strict=True)]
 
 
+def alike(data: list[np.ndarray], anchor: np.ndarray, back: np.ndarray, measure: Measure) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, first start, last start) of the stretches of strings that can occur in another context of their anchor.
+
+    ``back`` is the distance of the anchor from the context's start. The strings of a context are cut into ``CORES`` classes
+    by their distance to the anchor; those of one class share its core, so a core of one context alone rules them out.
+    """
+    width = (measure.minimum - measure.anchor) // CORES + 1
+    length = np.array([len(x) for x in data])
+    most = back  # greatest and least distance of a string's start to the anchor
+    least = back - (length - measure.minimum)
+    n = most // width - least // width + 1
+    row = np.repeat(np.arange(len(data)), n)
+    kind = np.repeat(least // width, n) + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    place = np.repeat(np.cumsum(length) - length + back, n)
+    core = base.Rolling(np.concatenate(data), 17).of(place - kind * width, place - (kind + 1) * width + 1 + measure.minimum)
+    key = base.mix(base.mix(core, 18) ^ anchor[row].view(np.uint64) ^ base.mix(kind, 19), 20)
+    _, of, times = np.unique(key, return_inverse=True, return_counts=True)
+    at = np.flatnonzero(times[of] > 1)
+    row, kind = row[at], kind[at]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (kind[1:] != kind[:-1] + 1)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(row))[: len(first)] - 1
+    row = row[first]
+    far, near = np.minimum(most[row], kind[last] * width + width - 1), np.maximum(least[row], kind[first] * width)
+    return row, back[row] - far, back[row] - near
+
+
 def spans(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and last of each run of consecutive numbers."""
     if not len(starts):
@@ -268,9 +297,13 @@ def _marks_of_blocks(slices: DataFrame, measure: Measure) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             out: list[tuple] = []
-            for r, starts in zip(held, repeated_starts([np.frombuffer(x["data"], measure.dtype) for x in held], measure.minimum), strict=True):
+            data = [np.frombuffer(x["data"], measure.dtype) for x in held]
+            cuts = alike(data, np.array([x["anchor"] for x in held]), np.array([x["back"] for x in held]), measure)
+            parts = [data[i][a : b + measure.minimum] for i, a, b in zip(*cuts, strict=True)]
+            for i, a, starts in zip(*cuts[:2], repeated_starts(parts, measure.minimum) if parts else [], strict=True):
+                r = held[i]
                 if not r["settled"]:
-                    out += [(r["did"], r["key"], r["first"] + int(a), r["first"] + int(b)) for a, b in zip(*spans(starts), strict=True)]
+                    out += [(r["did"], r["key"], r["first"] + int(a + x), r["first"] + int(a + y)) for x, y in zip(*spans(starts), strict=True)]
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["did", "key", "lo", "hi"])
 
         for batch in batches:
@@ -284,7 +317,7 @@ def _marks_of_blocks(slices: DataFrame, measure: Measure) -> DataFrame:
         if held:
             yield flush()
 
-    cols = slices.select("did", "key", "anchor", "first", "settled", "data")
+    cols = slices.select("did", "key", "anchor", "back", "first", "settled", "data")
     return cols.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, _MARKS)
 
 
@@ -331,12 +364,12 @@ def _marks_of_hot(slices: DataFrame, measure: Measure, scratch: base.Scratch) ->
         rows = scratch.stored(_classes(level, width, measure), "classes")
         same = ["kind", "core1", "core2", "all1", "all2", "lo", "hi"]
         held = scratch.stored(rows.groupBy(*same).agg(F.sum("weight").alias("n"), F.first("sid").alias("sid")), "held")
-        twice = base.split_join(rows.where("weight = 1"), held.where("n > 1").drop("sid"), same, F.col("n") > HOT, ["sid"]).select("sid", "lo", "hi")
+        twice = base.split_join(rows.where("weight = 1"), held.where("n > 1").select(*same), same, held.where(F.col("n") > base.HEAVY), ["sid"]).select("sid", "lo", "hi")
         marks = twice if marks is None else marks.union(twice)
         if width == 1:
             break
         mixed = held.groupBy("kind", "core1", "core2").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-        left = base.split_join(held, mixed, ["kind", "core1", "core2"], F.col("m") > HOT, ["sid", "all1"]).select("sid", "lo", "hi", F.when(F.col("n") > 1, 2).otherwise(1).alias("weight"))
+        left = base.split_join(held, mixed, ["kind", "core1", "core2"], mixed.where(F.col("m") > base.HEAVY), ["sid", "all1"]).select("sid", "lo", "hi", F.when(F.col("n") > 1, 2).otherwise(1).alias("weight"))
         level = left.join(hot.select("sid", "back", "data"), "sid")
     return marks.join(hot.select("sid", "did", "key", "first", "back"), "sid").select("did", "key", (F.col("first") + F.col("back") + F.col("lo")).alias("lo"), (F.col("first") + F.col("back") + F.col("hi")).alias("hi"))
 
@@ -347,10 +380,10 @@ def repeated(docs: DataFrame, measure: Measure = BYTES) -> DataFrame:
     table = scratch.stored(contexts_of(docs, measure), "contexts")
     own = ["anchor", "c1", "c2", "back"]
     held = scratch.stored(table.groupBy(*own).agg(F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in ("did", "key", "first", "last"))), "held")
-    twice = base.split_join(table, held.where("n > 1").select(*own, "n"), own, F.col("n") > HOT, ["did", "key", "first"])
+    twice = base.split_join(table, held.where("n > 1").select(*own), own, held.where(F.col("n") > base.HEAVY), ["did", "key", "first"])
     whole = twice.select("did", "key", F.col("first").alias("lo"), F.col("last").alias("hi"))
     kinds = held.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    wanted = base.split_join(held, kinds, ["anchor"], F.col("m") > HOT, ["did", "key", "first"])
+    wanted = base.split_join(held, kinds, ["anchor"], kinds.where(F.col("m") > base.HEAVY), ["did", "key", "first"])
     wanted = wanted.select("did", "key", "anchor", "back", "first", "last", (F.col("n") > 1).alias("settled"), (F.col("m") > HOT).alias("hot"))
     slices = scratch.stored(_slices(docs, wanted, measure), "slices")
     marks = whole.union(_marks_of_blocks(slices.where("not hot"), measure))

@@ -221,3 +221,13 @@ def test_equal_strings_pick_equal_anchors():
         for s in range(301):
             seen[s].add(of[k + s] - k)
     assert all(len(v) == 1 for v in seen.values())
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_split_join_is_a_join(spark, how, monkeypatch):
+    monkeypatch.setattr(base, "BUCKETS", 3)
+    many = spark.createDataFrame([(i % 5 if i else None, i) for i in range(200)] + [(7, k) for k in range(300)], "k long, v long")
+    few = spark.createDataFrame([(1, "a"), (3, "b"), (3, "c"), (7, "d"), (9, "e"), (None, "f")], "k long, w string")
+    heavy = many.groupBy("k").count().where("count > 100")
+    got = base.split_join(many, few, ["k"], heavy, ["v"], how)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, many.join(few, "k", how).collect()))
