@@ -9,7 +9,9 @@ the score (how often such a margin is right) and the rejection (how far a text's
 Texts are lower-cased, letters are symbols, and any run of other characters is one boundary symbol.
 
 Defined results: null text, or text without a letter, is ``und`` with score 0 and is rejected. A tie goes to the language
-that sorts first. With no labelled row at all every text is ``und``.
+that sorts first. Long texts are taken whole. Repeated rows are predicted each by itself, with equal results for equal texts;
+rows without an id are predicted but not learned from. With no labelled row at all every text is ``und``; an empty table gives
+no rows; only ``doc_id``, ``text`` and, to learn, ``lang`` are read.
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ from . import base
 ORDER = 4
 #: Labelled documents of a language that a model is fitted on.
 PER_LANGUAGE = 1500
-#: Share of the calibration rows of a language that may be rejected, and the least distance that rejects.
-REJECT_SHARE, REJECT_LEAST = 0.001, 12.0
+#: Share of a language's texts that rejection is set to lose, and the share of calibration rows that its tail is fitted to.
+REJECT_SHARE, TAIL = 0.0005, 0.1
 SPACE = 32
 
 
@@ -171,16 +173,21 @@ def calibrate(models: Models, texts: list[str], langs: list[str]) -> None:
         if np.abs(step).max() < 1e-9:
             break
     low = ce.min(1)
-    mean, spread, limit = np.zeros(len(models.languages)), np.ones(len(models.languages)), np.zeros(len(models.languages))
+    mean, spread, far = np.zeros(len(models.languages)), np.ones(len(models.languages)), [np.zeros(0)]
+    root = np.sqrt(np.minimum(letters, 400))
     for k in range(len(models.languages)):
         own = (truth == k) & (guess == k)
         if own.sum() >= 5:
             mean[k] = np.median(low[own])
-            spread[k] = max(0.05, float(np.sqrt(np.mean((low[own] - mean[k]) ** 2 * np.minimum(letters[own], 400)))))
-            z = (low[own] - mean[k]) * np.sqrt(np.minimum(letters[own], 400)) / spread[k]
-            limit[k] = max(REJECT_LEAST, float(np.quantile(z, 1 - REJECT_SHARE)) + 1)
+            spread[k] = max(0.05, float(np.sqrt(np.mean(((low[own] - mean[k]) * root[own]) ** 2))))
+            far.append((low[own] - mean[k]) * root[own] / spread[k])
         else:
-            limit[k] = np.inf
+            mean[k] = np.inf  # too few rows to tell: never rejected
+    z, limit = np.concatenate(far), np.inf
+    if len(z):
+        # The tail of all languages' distances as an exponential: few calibration rows say little about so rare a distance.
+        start = float(np.quantile(z, 1 - TAIL))
+        limit = max(float(z.max()), start + float(np.mean(z[z >= start] - start)) * float(np.log(TAIL / REJECT_SHARE)))
     models.calibration = {"a": a, "b": max(b, 0.0), "mean": mean, "spread": spread, "limit": limit}
 
 
@@ -253,7 +260,7 @@ def _predict(models: Models | None, batch: pa.RecordBatch) -> pa.RecordBatch:
         known = letters > 0
         score = np.where(known, 1 / (1 + np.exp(-np.clip(c["a"] + c["b"] * _margin(ce, letters), -30, 30))), 0.0)
         z = (low - c["mean"][best]) * np.sqrt(np.minimum(letters, 400)) / c["spread"][best]
-        rejected = ~known | (z > c["limit"][best])
+        rejected = ~known | (z > c["limit"])
         names = [models.languages[k] if ok else "und" for k, ok in zip(best, known, strict=True)]
         low = np.where(known, low, 0.0)
     return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(score), pa.array(low), pa.array(rejected)], ["doc_id", "lang_pred", "score", "cross_entropy", "rejected"])

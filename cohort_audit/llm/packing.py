@@ -1,13 +1,18 @@
 """Operator 7 - packing of documents into sequences by a configuration linear program.
 
-Only the histogram of piece lengths (at most ``capacity`` numbers, however many documents) comes to the driver. There
-the covering program over configurations (multisets of lengths that fit a sequence) is solved by multiplicative weights:
-each round prices lengths by their weights, a knapsack dynamic program finds the best configuration, a step towards it is
-taken, rounded down to whole sequences, and the lengths it covers lose weight. What is left after the rounds is placed
-best-fit decreasing, on groups of equal sequences. Pieces then find their place by the rank among pieces of their length.
+Only the histogram of piece lengths (at most ``capacity`` numbers, however many documents) comes to the driver. The program
+has a variable for each configuration (multiset of lengths that fits a sequence) and asks for the fewest sequences that cover
+every length as often as it occurs. It is solved by multiplicative weights: each round a knapsack dynamic program prices all
+configurations, those of nearly the best price are taken as far as they cover no length more than wholly, and a length's weight
+falls with how much of it the round covered. The rounds' sum, scaled until every length is covered, is a fractional solution;
+the weights give a lower bound on any packing (:func:`program`). Shares of the solution are rounded down to whole
+sequences that hold no length too often, what is left is placed best-fit decreasing, on groups of equal sequences, and the
+plan of the fewest sequences stays. Pieces then find their place by the rank among pieces of their length.
 
 Defined results: null text is the empty text, which still has its end id; documents longer than ``capacity`` are cut into
-full pieces with a shorter first one; repeated rows are packed as often as they occur; an empty table gives no rows.
+full pieces with a shorter first one; repeated rows are packed as often as they occur; pieces of equal length are
+interchangeable, and which of them goes where follows the order in which Spark reads them; an empty table gives no rows; only
+``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations
@@ -24,8 +29,9 @@ from pyspark.sql import functions as F
 
 from . import base, tokens
 
-#: Rounds of multiplicative weights; exponent of the first prices; rate of their change; share of the room a step takes.
-ROUNDS, POWER, RATE, STEP = 300, 1.3, 0.5, 0.5
+#: Rounds of multiplicative weights, rate of the weights' change, how far below the best price a configuration is taken, and
+#: the shares of the fractional solution of which the best rounding stays.
+ROUNDS, RATE, NEAR, SHARES = 100, 0.5, 0.02, (1.0, 0.8, 0.6, 0.4, 0.2, 0.1)
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, local long"
 
 
@@ -59,27 +65,54 @@ def pieces(docs: DataFrame, path: str, end_id: int, capacity: int) -> DataFrame:
     return base.id_text(docs).mapInArrow(run, PIECES)
 
 
-def best_configuration(lengths: np.ndarray, value: np.ndarray, capacity: int) -> np.ndarray:
-    """Counts of each length in the configuration of greatest value that fits (unbounded knapsack)."""
+def knapsack(lengths: np.ndarray, weight: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Greatest weight that fits each room (unbounded knapsack), and the length taken last (the longest of equals; -1: none)."""
     best = np.zeros(capacity + 1)
     took = np.full(capacity + 1, -1)
+    down, worth = lengths[::-1], weight[::-1]
     for c in range(int(lengths[0]), capacity + 1):
-        k = np.searchsorted(lengths, c, "right")
-        gain = best[c - lengths[:k]] + value[:k]
+        k = int(np.searchsorted(lengths, c, "right"))
+        gain = best[c - down[-k:]] + worth[-k:]
         i = int(gain.argmax())
-        if gain[i] > best[c - 1]:
-            best[c], took[c] = gain[i], i
-        else:
-            best[c] = best[c - 1]
-    counts = np.zeros(len(lengths), np.int64)
-    c = capacity
-    while c > 0:
-        if took[c] < 0:
-            c -= 1
-        else:
-            counts[took[c]] += 1
-            c -= int(lengths[took[c]])
-    return counts
+        best[c], took[c] = (gain[i], k - 1 - i) if gain[i] > best[c - 1] + 1e-12 else (best[c - 1], -1)
+    return best, took
+
+
+def program(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = ROUNDS, rate: float = RATE, near: float = NEAR) -> tuple[dict[tuple[int, ...], float], np.ndarray, float]:
+    """A fractional solution of the covering program by multiplicative weights.
+
+    ``lengths`` ascend. Returns how often each configuration (places of its lengths, ascending) is taken, how much of each
+    length's demand that covers (1 in the mean over all tokens), and a lower bound on the sequences of any packing.
+    """
+    weight = lengths / capacity
+    tokens = lengths * demand / (lengths @ demand)
+    taken: dict[tuple[int, ...], float] = {}
+    covered, mean, bound = np.zeros(len(lengths)), np.zeros(len(lengths)), 0.0
+    for _ in range(rounds):
+        best, took = knapsack(lengths, weight, capacity)
+        mean += weight / best[capacity]
+        bound = max(bound, float(weight @ demand / best[capacity]))  # the weights over the best price are a dual solution
+        columns = []
+        for i in np.flatnonzero(weight + best[capacity - lengths] >= (1 - near) * best[capacity]).tolist():  # the best with each length
+            room, column = capacity - int(lengths[i]), [i]
+            while room > 0:
+                j = int(took[room])
+                room -= 1 if j < 0 else int(lengths[j])
+                column += [] if j < 0 else [j]
+            columns.append((i, np.array(sorted(column))))
+        times = np.array([demand[i] / np.count_nonzero(c == i) for i, c in columns])
+        items, sizes = np.concatenate([c for _, c in columns]), [len(c) for _, c in columns]
+        share = np.bincount(items, np.repeat(times, sizes), len(lengths)) / demand
+        times /= np.maximum(1, np.maximum.reduceat(share[items], np.cumsum(sizes) - sizes))
+        share = np.bincount(items, np.repeat(times, sizes), len(lengths)) / demand
+        for (_, c), t in zip(columns, times.tolist(), strict=True):
+            key = tuple(c.tolist())
+            taken[key] = taken.get(key, 0.0) + t
+        covered += share
+        weight = weight * np.exp(-rate * (share - share @ tokens))
+    bound = max(bound, float(mean @ demand / knapsack(lengths, mean, capacity)[0][capacity]))
+    scale = float(covered @ tokens)
+    return {c: t / scale for c, t in taken.items()}, covered / scale, bound
 
 
 def configurations(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
@@ -92,22 +125,20 @@ def configurations(histogram: dict[int, int], capacity: int, rounds: int = ROUND
         return out
     lengths = np.array(sorted(left))
     demand = np.array([left[n] for n in lengths])
-    rest = demand.copy()
-    size = lengths / capacity
-    for _ in range(rounds):
-        live = np.flatnonzero(rest)
-        if not len(live):
-            break
-        # Prices: long pieces are dearer than their length, as in the program's dual; a length whose share still uncovered
-        # lies above the mean gains weight, one below it loses.
-        uncovered = rest / demand - (rest @ lengths) / (demand @ lengths)
-        price = size**POWER * np.exp(RATE * uncovered)
-        counts = np.minimum(best_configuration(lengths[live], price[live], capacity), rest[live])
-        used = live[counts > 0]
-        counts = counts[counts > 0]
-        times = max(1, int(STEP * (rest[used] // counts).min()))  # the step, rounded down to whole sequences
-        out.append(({int(n): int(c) for n, c in zip(lengths[used], counts, strict=True)}, times))
-        rest[used] -= counts * times
+    taken, _, _ = program(lengths, demand, capacity, rounds)
+    columns = [(*np.unique(c, return_counts=True), t) for c, t in sorted(taken.items(), key=lambda x: (-x[1], x[0]))]
+    plans = [rounded(columns, lengths, demand, capacity, share) for share in SHARES]
+    return out + min(plans, key=lambda plan: sum(times for _, times in plan))
+
+
+def rounded(columns: list[tuple], lengths: np.ndarray, demand: np.ndarray, capacity: int, share: float) -> list[tuple[dict[int, int], int]]:
+    """Whole sequences of a share of a fractional solution that hold no length too often, and best-fit for the rest."""
+    rest, out = demand.copy(), []
+    for at, counts, times in columns:
+        k = int(min(share * times, (rest[at] // counts).min()))
+        if k > 0:
+            rest[at] -= k * counts
+            out.append(({int(n): int(c) for n, c in zip(lengths[at], counts, strict=True)}, k))
     return out + best_fit({int(n): int(k) for n, k in zip(lengths, rest, strict=True) if k}, capacity)
 
 

@@ -1,14 +1,18 @@
 """Operator 10 - toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Terms are lower-case words and their beginnings of 4 to 6 letters. From a bounded sample of labelled rows (``EXAMPLES``,
-those with the smallest hash of their id) the terms whose link with the label is significant, at a false discovery rate of
-``ALPHA``, are selected; examples are TF-IDF vectors of unit length over them. Postings lie in blocks of ``BLOCK`` examples, and each
+Terms are lower-case words and their beginnings of 4 to 6 letters, and either of them as often as each of ``LEVELS`` (unit
+vectors do not tell one rude word from five). From a bounded sample of labelled rows (``EXAMPLES``, those with the smallest
+hash of their id) the terms whose link with the label is significant, at a false discovery rate of ``ALPHA``, are selected,
+however many they are; examples are TF-IDF vectors of unit length over them. Postings lie in blocks of ``BLOCK`` examples, and each
 (term, block) keeps its greatest weight: a query takes blocks by falling upper bound and stops when none can still reach
 its k-th best, so the top k are exact. The neighbours vote with squared cosines; a monotone (isotonic) map, fitted to
 leave-one-out votes of the sample, turns the vote into the score.
 
 Defined results: a text without a selected term (null and empty ones too) has no neighbours and gets the sample's rate of
-toxic rows among such texts. Ties in cosine go to the earlier example. Without labelled rows of both kinds the score is 0.
+toxic rows among such texts. Long texts are taken whole. Ties in cosine go to the earlier example. A document labelled more
+than once is toxic if any label says so; of labelled rows of one id one is learned from; repeated rows are scored each by
+itself, with equal results for equal texts. Without labelled rows of both kinds the score is 0; an empty table gives no rows;
+only ``doc_id``, ``text`` and the labels' ``toxic`` are read.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ import math
 import pickle
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,9 +32,9 @@ from pyspark.sql import functions as F
 from . import base, minhash
 
 EXAMPLES, NEIGHBOURS, BLOCK = 20_000, 15, 128
-#: Selected terms at most, and terms of toxic rows that are tested at most (those in most rows).
-TERMS, TESTED, LEAST_ROWS, ALPHA = 4000, 50_000, 3, 0.01
-HEADS = (4, 5, 6)
+#: Toxic rows that a term must be in to be tested, and the false discovery rate of the terms selected.
+LEAST_ROWS, ALPHA = 3, 0.001
+HEADS, LEVELS = (4, 5, 6), (2, 3, 5)
 THRESHOLD = 0.7
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -39,21 +43,31 @@ def words(text: str) -> Counter:
     return Counter(_WORD.findall(text.lower()))
 
 
-def term_counts(text: str, known: set[str] | None = None, heads: set[str] | None = None) -> dict[str, int]:
-    """Counts of the terms of a text, of those in ``known`` if given (``heads``: their first four letters)."""
+class Terms:
+    """A set of terms, what they are made of, and the first four letters of that."""
+
+    def __init__(self, known: Iterable[str]):
+        self.known = set(known)
+        self.plain = {t.split("+")[0] for t in self.known}
+        self.heads = {t.rstrip("*")[:4] for t in self.plain}
+
+
+def term_counts(text: str, terms: Terms | None = None) -> dict[str, int]:
+    """Counts of the terms of a text, of those in ``terms`` if given; a term of a level counts as one."""
     out: dict[str, int] = {}
     for w, n in words(text).items():
-        if heads is not None and w[:4] not in heads:
+        if terms is not None and w[:4] not in terms.heads:
             continue
-        if known is None or w in known:
+        if terms is None or w in terms.plain:
             out[w] = out.get(w, 0) + n
         for k in HEADS:
             if len(w) < k:
                 break
             t = w[:k] + "*"
-            if known is None or t in known:
+            if terms is None or t in terms.plain:
                 out[t] = out.get(t, 0) + n
-    return out
+    out.update([(f"{t}+{k}", 1) for t, n in out.items() if n >= LEVELS[0] for k in LEVELS if n >= k])
+    return out if terms is None else {t: n for t, n in out.items() if t in terms.known}
 
 
 @dataclass
@@ -70,8 +84,7 @@ class Index:
     block_max: np.ndarray
     rest: float  # score of a text without a term
     steps: tuple[np.ndarray, np.ndarray] = field(default_factory=lambda: (np.array([0.0, 1.0]), np.array([0.0, 1.0])))
-    heads: set[str] = field(default_factory=set)
-    known: set[str] = field(default_factory=set)
+    vocabulary: Terms = field(default_factory=lambda: Terms(()))
 
     def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
         at = np.array(sorted(self.terms[t] for t in counts), np.int64)
@@ -108,7 +121,7 @@ class Index:
 
     def score(self, text: str) -> tuple[float, np.ndarray]:
         """Score of a text and the neighbours behind it."""
-        counts = term_counts(text, self.known, self.heads)
+        counts = term_counts(text, self.vocabulary)
         if not counts:
             return self.rest, np.zeros(0, np.int64)
         at, _w = self.vector(counts)
@@ -162,7 +175,7 @@ def build(rows: list[tuple[int, int, dict[str, int]]], total: int, df: dict[str,
     offsets = np.searchsorted(cell, np.arange(len(chosen) * blocks + 1))
     block_max = np.zeros(len(chosen) * blocks)
     np.maximum.at(block_max, cell, w)
-    index = Index(terms, idf, np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], float), offsets, e, w, block_max.reshape(len(chosen), blocks), rest, heads={x[:4] for x in (c.rstrip("*") for c in chosen)}, known=set(chosen))
+    index = Index(terms, idf, np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], float), offsets, e, w, block_max.reshape(len(chosen), blocks), rest, vocabulary=Terms(chosen))
     votes, truth = [], []
     for i, (_, y, counts) in enumerate(rows):
         near, cosines = index.nearest(*index.vector(counts), skip=i)
@@ -174,33 +187,6 @@ def build(rows: list[tuple[int, int, dict[str, int]]], total: int, df: dict[str,
     return index
 
 
-def _first_of_copies(texts: DataFrame, keys: int = 4) -> list[int]:
-    """Ids of the bounded sample without its near copies: a text stays if no text of a lower id shares one of its least shingle hashes.
-
-    Else a term of one much-copied toxic text would look like a mark of many toxic texts.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, data, off in base.byte_chunks(batch):
-                h, row = minhash.shingle_hashes(*minhash.word_hashes(data, off))
-                least = np.zeros((hi - lo, keys), np.uint64)
-                for k in range(keys):
-                    least[:, k] = np.iinfo(np.uint64).max
-                    np.minimum.at(least[:, k], row, base.mix(h, 400 + k))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1) * keys, pa.int32()), base.to_long(least.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), lists], ["doc_id", "least"])
-
-    seen: set[tuple[int, int]] = set()
-    kept = []
-    for r in sorted(texts.select("doc_id", "text").mapInArrow(run, "doc_id long, least array<long>").collect()):
-        own = set(enumerate(r["least"]))
-        if not own & seen:
-            kept.append(r["doc_id"])
-        seen |= own
-    return sorted(set(kept))
-
-
 def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index | None:
     """An index from the labelled rows of ``labels`` (doc_id, toxic), at most ``examples`` of them."""
     spark = docs.sparkSession
@@ -208,25 +194,28 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index |
     sample = base.bounded_sample(known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), examples)
     # At most ``examples`` ids and labels: their size is bounded, so they may be broadcast.
     sample = spark.createDataFrame([tuple(r) for r in sample.collect()], "doc_id long, toxic int")
-    texts = base.stored(base.id_text(docs).join(F.broadcast(sample), "doc_id").where(F.col("text").isNotNull()), "labelled")
-    texts = texts.join(F.broadcast(spark.createDataFrame([(i,) for i in _first_of_copies(texts)], "doc_id long")), "doc_id")
+    texts = base.stored(base.id_text(docs).join(F.broadcast(sample), "doc_id").where(F.col("text").isNotNull()).dropDuplicates(["doc_id"]), "labelled")
+    # Of near copies with one label one row stays: else a word of one much-copied text would look like a mark of many texts.
+    classes = minhash.near_duplicates(texts).select("doc_id", "class_id")
+    first = texts.select("doc_id", "toxic").join(classes, "doc_id").groupBy("class_id", "toxic").agg(F.min("doc_id").alias("doc_id"))
+    texts = base.stored(texts.join(first.select("doc_id"), "doc_id", "left_semi"), "examples")
 
     def count(toxic: bool, among: set[str] | None) -> Counter:
-        heads = None if among is None else {t.rstrip("*")[:4] for t in among}
+        known = None if among is None else Terms(among)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: Counter = Counter()
             n = 0
             for batch in batches:
                 for text in base.texts_of(batch):
-                    seen.update(term_counts(text, among, heads).keys())
+                    seen.update(term_counts(text, known).keys())
                     n += 1
             yield pa.RecordBatch.from_arrays([pa.array(["", *seen], pa.string()), pa.array([n, *seen.values()], pa.int64())], ["term", "n"])
 
         part = texts.where(F.col("toxic") == int(toxic)).select("text").mapInArrow(run, "term string, n long")
         sums = part.groupBy("term").agg(F.sum("n").alias("n"))
-        top = sums.where((F.col("n") >= LEAST_ROWS) | (F.col("term") == "")).orderBy(F.col("term") != "", F.desc("n"), "term").limit(TESTED + 1) if among is None else sums
-        return Counter({r["term"]: r["n"] for r in top.collect()})  # at most TESTED rows
+        often = sums.where((F.col("n") >= LEAST_ROWS) | (F.col("term") == "")) if among is None else sums
+        return Counter({r["term"]: r["n"] for r in often.collect()})  # terms of several toxic rows of the bounded sample
 
     bad = count(True, None)
     if not bad[""]:
@@ -237,29 +226,28 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index |
     rate = bad[""] / (bad[""] + good[""])
     tested = max(1, len(bad) - 1)
     limit = -math.inf
-    strength = {t: _tail(k, k + good[t], rate) for t, k in bad.items() if t and k > good[t]}
+    strength = {t: _tail(k, k + good[t], rate) for t, k in bad.items() if t}
     main: dict[str, int] = {}  # the rows of the most frequent word with a beginning
     for w, n in bad.items():
-        for k in HEADS if not w.endswith("*") else ():
+        for k in HEADS if w.isalpha() else ():
             if len(w) >= k:
                 main[w[:k] + "*"] = max(main.get(w[:k] + "*", 0), n)
     for i, x in enumerate(sorted(strength.values()), 1):  # Benjamini and Hochberg's step-up rule
         if x <= math.log10(ALPHA * i / tested):
             limit = x
     # A beginning says more than its words only if no single word makes up half of it.
-    chosen = sorted((t for t, x in strength.items() if x <= limit and main.get(t, 0) * 2 < bad[t]), key=lambda t: (strength[t], t))[:TERMS]
-    pool = set(chosen)
-    heads = {t.rstrip("*")[:4] for t in chosen}
+    chosen = sorted((t for t, x in strength.items() if x <= limit and main.get(t, 0) * 2 < bad[t]), key=lambda t: (strength[t], t))
+    pool = Terms(chosen)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [list(term_counts(x, pool, heads).items()) for x in base.texts_of(batch)]
+            found = [list(term_counts(x, pool).items()) for x in base.texts_of(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(found, pa.map_(pa.string(), pa.int64()))], ["doc_id", "toxic", "counts"])
 
     rows = [(r["doc_id"], r["toxic"], r["counts"]) for r in texts.select("doc_id", "toxic", "text").mapInArrow(vectors, "doc_id long, toxic int, counts map<string,long>").orderBy("doc_id").collect()]  # at most ``examples`` short rows
     bare = [y for _, y, c in rows if not c]
     rest = (sum(bare) + 0.5) / (len(bare) + 1 + 0.5 / max(rate, 1e-3))
-    return build(rows, len(rows), {t: bad[t] + good[t] for t in chosen}, chosen, min(rest, 0.6))
+    return build(rows, len(rows), {t: bad[t] + good[t] for t in chosen}, chosen, rest)
 
 
 def score(docs: DataFrame, index: Index | None, threshold: float = THRESHOLD) -> DataFrame:

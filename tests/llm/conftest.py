@@ -26,7 +26,7 @@ def texts(rng):
         for _ in range(i - 50):
             near[rng.randrange(len(near))] = f"edit{rng.randint(0, 99)}"
         out[i] = " ".join(near)
-    out |= {70: out[3], 71: out[3], 72: None, 73: "", 74: " \n\t ", 75: "a" * 1500, 76: "é" * 700, 77: "é" * 700, 78: "x", 79: "日本語 テスト 😀 ok　wide", 80: "<|endoftext|> in a text", 81: "line one two\nline one two\nline one two", 82: prose(rng, 6000), 83: "1 2 3 4 5 1 2 3 4 5", 84: "ISN'T it's İstanbul ΑΣ ½ Ⅷ", 85: "á á \x1c \x85 x"}
+    out |= {70: out[3], 71: out[3], 72: None, 73: "", 74: " \n\t ", 75: "a" * 1500, 76: "é" * 700, 77: "é" * 700, 78: "x", 79: "日本語 テスト 😀 ok　wide", 80: "<|endoftext|> in a text", 81: "line one two\nline one two\nline one two", 82: prose(rng, 6000), 83: "1 2 3 4 5 1 2 3 4 5", 84: "ISN'T it's İstanbul ΑΣ ½ Ⅷ", 85: "á á \x1c \x85 x", 86: "see [1] and [2] # end | <b> $5 & 3% *"}
     return out
 
 

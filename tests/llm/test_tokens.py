@@ -125,7 +125,24 @@ def test_plans_hold_every_piece_and_are_near_the_bound():
         assert dict(held) == hist
         used = sum(t for _, t in plan)
         assert used >= max(sum(n * k for n, k in hist.items()) / 256, sum(k for n, k in hist.items() if n > 128))
-        assert used <= sum(t for _, t in packing.best_fit(dict(hist), 256))
+        assert used <= 1.01 * sum(t for _, t in packing.best_fit(dict(hist), 256))
+
+
+@pytest.mark.parametrize("hist", [{100: 900, 40: 700, 30: 500}, {86: 3000, 85: 10, 84: 3000}, {129: 500, 64: 900, 63: 100}, {51: 1000, 27: 1000, 13: 600}])
+def test_program_bounds_and_covers(hist):
+    """The fractional solution covers every length once scaled, the dual bound holds, and both are near each other."""
+    lengths = np.array(sorted(hist))
+    demand = np.array([hist[n] for n in lengths])
+    taken, covered, bound = packing.program(lengths, demand, 256, rounds=400)
+    total = np.zeros(len(lengths))
+    for column, times in taken.items():
+        assert sum(lengths[i] for i in column) <= 256 and times >= 0
+        np.add.at(total, np.array(column), times)
+    assert np.allclose(total / demand, covered)
+    value = sum(taken.values()) / covered.min()
+    assert bound <= value * (1 + 1e-9) and value <= 1.05 * bound
+    used = sum(t for _, t in packing.configurations(dict(hist), 256, 400))
+    assert bound <= used + 1e-6 and used <= 1.035 * bound + 3
 
 
 def test_even_lengths_fill_sequences():
