@@ -185,9 +185,11 @@ def calibrate(models: Models, texts: list[str], langs: list[str]) -> None:
             mean[k] = np.inf  # too few rows to tell: never rejected
     z, limit = np.concatenate(far), np.inf
     if len(z):
-        # The tail of all languages' distances as an exponential: few calibration rows say little about so rare a distance.
+        # The tail of all languages' distances as an exponential, of a mean two standard errors above the one seen: few
+        # calibration rows say little about so rare a distance.
         start = float(np.quantile(z, 1 - TAIL))
-        limit = max(float(z.max()), start + float(np.mean(z[z >= start] - start)) * float(np.log(TAIL / REJECT_SHARE)))
+        tail = z[z >= start] - start
+        limit = max(float(z.max()), start + float(tail.mean() * (1 + 2 / np.sqrt(len(tail))) * np.log(TAIL / REJECT_SHARE)))
     models.calibration = {"a": a, "b": max(b, 0.0), "mean": mean, "spread": spread, "limit": limit}
 
 

@@ -1,13 +1,17 @@
 """Operator 5 - media columns: interleaved document sequences.
 
-HTML is parsed into an ordered sequence of structs, each a text or a reference to media by the SHA-256 digest of its
-stored form, with the caption of its figure. References are resolved by joins on the digest, so a stored form is kept and
-described once however many documents refer to it; position and caption stay with the reference.
+HTML is parsed into an ordered sequence of structs, each a text or a reference to media, with the caption of its figure. A
+reference ``sha256:...`` names a payload by the SHA-256 digest of its stored form; another is kept as ``src`` and has no
+digest. References are resolved by a join on the digest, so a payload is described once however many documents refer to it;
+position and caption stay with the reference. Digests that many references share are split over tasks.
 
-Payloads are stored as PNG images of 8-bit gray samples, ``ROW`` samples a line, and read back from there.
+Payloads are stored as PNG images of 8-bit gray samples, ``ROW`` samples a line, and read back from there. Each document's
+payload is stored where the document lies: storing equal ones once would shuffle all texts, which costs more disk than copies do.
 
 Defined results: a null page has no items; an unknown digest resolves to null; a text is trimmed and empty texts are left
-out; a caption belongs to all media of its figure; media outside a figure have their ``alt`` text, or null, as caption.
+out; a caption belongs to all media of its figure; media outside a figure have their ``alt`` text, or null, as caption; media
+without ``src`` are named by the first address of ``srcset``, else left out. A null text is the empty text, long texts are taken
+whole, repeated rows give repeated rows, an empty table gives none, and only the named columns are read.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from pyspark.sql import functions as F
 from . import base
 
 ROW = 192
-ITEM = pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())])
+ITEM = pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("src", pa.string()), ("caption", pa.string())])
 _BREAKS = {"p", "div", "br", "li", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "td", "th", "article", "section", "figure", "figcaption", "ul", "ol", "table", "blockquote", "pre", "title", "nav", "header", "footer"}
 
 
@@ -44,17 +48,18 @@ class _Parser(HTMLParser):
         text = "".join(self.buffer).strip()
         self.buffer = []
         if text:
-            self.items.append({"kind": "text", "text": text, "digest": None, "caption": None})
+            self.items.append({"kind": "text", "text": text, "digest": None, "src": None, "caption": None})
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in ("script", "style"):
             self.hidden += 1
         if tag in ("img", "audio", "video", "source"):
             a = dict(attrs)
-            src = a.get("src") or ""
+            src = (a.get("src") or "").strip() or " ".join((a.get("srcset") or "").split(",")[0].split()[:1])
             if src:
                 self.flush()
-                self.items.append({"kind": "media", "text": None, "digest": src.removeprefix("sha256:"), "caption": a.get("alt")})
+                known = src.startswith("sha256:")
+                self.items.append({"kind": "media", "text": None, "digest": src.removeprefix("sha256:") if known else None, "src": None if known else src, "caption": a.get("alt")})
                 if self.figure is not None:
                     self.figure.append(len(self.items) - 1)
         elif tag in _BREAKS:
@@ -103,13 +108,15 @@ def sequences(pages: DataFrame, key: str = "page_id", column: str = "html") -> D
                 items = [parse(x) for x in batch.column(column).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(items, pa.list_(ITEM))], [key, "items"])
 
-    return pages.select(key, column).mapInArrow(run, f"`{key}` {kind.simpleString()}, items array<struct<position:int,kind:string,text:string,digest:string,caption:string>>")
+    return pages.select(key, column).mapInArrow(run, f"`{key}` {kind.simpleString()}, items array<struct<position:int,kind:string,text:string,digest:string,src:string,caption:string>>")
 
 
 def resolve(seqs: DataFrame, media: DataFrame, key: str = "page_id") -> DataFrame:
-    """One row a media reference: key, position, caption, digest and what ``media`` (a row a digest) has of it."""
-    refs = seqs.select(key, F.explode("items").alias("item")).where("item.kind = 'media'").select(key, F.col("item.position").alias("position"), F.col("item.caption").alias("caption"), F.col("item.digest").alias("digest"))
-    return refs.join(media, "digest", "left")
+    """One row a media reference: key, position, caption, src, digest and what ``media`` (a row a digest) has of it."""
+    refs = seqs.select(F.col(key).alias("__key"), F.explode("items").alias("item")).where("item.kind = 'media'").select("__key", *(F.col(f"item.{c}").alias(c) for c in ("position", "caption", "src", "digest")))
+    heavy = refs.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > base.HEAVY)
+    found = base.split_join(refs, media, ["digest"], heavy, ["__key", "position"], "left")
+    return found.withColumnRenamed("__key", key)
 
 
 def _chunk(name: bytes, data: bytes) -> bytes:
@@ -160,13 +167,13 @@ def describe(samples: bytes) -> str:
     return f"{mean:.4f};{float(np.sqrt(max(0.0, x @ (v * v) / n - mean * mean))):.4f};" + ",".join(map(str, x.reshape(16, 16).sum(1)))
 
 
-STORED = "doc_id long, items array<struct<position:int,kind:string,text:string,digest:string,caption:string>>, media binary"
+STORED = "doc_id long, n_bytes long, items array<struct<position:int,kind:string,text:string,digest:string,src:string,caption:string>>, media binary"
 MEDIA = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, feature string"
 
 
-def page_of(text: str, png: bytes, n_bytes: int) -> str:
+def page_of(text: str, png: bytes) -> str:
     """A page that shows a text and, in a figure, refers to its stored form."""
-    return f'<article><p>{html.escape(text, quote=False)}</p><figure><img src="sha256:{hashlib.sha256(png).hexdigest()}"><figcaption>{n_bytes} bytes</figcaption></figure></article>'
+    return f'<article><p>{html.escape(text, quote=False)}</p><figure><img src="sha256:{hashlib.sha256(png).hexdigest()}"><figcaption>payload</figcaption></figure></article>'
 
 
 def documents_as_media(docs: DataFrame) -> DataFrame:
@@ -175,12 +182,12 @@ def documents_as_media(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in base.row_chunks(whole):
-                items, stored = [], []
+                items, stored, sizes = [], [], []
                 for text in base.texts_of(batch):
-                    payload = padded(text)
-                    stored.append(to_png(payload))
-                    items.append([x | {"text": None} for x in parse(page_of(text, stored[-1], len(text.encode("utf-8", "surrogatepass"))))])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(items, pa.list_(ITEM)), pa.array(stored, pa.binary())], ["doc_id", "items", "media"])
+                    stored.append(to_png(padded(text)))
+                    sizes.append(len(text.encode("utf-8", "surrogatepass")))
+                    items.append([x | {"text": None} for x in parse(page_of(text, stored[-1]))])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(items, pa.list_(ITEM)), pa.array(stored, pa.binary())], ["doc_id", "n_bytes", "items", "media"])
 
     return base.id_text(docs).mapInArrow(run, STORED)
 
@@ -212,6 +219,6 @@ def document_media(docs: DataFrame) -> DataFrame:
     out = base.shared_path(spark, "media")
     documents_as_media(docs).write.parquet(out)
     kept = spark.read.schema(STORED).parquet(out)
-    found = resolve(kept.select("doc_id", "items"), media_table(kept), "doc_id")
-    sizes = found.withColumn("n_bytes", F.regexp_extract("caption", r"^(\d+) bytes$", 1).cast("long"))
-    return sizes.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", F.col("digest").alias("media_sha256"), "feature", "position", "caption")
+    named = kept.select(F.struct("doc_id", "n_bytes").alias("of"), "items")
+    found = resolve(named, media_table(kept), "of")
+    return found.select("of.doc_id", "of.n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", F.col("digest").alias("media_sha256"), "feature", "position", "caption")

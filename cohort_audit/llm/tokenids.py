@@ -6,8 +6,13 @@ block's start) and ``bits`` (the ids, least significant bit first). Ids of a doc
 shift of ``width`` bits an id; a block unpacks by numpy at once. A block holds whole documents, up to ``BLOCK_IDS`` ids
 unless one document has more.
 
+Widths of whole bytes (16 bits for a vocabulary of 49,408) are the same layout, so numpy writes and reads them as integers.
+:func:`read_document` fetches one document: the block's row is found by its least and greatest id, and only the document's
+bits are unpacked.
+
 Defined results: null text is the empty text and still gets its end id; rows with the same ``doc_id`` stand in the order
-of their texts; a null ``doc_id`` stands first; an empty table gives no rows.
+of their texts; a null ``doc_id`` stands first; long texts are taken whole, in a block of their own if need be; an empty table
+gives no rows; only ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations
@@ -102,11 +107,28 @@ def open_blocks(spark: SparkSession, path: str) -> DataFrame:
     return blocks.join(starts.select("part", "block", (F.col("part_start") + F.col("within")).alias("start")), ["part", "block"])
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Blocks one at a time, so that a task never holds a whole batch of them as Python objects."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
+def read_document(spark: SparkSession, path: str, doc_id: int) -> list[np.ndarray]:
+    """The ids of the documents of one id, in order (one but for repeated rows), from the blocks that can hold it."""
+    here = (F.array_min("doc_ids") <= doc_id) & (F.array_max("doc_ids") >= doc_id)
+    out = []
+    for row in spark.read.schema(SCHEMA).parquet(path).where(here).orderBy("part", "block").toLocalIterator():
+        for i in (k for k, d in enumerate(row["doc_ids"]) if d == doc_id):
+            out.append(unpack(bytes(row["bits"]), row["width"], row["doc_ends"][i - 1] if i else 0, row["doc_ends"][i]))
+    return out
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """One row a document from the files: ``doc_id``, ``start``, ``n_tokens`` and ``ids``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in (r for b in batches for r in b.to_pylist()):
+        for row in _rows(batches):
             ids = unpack(row["bits"], row["width"], 0, row["n_ids"])
             ends = np.array(row["doc_ends"])
             starts = np.concatenate([[0], ends[:-1]])
@@ -120,7 +142,7 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """As :func:`read`, with the checksum of each document's unpacked ids in place of the ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in (r for b in batches for r in b.to_pylist()):
+        for row in _rows(batches):
             raw = memoryview(unpack(row["bits"], row["width"], 0, row["n_ids"]).astype("<u4").tobytes())
             ends = np.array(row["doc_ends"])
             starts = np.concatenate([[0], ends[:-1]])

@@ -1,6 +1,7 @@
 """Operators 2, 5, 9 and 10 and the pipeline."""
 
 import hashlib
+import html
 import math
 import re
 import zlib
@@ -75,9 +76,9 @@ def test_op2_edges(spark, docs, no_docs):
 
 
 def test_pages_give_ordered_items():
-    page = '<p>One &amp; two</p><figure><img src="sha256:aa" alt="A"><img src="bb"><figcaption>Both</figcaption></figure>tail<img src="cc" alt="C"><script>var x="<p>no</p>"</script>'
+    page = '<p>One &amp; two</p><figure><img src="sha256:aa" alt="A"><img src="bb"><figcaption>Both</figcaption></figure>tail<img srcset="cc 1x, dd 2x" alt="C"><img><script>var x="<p>no</p>"</script>'
     items = media.parse(page)
-    assert [(x["position"], x["kind"], x["text"] or x["digest"], x["caption"]) for x in items] == [(0, "text", "One & two", None), (1, "media", "aa", "Both"), (2, "media", "bb", "Both"), (3, "text", "tail", None), (4, "media", "cc", "C")]
+    assert [(x["position"], x["kind"], x["text"] or x["digest"] or "at " + x["src"], x["caption"]) for x in items] == [(0, "text", "One & two", None), (1, "media", "aa", "Both"), (2, "media", "at bb", "Both"), (3, "text", "tail", None), (4, "media", "at cc", "C")]
     assert media.parse(None) == [] and media.parse("<p> </p>") == []
 
 
@@ -88,6 +89,26 @@ def test_references_resolve_by_digest(spark):
     assert [(r["page_id"], r["position"], r["digest"], r["size"]) for r in rows] == [(1, 1, "d1", 5), (2, 0, "d1", 5), (2, 1, "no", None)]
 
 
+@tables
+def test_whole_pages_are_parsed(spark):
+    """Every page gives its title and paragraphs in order; the given pages hold no media."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    got = {r["page_id"]: r["items"] for r in media.sequences(pages).collect()}
+    assert len(got) == pages.count()
+    for r in pages.limit(50).collect():
+        items = got[r["page_id"]]
+        assert [x["position"] for x in items] == list(range(len(items))) and {x["kind"] for x in items} == {"text"}
+        assert items[0]["text"] == html.unescape(re.search("<title>(.*?)</title>", r["html"], re.S).group(1)).strip()
+
+
+def test_many_references_to_one_digest(spark, monkeypatch):
+    monkeypatch.setattr(base, "HEAVY", 3)
+    pages = spark.createDataFrame([(i, '<img src="sha256:d1">' * (i % 3) + '<img src="u">') for i in range(40)], "page_id long, html string")
+    table = spark.createDataFrame([("d1", 5), ("d2", 6)], "digest string, size long")
+    rows = media.resolve(media.sequences(pages), table).collect()
+    assert len(rows) == 40 + sum(i % 3 for i in range(40)) and all(r["size"] == (5 if r["digest"] else None) and (r["src"] == "u") == (r["digest"] is None) for r in rows)
+
+
 def test_op5(docs, no_docs, texts):
     got = {r["doc_id"]: r for r in media.document_media(docs).collect()}
     assert len(got) == len(texts)

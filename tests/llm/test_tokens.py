@@ -73,6 +73,27 @@ def test_op6(spark, docs, no_docs, texts):
     assert all(r["ids"] == Tokenizer.from_file(WORD).encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids for r in tokenids.read(spark, path).collect())
 
 
+def test_op6_in_a_width_of_no_whole_bytes(spark, texts, tmp_path):
+    """A file of 300 words has ids of 9 bits: all documents, and single ones by their offsets, come back."""
+    import json
+
+    spec = json.loads(open(WORD).read())
+    shown = [c for c, i in sorted(spec["model"]["vocab"].items(), key=lambda x: x[1])][:512]
+    spec["model"] |= {"vocab": {c: i for i, c in enumerate(shown)}, "merges": []}
+    spec["added_tokens"] = []
+    path, out = tmp_path / "small.json", base.shared_path(spark, "small")
+    path.write_text(json.dumps(spec))
+    rows = [(i, t) for i, t in texts.items() if i not in (80, 82)] + [(3, "twice")]
+    tokenids.write(spark.createDataFrame(rows, "doc_id long, text string"), str(path), out, 1)
+    assert {r["width"] for r in spark.read.parquet(out).collect()} == {9}
+    t = Tokenizer.from_file(str(path))
+    want = sorted((i, x or "") for i, x in rows)
+    got = [(r["doc_id"], r["ids"]) for r in tokenids.read(spark, out).orderBy("start").collect()]
+    assert got == [(i, [*t.encode(x, add_special_tokens=False).ids, 1]) for i, x in want]
+    for i in (3, 5, 72, 999):
+        assert [x.tolist() for x in tokenids.read_document(spark, out, i)] == [ids for k, ids in got if k == i]
+
+
 @pytest.mark.parametrize("width", [1, 3, 8, 13, 16, 17, 32])
 def test_packed_ids_come_back_from_any_place(width):
     ids = np.random.default_rng(width).integers(0, 2**width, 777)
