@@ -6,8 +6,9 @@ positions, and the lists of the neighbouring pairs are brought up to date. A mer
 its word; then that word's further positions wait until the lower rank is done, so every word sees the order of the
 tokenizers library (lowest rank, then leftmost).
 
-Defined results: null text is the empty text; an empty text has no ids and decodes to the empty text. The texts are
-taken whole, whatever their length; repeated rows give repeated rows; only ``doc_id`` and ``text`` are read.
+Defined results: null text is the empty text; an empty text has no ids and decodes to the empty text. The string of an added
+token is that token, as in the library. The texts are taken whole, whatever their length; repeated rows give repeated rows; of
+equal ranks the leftmost goes first; an empty table gives no rows; only ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations

@@ -1,8 +1,8 @@
 """Exact tokenizer ids through a memo of white-space chunks.
 
-A text is cut only where the tokenizer's own pre-tokenizer always cuts, each distinct part is encoded once by the
-tokenizers library's model (or by a given one), and the parts' ids are joined. A text that holds the string of an
-added token goes whole through the library.
+A text is cut at the strings of added tokens and where the tokenizer's own pre-tokenizer always cuts, each distinct part is
+encoded once by the tokenizers library's model (or by a given one), and the parts' ids are joined. Files of another
+normalizer, pre-tokenizer or kind of added token than those known here are refused.
 """
 
 from __future__ import annotations
@@ -45,6 +45,25 @@ PLAIN = re.compile("[ \\n!-~À-ÖØ-öø-ÿ]*")
 LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", "!-/:-@\\[-`{-~"
 
 
+#: The pre-tokenizer's pattern and the normalizer of the files with word ends.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WORD_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+
+
+def kind_of(x: dict) -> str:
+    """``bytes`` or ``words``: what a file's pre-tokenizer does; ValueError for what :class:`Encoder` has no rules for."""
+    pre, norm = x["pre_tokenizer"] or {}, x["normalizer"] or {}
+    plain = all(not (a["single_word"] or a["lstrip"] or a["rstrip"] or a["normalized"]) for a in x["added_tokens"])
+    if plain and pre.get("type") == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"] and not norm:
+        return "bytes"
+    parts = pre.get("pretokenizers") or [{}]
+    split = parts[0].get("pattern", {}).get("Regex") == WORD_PATTERN and parts[0].get("behavior") == "Removed" and parts[0].get("invert")
+    level = [(p.get("type"), p.get("use_regex"), p.get("add_prefix_space")) for p in parts[1:]] == [("ByteLevel", False, False)]
+    if plain and split and level and norm.get("normalizers") == WORD_NORMALIZERS:
+        return "words"
+    raise ValueError("a tokenizer file whose normalizer, pre-tokenizer or added tokens are not known here")
+
+
 def byte_alphabet() -> dict[int, str]:
     """Byte-level BPE's printable stand-in for each byte: itself where printable, else the next free code point from 256."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -63,10 +82,11 @@ class Encoder:
     def __init__(self, path: str, merge: Callable[[list[str]], list[list[int]]] | None = None, memo: int = MEMO):
         self.path, self.memos, self.most, self.library = path, ({}, {}), memo, load(path)
         x = spec(path)
-        self.keep_spaces = x["pre_tokenizer"]["type"] == "ByteLevel"
+        self.keep_spaces = kind_of(x) == "bytes"
         self.vocab_size = max([*x["model"]["vocab"].values(), *(a["id"] for a in x["added_tokens"])]) + 1
         self.dtype = np.dtype("<u2" if self.vocab_size <= 1 << 16 else "<u4")
-        self.special = re.compile("|".join(re.escape(a["content"]) for a in x["added_tokens"]) or r"(?!)", re.I)
+        self.added = {a["content"]: a["id"] for a in x["added_tokens"]}
+        self.special = re.compile("(" + "|".join(re.escape(c) for c in sorted(self.added, key=len, reverse=True)) + ")" if self.added else r"(?!)")
         short = "'s|'t|'re|'ve|'m|'ll|'d|"
         if self.keep_spaces:
             self.split = re.compile(short + f" ?[{LETTERS}]+| ?[0-9]+| ?[{MARKS}]+|[ \\n]+(?![^ \\n])|[ \\n]+")
@@ -88,34 +108,32 @@ class Encoder:
             chunk = self.library.normalizer.normalize_str(chunk)
         return [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(chunk)]
 
-    def parts(self, text: str) -> tuple[int, list[str]] | None:
-        """(0, pre-tokens) of a plain text, (1, chunks) of another, None of one that holds an added token's string."""
-        if "<|" in text and self.special.search(text):
-            return None
+    def parts(self, text: str) -> tuple[int, list[str]]:
+        """(0, pre-tokens) of a plain text, (1, chunks) of another."""
         if PLAIN.fullmatch(text):
             return 0, self.split.findall(text if self.keep_spaces else text.lower())
         return 1, self.cut.findall(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; the stretches between the strings of added tokens are encoded each by itself."""
+        if not any(self.special.search(t) for t in texts):
+            return self.between(texts)
+        cut = [self.special.split(t) for t in texts]  # stretches and added tokens by turns
+        ids = iter(self.between([s for c in cut for s in c[::2]]))
+        mark = {c: array(self.code, [i]).tobytes() for c, i in self.added.items()}
+        return [b"".join([next(ids) if k % 2 == 0 else mark[s] for k, s in enumerate(c)]) for c in cut]
+
+    def between(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts without an added token's string."""
         cut = [self.parts(t) for t in texts]
         for memo in self.memos:
             if len(memo) > self.most:
                 memo.clear()
-        words = {w for x in cut if x is not None and x[0] == 0 for w in x[1]} - self.memos[0].keys()
-        spans = {w: self.pretokens(w) for w in {w for x in cut if x is not None and x[0] for w in x[1]} - self.memos[1].keys()}
+        words = {w for kind, ws in cut if kind == 0 for w in ws} - self.memos[0].keys()
+        spans = {w: self.pretokens(w) for w in {w for kind, ws in cut if kind for w in ws} - self.memos[1].keys()}
         mapped = {w: w.translate(self.shown) for w in words}
         todo = list({*mapped.values(), *(p for ps in spans.values() for p in ps)})
         ids = {p: array(self.code, x).tobytes() for p, x in zip(todo, self.merge(todo), strict=True)}
         self.memos[0].update((w, ids[p]) for w, p in mapped.items())
         self.memos[1].update((w, b"".join([ids[p] for p in ps])) for w, ps in spans.items())
-        out = []
-        for text, x in zip(texts, cut, strict=True):
-            if x is None:
-                out.append(array(self.code, self.special_ids(text)).tobytes())
-            else:
-                out.append(b"".join(map(self.memos[x[0]].__getitem__, x[1])))
-        return out
-
-    def special_ids(self, text: str) -> list[int]:
-        """Texts that hold an added token's string: the library knows how that token takes part."""
-        return self.library.encode(text, add_special_tokens=False).ids
+        return [b"".join(map(self.memos[kind].__getitem__, ws)) for kind, ws in cut]

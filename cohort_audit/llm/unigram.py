@@ -8,7 +8,8 @@ order and only a strictly better score replaces one; the path with the longest l
 
 Parts are also cut before a line feed: no piece holds one, so scores and counts add up over the cut.
 
-Defined results: null text is the empty text, with 0 tokens and score 0.
+Defined results: null text is the empty text, with 0 tokens and score 0. Long texts are taken whole; repeated rows give repeated
+rows; an empty table gives no rows; only ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations

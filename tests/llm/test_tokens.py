@@ -32,6 +32,22 @@ def test_memo_and_pair_index_give_the_librarys_ids(path, texts):
             assert [np.frombuffer(x, e.dtype).tolist() for x in e.encode([t or "" for t in texts.values()])] == want
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_added_tokens_and_other_files(path, tmp_path):
+    import json
+
+    t = Tokenizer.from_file(path)
+    texts = ["<|endoftext|>", "a <|endoftext|>b's <|startoftext|> c", "<|ENDOFTEXT|> <|endoftext", "x\u0301<|endoftext|>\u0301y  <|endoftext|><|endoftext|> z", ""]
+    e = tokens.Encoder(path, bpe.PairIndex(path))
+    assert [np.frombuffer(x, e.dtype).tolist() for x in e.encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    spec = json.loads(open(path).read())
+    spec["normalizer"] = {"type": "NFKC"}
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(spec))
+    with pytest.raises(ValueError):
+        tokens.Encoder(str(other))
+
+
 def test_pair_index_lets_lower_ranks_go_first(tmp_path):
     # abc arises by two merges; (abc, x) ranks between them, so it must go before the second place of the later one.
     import json
