@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -143,6 +143,20 @@ def row_chunks(batch: pa.RecordBatch, column: str = "text", most: int = 2 << 20)
         yield batch.slice(lo, hi - lo)
 
 
+def kept_rows(docs: DataFrame, keep: Callable[[pa.RecordBatch], np.ndarray], most: int = 1 << 20) -> DataFrame:
+    """``docs`` with the rows whose flag is true; ``keep`` sees batches of ``text`` alone. No row is matched by its id."""
+    id_text(docs)  # sets the size of batches
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pa.RecordBatch.from_arrays([batch.column(names.index("text")).cast(pa.string())], ["text"])
+            for lo, hi, _, _ in byte_chunks(texts, "text", most):
+                yield batch.slice(lo, hi - lo).filter(pa.array(keep(texts.slice(lo, hi - lo))))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     with np.errstate(over="ignore"):

@@ -252,11 +252,25 @@ def identify(docs: DataFrame, models: Models | None) -> DataFrame:
     return base.id_text(docs).mapInArrow(run, "doc_id long, lang_pred string, score double, cross_entropy double, rejected boolean")
 
 
-def _predict(models: Models | None, batch: pa.RecordBatch) -> pa.RecordBatch:
-    n = batch.num_rows
+def known(docs: DataFrame, models: Models | None) -> DataFrame:
+    """The rows of ``docs``, all their columns, that :func:`identify` does not reject."""
+    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(models))
+    loaded: list[Models | None] = []
+
+    def keep(batch: pa.RecordBatch) -> np.ndarray:
+        if not loaded:
+            loaded.append(pickle.loads(shared.value))
+        return ~_judged(loaded[0], base.texts_of(batch))[3]
+
+    return base.kept_rows(docs, keep)
+
+
+def _judged(models: Models | None, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Language, score, cross-entropy and rejection of each text."""
+    n = len(texts)
     names, score, low, rejected = ["und"] * n, np.zeros(n), np.zeros(n), np.ones(n, bool)
-    if models is not None:
-        ce, letters = models.entropies(base.texts_of(batch))
+    if models is not None and n:
+        ce, letters = models.entropies(texts)
         best, c = ce.argmin(1), models.calibration
         low = ce.min(1)
         known = letters > 0
@@ -265,6 +279,11 @@ def _predict(models: Models | None, batch: pa.RecordBatch) -> pa.RecordBatch:
         rejected = ~known | (z > c["limit"])
         names = [models.languages[k] if ok else "und" for k, ok in zip(best, known, strict=True)]
         low = np.where(known, low, 0.0)
+    return names, score, low, rejected
+
+
+def _predict(models: Models | None, batch: pa.RecordBatch) -> pa.RecordBatch:
+    names, score, low, rejected = _judged(models, base.texts_of(batch))
     return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(score), pa.array(low), pa.array(rejected)], ["doc_id", "lang_pred", "score", "cross_entropy", "rejected"])
 
 

@@ -264,3 +264,17 @@ def score(docs: DataFrame, index: Index | None, threshold: float = THRESHOLD) ->
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s), pa.array((s >= threshold).astype(np.int32)), pa.array(evidence, pa.list_(pa.int64()))], ["doc_id", "score", "predicted", "evidence"])
 
     return base.id_text(docs).mapInArrow(run, "doc_id long, score double, predicted int, evidence array<long>")
+
+
+def clean(docs: DataFrame, index: Index | None, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all their columns, that :func:`score` does not predict toxic."""
+    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(index))
+    loaded: list[Index | None] = []
+
+    def keep(batch: pa.RecordBatch) -> np.ndarray:
+        if not loaded:
+            loaded.append(pickle.loads(shared.value))
+        own = loaded[0]
+        return np.array([own is None or own.score(t)[0] < threshold for t in base.texts_of(batch)], bool)
+
+    return base.kept_rows(docs, keep)

@@ -55,19 +55,6 @@ def test_op1_texts_of_one_id_are_one_class(spark):
     assert got == {(1, 1), (2, 1), (5, 1), (6, 6), (7, 6)}
 
 
-def test_pipeline_keeps_one_of_repeated_rows_and_null_ids(spark):
-    """The near-duplicate stage leaves one row a group, so that the next stage cuts nothing out of it."""
-    a, b, c, d = (" ".join(f"{x}{k}" for k in range(200)) for x in "abcd")
-    rows = [(1, a), (1, a), (None, b), (None, b), (None, b + " more"), (3, c), (None, c), (4, d), (4, d + " longer"), (9, "short"), (None, None), (None, None)]
-    df = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, n_chars int")
-    one = base.stored(corpus_pipeline.one_of_near_duplicates(spark, df, ""), "one")
-    assert one.columns == df.columns
-    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.without_repeats(spark, one, "").collect()]
-    null = [t for i, t in got if i is None]
-    assert sorted(r for r in got if r[0] is not None) == [(1, a), (3, c), (4, d + " longer"), (9, "short")]
-    assert len(null) == 2 and None in null and set(null) & {b, b + " more"}
-
-
 def test_op1_finds_copies_with_a_repeated_passage(spark):
     """Pairs of equal shingle sets, of which one repeats a tenth of its shingles 60 times."""
     texts = {}

@@ -12,7 +12,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from cohort_audit.llm import base, langid, media, quality, toxicity
 
 SF = "/root/testdata/sf0.01"
@@ -238,22 +237,3 @@ def test_op10(spark, rude):
     assert toxicity.fit(docs, labels.where("toxic = 0")) is None
     assert {r["score"] for r in toxicity.score(docs, None).collect()} == {0.0}
     assert toxicity.score(docs.where("false"), index).count() == 0
-
-
-# ---- pipeline --------------------------------------------------------------------------------------------------------
-
-
-@tables
-def test_pipeline_stages(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    kept = [docs]
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, kept[-1], SF).persist()
-        assert out.columns == docs.columns and 0.8 * kept[-1].count() <= out.count() <= kept[-1].count(), name
-        kept.append(out)
-    toxic = {r["doc_id"] for r in spark.read.parquet(f"{SF}/labels.parquet").where("toxic = 1").collect()}
-    left = {r["doc_id"] for r in kept[1].collect()}
-    assert len(toxic & left) < 0.35 * len(toxic)
-    packed = corpus_pipeline.STAGES[-1][1](spark, kept[-1], SF)
-    assert {r["doc_id"] for r in packed.collect()} == {r["doc_id"] for r in kept[-1].collect()}
-    assert all(r["n_chars"] == len(r["text"]) for r in kept[-1].collect())
