@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and what the stage before it kept; :func:`run` writes each stage's result as Parquet
 to the shared folder and reads it back. All stages but the last return the columns of ``documents``.
+
+Defined results: a null or empty text has no letter and goes in the second stage; long texts are taken whole; rows of one id and
+different texts are rows of their own; of equal rows, and of copies whatever their ids, one stays; a row without an id stays
+unless a copy has one; an empty table gives an empty table at every stage; further columns pass through.
 """
 
 from __future__ import annotations
@@ -13,41 +17,34 @@ from pyspark.sql import functions as F
 from cohort_audit.llm import base, langid, minhash, packing, suffixes, toxicity
 
 
-
-def _keep(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose ``doc_id`` is in ``gone``; rows without an id stay."""
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-
-
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: documents predicted toxic go. The labelled rows outside the held-out fold are learned from."""
+    """Operator 10: rows predicted toxic go. The labelled rows outside the held-out fold are learned from."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~langid.held_out(folds=3, fold=1))
-    scored = toxicity.score(docs, toxicity.fit(docs, labels))
-    return _keep(docs, scored.where("predicted = 1").select("doc_id").distinct())
+    return toxicity.clean(docs, toxicity.fit(docs, labels))
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2: documents without a letter, or too far from every learned language, go."""
-    found = langid.identify(docs, langid.fit(docs.where(~langid.held_out())))
-    return _keep(docs, found.where("rejected").select("doc_id").distinct())
+    """Operator 2: rows without a letter, or too far from every learned language, go."""
+    return langid.known(docs, langid.fit(docs.where(~langid.held_out())))
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: of each class of near duplicates one row stays, of the document with the least id.
+    """Operator 1: of each class of near duplicates one row stays, that of the least id (rows without an id come last).
 
-    Rows of one id are one document, of which the longest text stays. A text without an id is a document of an id made of its
-    hash, beyond other ids, so it goes where a copy with an id stays, and its own copies go.
+    A row is known by the hash of its id and text, so an id with two unlike texts keeps both; of equal rows one stays.
     """
-    own = F.lit(1 << 62).bitwiseOR(F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)))
-    rows = docs.withColumn("_id", F.col("doc_id")).withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), own))
-    classes = base.stored(minhash.near_duplicates(rows), "classes")
-    left = _keep(rows, classes.where("doc_id <> class_id").select("doc_id").distinct())
-    ids = minhash.repeated_ids(classes)
-    if not ids.isEmpty():
-        first = F.max_by(F.struct(*left.columns), F.struct(F.length("text"), "text")).alias("row")
-        one = left.join(ids, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("of"))
-        left = left.join(ids, "doc_id", "left_anti").union(one.agg(first).select("row.*").select(*left.columns))
-    return left.withColumn("doc_id", F.col("_id")).select(*docs.columns)
+    key = F.xxhash64("doc_id", "text")
+    classes = minhash.near_duplicates(docs.select(key.alias("doc_id"), "text")).select(F.col("doc_id").alias("__key"), "class_id")
+    classes = base.stored(classes, "classes")
+    ids = docs.select(key.alias("__key"), F.col("doc_id").cast("long").alias("__id")).distinct()
+    order = F.struct(F.col("__id").isNull(), "__id", "__key")
+    best = classes.distinct().join(ids, "__key").groupBy("class_id").agg(F.min_by("__key", order).alias("__key")).select("__key")
+    rows = docs.withColumn("__key", key).join(best, "__key", "left_semi")
+    twice = minhash.repeated_ids(classes.select(F.col("__key").alias("doc_id"))).withColumnRenamed("doc_id", "__key")
+    if not twice.isEmpty():
+        one = rows.join(twice, "__key", "left_semi").groupBy("__key").agg(F.first(F.struct(*docs.columns)).alias("row"))
+        rows = rows.join(twice, "__key", "left_anti").select(*docs.columns).union(one.select("row.*"))
+    return rows.select(*docs.columns)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,7 +69,7 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: SQL expresses none of the stages: each is tested against a brute-force version instead.
+#: SQL expresses none of the stages; tests hold each against a brute-force version or held-out labels instead.
 ORACLE_SQL = None
 
 
