@@ -164,7 +164,8 @@ def prefix_pairs(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFr
     filter). A text's own edits are its rarest shingles, so a far copy of a common text meets nothing, and near copies of it
     are in one class by now.
     """
-    rows = nodes.join(sets.withColumnRenamed("doc_id", "node"), "node").select("node", "of", F.xxhash64("shingles").alias("part"), F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    whole = nodes.join(sets.withColumnRenamed("doc_id", "node"), "node").select("node", "of", F.xxhash64("shingles").alias("part"), F.size("shingles").alias("n"), "shingles")
+    rows = whole.select("node", "of", "part", "n", F.explode("shingles").alias("shingle"))  # the hash is taken once a text
     rows = base.stored(rows, "prefix")
     often = base.stored(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("m")), "often")
     place = F.row_number().over(Window.partitionBy("node", "part").orderBy("m", "shingle"))  # a text's own shingles

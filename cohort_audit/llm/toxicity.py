@@ -97,13 +97,13 @@ class Index:
         bound = w @ self.block_max[at]
         blocks = self.block_max.shape[1]
         best_at, best = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable"):
+        for b in np.argsort(-bound, kind="stable").tolist():
             if bound[b] <= 0 or len(best) >= k and bound[b] < best[k - 1] - 1e-12:
                 break
-            scores = np.zeros(BLOCK)
-            for t, x in zip(at, w, strict=True):
-                lo, hi = self.offsets[t * blocks + b], self.offsets[t * blocks + b + 1]
-                scores[self.example[lo:hi] - b * BLOCK] += x * self.weight[lo:hi]
+            lo = self.offsets[at * blocks + b]
+            n = self.offsets[at * blocks + b + 1] - lo
+            post = np.arange(int(n.sum())) + np.repeat(lo - np.cumsum(n) + n, n)
+            scores = np.bincount(self.example[post] - b * BLOCK, np.repeat(w, n) * self.weight[post], BLOCK)
             if b * BLOCK <= skip < (b + 1) * BLOCK:
                 scores[skip - b * BLOCK] = 0
             hit = np.flatnonzero(scores)
