@@ -31,15 +31,18 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: of each class of near duplicates one row stays, that of the least id (rows without an id come last).
 
-    A row is known by the hash of its id and text, so an id with two unlike texts keeps both; of equal rows one stays.
+    Rows of one id and different texts, and rows without an id, are known by the hash of id and text, beyond other ids: an id
+    with two unlike texts keeps both. Of equal rows one stays.
     """
-    key = F.xxhash64("doc_id", "text")
-    classes = minhash.near_duplicates(docs.select(key.alias("doc_id"), "text")).select(F.col("doc_id").alias("__key"), "class_id")
-    classes = base.stored(classes, "classes")
-    ids = docs.select(key.alias("__key"), F.col("doc_id").cast("long").alias("__id")).distinct()
+    hashed = F.lit(1 << 62).bitwiseOR(F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 62) - 1)))
+    often = minhash.repeated_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"))).select(F.col("doc_id").alias("__often"))
+    rows = docs.join(F.broadcast(often) if often.count() < 10_000 else often, F.col("doc_id") == F.col("__often"), "left")
+    rows = rows.withColumn("__key", F.when(F.col("doc_id").isNull() | F.col("__often").isNotNull(), hashed).otherwise(F.col("doc_id").cast("long"))).drop("__often")
+    classes = base.stored(minhash.near_duplicates(rows.select(F.col("__key").alias("doc_id"), "text")).select(F.col("doc_id").alias("__key"), "class_id"), "classes")
+    ids = rows.select("__key", F.col("doc_id").cast("long").alias("__id")).distinct()
     order = F.struct(F.col("__id").isNull(), "__id", "__key")
     best = classes.distinct().join(ids, "__key").groupBy("class_id").agg(F.min_by("__key", order).alias("__key")).select("__key")
-    rows = docs.withColumn("__key", key).join(best, "__key", "left_semi")
+    rows = rows.join(best, "__key", "left_semi")
     twice = minhash.repeated_ids(classes.select(F.col("__key").alias("doc_id"))).withColumnRenamed("doc_id", "__key")
     if not twice.isEmpty():
         one = rows.join(twice, "__key", "left_semi").groupBy("__key").agg(F.first(F.struct(*docs.columns)).alias("row"))
