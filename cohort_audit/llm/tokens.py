@@ -19,7 +19,7 @@ import numpy as np
 #: White space of the tokenizers' patterns (the Unicode property), written out since Python's own class differs.
 SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Distinct chunks a worker remembers.
-MEMO = 300_000
+MEMO = 700_000
 
 
 @lru_cache(8)
@@ -129,9 +129,13 @@ class Encoder:
         for memo in self.memos:
             if len(memo) > self.most:
                 memo.clear()
-        words = {w for kind, ws in cut if kind == 0 for w in ws} - self.memos[0].keys()
-        spans = {w: self.pretokens(w) for w in {w for kind, ws in cut if kind for w in ws} - self.memos[1].keys()}
-        mapped = {w: w.translate(self.shown) for w in words}
+        words, chunks = set(), set()
+        for kind, ws in cut:
+            (chunks if kind else words).update(ws)
+        words -= self.memos[0].keys()
+        spans = {w: self.pretokens(w) for w in chunks - self.memos[1].keys()}
+        space, feed = self.shown[32], self.shown[10]
+        mapped = {w: w.replace(" ", space).replace("\n", feed) if w.isascii() else w.translate(self.shown) for w in words}
         todo = list({*mapped.values(), *(p for ps in spans.values() for p in ps)})
         ids = {p: array(self.code, x).tobytes() for p, x in zip(todo, self.merge(todo), strict=True)}
         self.memos[0].update((w, ids[p]) for w, p in mapped.items())
