@@ -75,7 +75,8 @@ def logistic_recalibration(df: DataFrame, attributes: Sequence[str] = (), least:
 
     Each Newton round is one aggregation for all groups; only a row a group comes to the driver.
     """
-    rows = groups.histogram(df, attributes).select("attribute", "group", _logit(F.col("p")).alias("x"), "n", "k")
+    # The distinct scores are counted once; every round reads them from there, not from the input.
+    rows = groups.histogram(df, attributes).select("attribute", "group", _logit(F.col("p")).alias("x"), "n", "k").persist()
     spark = df.sparkSession
     sizes = rows.groupBy("attribute", "group").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).where((F.col("n") >= least) & (F.col("k") > 0) & (F.col("k") < F.col("n")))
     state = {(r["attribute"], r["group"]): [0.0, 1.0, 0.0] for r in sizes.collect()}  # intercept and slope; offset intercept
@@ -100,6 +101,7 @@ def logistic_recalibration(df: DataFrame, attributes: Sequence[str] = (), least:
             state[r["attribute"], r["group"]] = [a + float(d[0]), b + float(d[1]), c + dc]
             largest = max(largest, float(np.abs(d).max()), abs(dc))
         done = largest < tolerance
+    rows.unpersist()
     out = [(*k, v[1], v[2]) for k, v in state.items()]
     return spark.createDataFrame([(a, g, float(x), float(y)) for a, g, x, y in out], "attribute string, group string, calibration_slope double, calibration_intercept double")
 

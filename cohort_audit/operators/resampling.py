@@ -164,19 +164,43 @@ def _weight(cluster: Column, replicate: Column, seed: int) -> Column:
     return out
 
 
+def _poisson(key: np.ndarray, replicates: np.ndarray, seed: int) -> np.ndarray:
+    """Poisson(1) weights of rows (hashed clusters) by replicate, from a hash: the same wherever and whenever they are drawn."""
+    with np.errstate(over="ignore"):
+        x = key.astype(np.int64).view(np.uint64)[:, None] ^ ((replicates.astype(np.uint64) + np.uint64(seed % 2**32)) * np.uint64(0x9E3779B97F4A7C15))[None, :]
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        x ^= x >> np.uint64(31)
+    cum = np.cumsum(np.exp(-1.0) / np.cumprod(np.r_[1.0, np.arange(1.0, 9.0)]))
+    return np.searchsorted(cum, (x >> np.uint64(11)).astype(float) * 2.0**-53, "right").astype(float)
+
+
 def cluster_bootstrap(df: DataFrame, attributes: Sequence[str], threshold: float = 0.5, metric: str = "tpr", replicates: int = 500, seed: int = C.SEED) -> DataFrame:
     """Samples of a rate under resampling of whole clusters: attribute, group, replicate, value.
 
     Rows are first summed by cluster and group; each cluster then has a Poisson(1) weight in every replicate (the limit of
-    drawing clusters with replacement), so no table of draws is joined and sums are partial before the shuffle.
+    drawing clusters with replacement). Tasks add up their clusters for all replicates, so only sums by group and replicate
+    are shuffled.
     """
     num, den = rates.RATES[metric]
     long = groups.long(df, attributes, "p", "y", "cluster")
-    sums = rates.derived(long.groupBy("attribute", "group", "cluster").agg(*rates.aggregates(threshold))).select("attribute", "group", "cluster", F.col(num).alias("a"), F.col(den).alias("b")).where("b > 0")
-    reps = sums.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    w = _weight(F.col("cluster"), F.col("replicate"), seed)
-    out = reps.groupBy("attribute", "group", "replicate").agg(F.sum(F.col("a") * w).alias("a"), F.sum(F.col("b") * w).alias("b"))
-    return out.select("attribute", "group", "replicate", F.when(F.col("b") > 0, F.try_divide(F.col("a").cast("double"), F.col("b"))).alias("value"))
+    sums = rates.derived(long.groupBy("attribute", "group", "cluster").agg(*rates.aggregates(threshold))).where(F.col(den) > 0)
+    sums = sums.select("attribute", "group", F.xxhash64("cluster").alias("key"), F.col(num).cast("double").alias("a"), F.col(den).cast("double").alias("b"))
+
+    def add(batches):
+        held: dict[tuple, np.ndarray] = {}
+        numbers = np.arange(replicates)
+        for pdf in batches:
+            for names, part in pdf.groupby(["attribute", "group"], sort=False):
+                total = held.setdefault(names, np.zeros((2, replicates)))
+                for i in range(0, len(part), 2000):
+                    rows = part.iloc[i : i + 2000]
+                    total += rows[["a", "b"]].to_numpy().T @ _poisson(rows["key"].to_numpy(), numbers, seed)
+        for (attribute, group), (a, b) in held.items():
+            yield pd.DataFrame({"attribute": attribute, "group": group, "replicate": numbers, "a": a, "b": b})
+
+    out = sums.mapInPandas(add, "attribute string, group string, replicate long, a double, b double").groupBy("attribute", "group", "replicate").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    return out.select("attribute", "group", "replicate", F.when(F.col("b") > 0, F.try_divide("a", "b")).alias("value"))
 
 
 def bootstrap_statistic(values: DataFrame, statistic: Callable[[np.ndarray], float], column: str = "value", replicates: int = 2000, seed: int = C.SEED, most: int = 1_000_000) -> DataFrame:
@@ -205,31 +229,48 @@ def metric_type(metric: str) -> str:
 def permutation_test(df: DataFrame, attribute: str, metric: str = "tpr", threshold: float = 0.5, confounders: Sequence[str] = (), permutations: int = 1000, seed: int = C.SEED) -> DataFrame:
     """p of the range of a rate over groups when group labels are permuted over clusters, within outcome stratum and confounders.
 
-    Labels move by hash ranks: in every permutation a cluster takes the label at its hashed place in its stratum, drawn from
-    the stratum's label shares, so the null keeps the shares in expectation and needs no shuffle of labels. One row:
-    observed, p_value, null quantiles.
+    Clusters of equal sums are interchangeable, so a permutation of a stratum's labels is a draw without replacement of how
+    many clusters of each kind get each label (hypergeometric); label counts stay what they are. Tasks draw from the table of
+    kinds, a row a distinct pair of sums, and only sums by permutation and label are shuffled. One row: observed, p_value,
+    null quantiles.
     """
     num, den = rates.RATES[metric]
     want = STRATA.get(metric_type(metric))
     rows = df if want is None else df.where(F.col("y") == want)
     rows = rows.where(F.col(attribute).isNotNull())
     strata = list(confounders)
-    unit = rows.groupBy("cluster", *strata).agg(F.max(attribute).alias("label"), *rates.aggregates(threshold))
-    unit = rates.derived(unit).select("cluster", *strata, "label", F.col(num).alias("a"), F.col(den).alias("b"))
-    one = ["__s"]
-    unit = unit.withColumn("__s", F.xxhash64(*strata) if strata else F.lit(0).cast("long"))
-    shares = unit.groupBy("__s", "label").agg(F.count(F.lit(1)).alias("m"))
-    pool = shares.groupBy(*one).agg(F.sort_array(F.collect_list(F.struct("label", "m"))).alias("pool"), F.sum("m").alias("total"))  # the labels of a stratum
-    reps = unit.join(F.broadcast(pool), one).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(permutations))))
-    place = F.pmod(F.xxhash64("cluster", "rep", F.lit(seed)), F.col("total"))
-    drawn = F.aggregate("pool", F.struct(F.lit(0).cast("long").alias("c"), F.lit(None).cast("string").alias("l")), lambda s, x: F.struct((s["c"] + x["m"]).alias("c"), F.when(s["l"].isNull() & (place < s["c"] + x["m"]), x["label"]).otherwise(s["l"]).alias("l")))["l"]
-    label = F.when(F.col("rep") == 0, F.col("label")).otherwise(drawn)
-    sums = reps.groupBy("rep", label.alias("g")).agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where("b > 0")
+    unit = rates.derived(rows.groupBy("cluster", *strata).agg(F.max(attribute).alias("label"), *rates.aggregates(threshold)))
+    unit = unit.select(F.xxhash64(*strata).alias("s") if strata else F.lit(0).cast("long").alias("s"), "label", F.col(num).cast("long").alias("a"), F.col(den).cast("long").alias("b"))
+    kinds = unit.groupBy("s", "a", "b", "label").agg(F.count(F.lit(1)).alias("m"))
+
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        chunk, s = int(pdf["chunk"].iloc[0]), int(pdf["s"].iloc[0])
+        size = min(CHUNK, permutations - chunk * CHUNK)
+        rng = _generator(seed, "permutation", s, chunk)
+        left = pdf.groupby("label")["m"].sum().sort_index()
+        labels, left = list(left.index), np.repeat(left.to_numpy()[:, None], size, 1)
+        sums = np.zeros((2, len(labels), size))
+        for (a, b), m in pdf.groupby(["a", "b"])["m"].sum().sort_index().items():
+            todo = np.full(size, m)
+            for i in range(len(labels)):  # this kind's clusters are dealt to the labels by turns
+                got = rng.hypergeometric(left[i], left[i + 1 :].sum(0), todo) if i + 1 < len(labels) else todo
+                left[i] -= got
+                todo = todo - got
+                sums[0, i] += a * got
+                sums[1, i] += b * got
+        number = chunk * CHUNK + 1 + np.arange(size)
+        return pd.concat([pd.DataFrame({"rep": number, "g": g, "a": sums[0, i], "b": sums[1, i]}) for i, g in enumerate(labels)])
+
+    drawn = _chunks(kinds, permutations).groupBy("s", "chunk").applyInPandas(draw, "rep long, g string, a double, b double")
+    seen = kinds.groupBy("label").agg(F.sum(F.col("a") * F.col("m")).cast("double").alias("a"), F.sum(F.col("b") * F.col("m")).cast("double").alias("b"))
+    both = drawn.union(seen.select(F.lit(0).cast("long"), "label", "a", "b"))
+    sums = both.groupBy("rep", "g").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where("b > 0")
     spread = sums.withColumn("r", F.col("a") / F.col("b")).groupBy("rep").agg((F.max("r") - F.min("r")).alias("v"))
     obs = spread.where("rep = 0").select(F.col("v").alias("observed"))
     null = spread.where("rep > 0").crossJoin(F.broadcast(obs))  # one row
-    q = F.percentile("v", F.array(F.lit(0.025), F.lit(0.975)))
-    return null.groupBy("observed").agg(((1 + F.count_if(F.col("v") >= F.col("observed"))) / (1 + F.count(F.lit(1)))).alias("p_value"), q.alias("q"), F.count(F.lit(1)).alias("n_permutations")).select(F.lit(metric).alias("metric"), "observed", "p_value", F.col("q")[0].alias("null_lower"), F.col("q")[1].alias("null_upper"), "n_permutations")
+    q = F.percentile("v", F.array(F.lit(0.025), F.lit(0.975)))  # over the permutations
+    reached = F.count_if(F.col("v") >= F.col("observed") - 1e-12)
+    return null.groupBy("observed").agg(((1 + reached) / (1 + F.count(F.lit(1)))).alias("p_value"), q.alias("q"), F.count(F.lit(1)).alias("n_permutations")).select(F.lit(metric).alias("metric"), "observed", "p_value", F.col("q")[0].alias("null_lower"), F.col("q")[1].alias("null_upper"), "n_permutations")
 
 
 def permutation_test_arrays(spark, y_true: Sequence[int], y_pred: Sequence[int], labels: Sequence[str], metric: str = "selection_rate", permutations: int = 1000, seed: int = C.SEED) -> DataFrame:

@@ -121,6 +121,41 @@ def test_permutation(spark):
     assert resampling.permutation_test(far, "g", "tpr", permutations=99).first()["p_value"] == pytest.approx(0.01)
 
 
+def test_permutations_keep_label_counts(spark):
+    """p and null quantiles against permuted labels in numpy, within a confounder's strata."""
+    rng = np.random.default_rng(4)
+    rows = [(str(i // 3), float(rng.random()), 1, "a" if (i // 3) % 3 else "b", "s" if (i // 3) % 2 else "t") for i in range(240)]
+    df = spark.createDataFrame(rows, "cluster string, p double, y int, g string, site string")
+    got = resampling.permutation_test(df, "g", "tpr", confounders=["site"], permutations=2000).first()
+    unit = pd.DataFrame(rows, columns=["c", "p", "y", "g", "site"]).assign(a=lambda d: d.p >= 0.5).groupby("c").agg(a=("a", "sum"), b=("y", "sum"), g=("g", "first"), site=("site", "first")).reset_index()
+
+    def spread(labels):
+        t = unit.assign(g=labels).groupby("g")[["a", "b"]].sum()
+        return np.ptp(t.a / t.b)
+
+    null = []
+    for _ in range(2000):
+        labels = unit.g.to_numpy().copy()
+        for s in ("s", "t"):
+            at = np.flatnonzero(unit.site == s)
+            labels[at] = rng.permutation(labels[at])
+        null.append(spread(labels))
+    assert got["observed"] == pytest.approx(spread(unit.g.to_numpy())) and got["n_permutations"] == 2000
+    assert got["p_value"] == pytest.approx(np.mean(np.array(null) >= got["observed"] - 1e-12), abs=0.05)
+    assert (got["null_lower"], got["null_upper"]) == pytest.approx(tuple(np.quantile(null, [0.025, 0.975])), abs=0.02)
+
+
+def test_cluster_bootstrap_has_the_spread_of_resampled_clusters(spark):
+    rng = np.random.default_rng(6)
+    rows = [(str(i // 4), float(rng.beta(2, 2)), 1, "a") for i in range(400)]
+    df = spark.createDataFrame(rows, "cluster string, p double, y int, g string")
+    got = {r["attribute"]: r for r in resampling.percentile_ci(resampling.cluster_bootstrap(df, ["g"], replicates=800)).collect()}
+    hit = (np.array([r[1] for r in rows]) >= 0.5).reshape(-1, 4)
+    null = [hit[rng.integers(0, 100, 100)].mean() for _ in range(4000)]
+    for r in got.values():
+        assert r["n_samples"] == 800 and r["mean"] == pytest.approx(hit.mean(), abs=0.01) and r["se"] == pytest.approx(np.std(null), rel=0.15)
+
+
 def test_validation(spark):
     good = pd.DataFrame({"p": [0.1, 0.9], "y": [0, 1]})
     assert load.validate(load.load(spark, good), "p", "y") == 2
