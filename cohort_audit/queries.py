@@ -73,7 +73,18 @@ def q(a: str, b: str, default: str = "0.0") -> str:
     return f"CASE WHEN {b} > 0 THEN CAST({a} AS DOUBLE) / {b} ELSE {default} END"
 
 
-RATE = {m: q(*rates.RATES[m]) for m in rates.RATES}
+#: Numerator and denominator of each rate, written out here so that the SQL does not follow the library's own table.
+PARTS = {
+    "tpr": ("tp", "(tp + fn)"),
+    "fpr": ("fp", "(fp + tn)"),
+    "tnr": ("tn", "(fp + tn)"),
+    "fnr": ("fn", "(tp + fn)"),
+    "ppv": ("tp", "(tp + fp)"),
+    "npv": ("tn", "(tn + fn)"),
+    "selection_rate": ("(tp + fp)", "(tp + fp + tn + fn)"),
+    "accuracy": ("(tp + tn)", "(tp + fp + tn + fn)"),
+}
+RATE = {m: q(*x) for m, x in PARTS.items()}
 
 
 def wilson_sql(s: str, n: str) -> tuple[str, str]:
@@ -108,7 +119,7 @@ def confusion_matrix(df):
     return rates.group_rates(rates.cells(df, [], T)).select("n", "n_positive", "tp", "fp", "tn", "fn", "accuracy")
 
 
-_ci = {m: tuple(f"COALESCE({x}, {e})" for x, e in zip(wilson_sql(*rates.RATES[m]), ("0.0", "1.0"), strict=True)) for m in ("tpr", "fpr", "ppv")}
+_ci = {m: tuple(f"COALESCE({x}, {e})" for x, e in zip(wilson_sql(*PARTS[m]), ("0.0", "1.0"), strict=True)) for m in ("tpr", "fpr", "ppv")}
 
 
 @query(f"{CELLS} SELECT attribute, \"group\", n, " + ", ".join(f"{r(RATE[m], m)}, {r(lo, m + '_ci_lower')}, {r(hi, m + '_ci_upper')}" for m, (lo, hi) in _ci.items()) + " FROM c")
@@ -118,7 +129,7 @@ def group_rates_ci(df):
 
 
 def disparity_sql(metric: str, order: str = "n DESC") -> str:
-    s, t = rates.RATES[metric]
+    s, t = PARTS[metric]
     (l1, u1), (l2, u2) = wilson_sql("a.s", "a.t"), wilson_sql("b.s", "b.t")
     z = "CASE WHEN a.t > 0 AND b.t > 0 AND SQRT(CAST(a.s + b.s AS DOUBLE)/(a.t + b.t) * (1 - CAST(a.s + b.s AS DOUBLE)/(a.t + b.t)) * (1.0/a.t + 1.0/b.t)) > 0 THEN (a.value - b.value) / SQRT(CAST(a.s + b.s AS DOUBLE)/(a.t + b.t) * (1 - CAST(a.s + b.s AS DOUBLE)/(a.t + b.t)) * (1.0/a.t + 1.0/b.t)) ELSE 0.0 END"
     lo = f"CASE WHEN a.t <= 0 OR b.t <= 0 THEN -1.0 ELSE GREATEST(-1.0, a.value - b.value - SQRT(POW(a.value - {l1}, 2) + POW({u2} - b.value, 2))) END"
@@ -498,20 +509,24 @@ def calibration_curve_errors(df):
 
 @query()
 def bootstrap_auroc_ci(df):
-    return resampling.percentile_ci(resampling.bootstrap_auroc(df, ATTRIBUTES, 200))
+    return resampling.percentile_ci(resampling.bootstrap_auroc(df, ATTRIBUTES))
 
 
 @query()
 def ace_bootstrap_ci(df):
-    return resampling.percentile_ci(resampling.bootstrap_ace(df, ATTRIBUTES, 100))
+    return resampling.percentile_ci(resampling.bootstrap_ace(df, ATTRIBUTES))
 
 
 @query()
 def ace_gap_ci(df):
-    return resampling.percentile_ci(resampling.gap_samples(resampling.bootstrap_ace(df, ATTRIBUTES[:1], 50, clusters=True)), ("attribute",))
+    return resampling.percentile_ci(resampling.gap_samples(resampling.bootstrap_ace(df, ATTRIBUTES, 200, clusters=True)), ("attribute",))
 
 
-@query()
+_BAND = "CASE WHEN auroc IS NULL THEN NULL WHEN auroc < 0.6 THEN 'Failed discrimination (no better than chance)' WHEN auroc < 0.7 THEN 'Poor discrimination' WHEN auroc < 0.8 THEN 'Acceptable discrimination' WHEN auroc < 0.9 THEN 'Good discrimination' ELSE 'Excellent discrimination' END"
+_ALSO = " ".join(f"JOIN ({ORACLES[name]}) {alias} ON {alias}.attribute = a.attribute AND {alias}.\"group\" = a.\"group\"" for name, alias in (("brier_oe", "b"), ("net_benefit_by_group", "nb"), ("discrimination_slope", "ds")))
+
+
+@query(f"SELECT a.*, {_BAND} AS interpretation, b.* EXCLUDE (attribute, \"group\", n), nb.* EXCLUDE (attribute, \"group\"), ds.discrimination_slope FROM ({ORACLES['auroc_by_group']}) a {_ALSO}")
 def four_pack(df):
     return audit.four_pack(df, ATTRIBUTES, T)["measures"]
 
