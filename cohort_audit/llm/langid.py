@@ -275,7 +275,8 @@ def _judged(models: Models | None, texts: list[str]) -> tuple[list[str], np.ndar
         low = ce.min(1)
         known = letters > 0
         score = np.where(known, 1 / (1 + np.exp(-np.clip(c["a"] + c["b"] * _margin(ce, letters), -30, 30))), 0.0)
-        z = (low - c["mean"][best]) * np.sqrt(np.minimum(letters, 400)) / c["spread"][best]
+        with np.errstate(invalid="ignore"):  # a text without a letter in a language that is never rejected
+            z = (low - c["mean"][best]) * np.sqrt(np.minimum(letters, 400)) / c["spread"][best]
         rejected = ~known | (z > c["limit"])
         names = [models.languages[k] if ok else "und" for k, ok in zip(best, known, strict=True)]
         low = np.where(known, low, 0.0)
