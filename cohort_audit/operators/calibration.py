@@ -50,12 +50,12 @@ def calibration_by_group(bins: DataFrame, least: int = C.CALIBRATION_N) -> DataF
 
 def ace(df: DataFrame, attributes: Sequence[str] = (), bins: int = C.BINS, least: int = 5) -> DataFrame:
     """Adaptive calibration error: bins between distinct quantiles, left-closed; bins of fewer than ``least`` rows drop out."""
-    rows = groups.long(df, attributes, "p", "y")
-    q = rows.groupBy("attribute", "group").agg(F.array_distinct(F.percentile("p", F.array(*(F.lit(i / bins) for i in range(bins + 1))))).alias("edges"))
+    rows = groups.histogram(df, attributes)
+    q = groups.quantiles(rows, [i / bins for i in range(bins + 1)]).select("attribute", "group", F.array_distinct("q").alias("edges"))
     inner = F.expr("slice(edges, 2, greatest(size(edges) - 2, 0))")
     joined = rows.join(q.withColumn("inner", inner).drop("edges"), ["attribute", "group"])  # an array a group
     binned = joined.withColumn("bin", F.size(F.filter("inner", lambda e: e <= F.col("p"))))
-    cells = binned.groupBy("attribute", "group", "bin").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("o"), F.avg("p").alias("e")).where(F.col("n") >= least)
+    cells = binned.groupBy("attribute", "group", "bin").agg(F.sum("n").alias("n"), ratio(F.sum("k"), F.sum("n")).alias("o"), F.try_divide(F.sum(F.col("n") * F.col("p")), F.sum("n")).alias("e")).where(F.col("n") >= least)
     return cells.groupBy("attribute", "group").agg((F.sum(F.col("n") * F.abs(F.col("o") - F.col("e"))) / F.sum("n")).alias("ace"), F.count(F.lit(1)).alias("n_bins"), F.sum("n").alias("n_used"))
 
 
@@ -109,11 +109,10 @@ def logistic_recalibration(df: DataFrame, attributes: Sequence[str] = (), least:
 def lowess_curve(df: DataFrame, attributes: Sequence[str] = (), frac: float = 0.75, least: int = C.CALIBRATION_N, resolution: int = 2000) -> DataFrame:
     """Local regression of the outcome on the score by group: attribute, group, p, n, k, smoothed.
 
-    Scores are first counted in at most ``resolution`` steps a group, so a group is a bounded table whatever its rows; a
-    group with more than ``LOWESS_GRID`` distinct scores is fitted on a grid of its quantiles and interpolated.
+    A group's scores are first joined into about ``resolution`` bins of equal counts where it has more
+    (:func:`groups.binned`), so a group is a bounded table whatever its rows; a group with more than ``LOWESS_GRID`` distinct scores is fitted on a grid of its quantiles and interpolated.
     """
-    step = F.round(F.col("p") * resolution) / resolution
-    hist = groups.histogram(df.withColumn("p", step), attributes)
+    hist = groups.binned(groups.histogram(df, attributes), resolution)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("p")

@@ -7,14 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..constants import OVERALL
 from ..functions.intervals import chi2_p, cramers_band, fisher_p, ratio, wilson_plain
 from . import groups
 
 
+def _totals(df: DataFrame) -> DataFrame:
+    return df.agg(F.count(F.lit(1)).alias("n_total"), F.coalesce(F.sum("y"), F.lit(0)).alias("n_positive"), F.avg("p").alias("mean"), F.stddev_pop("p").alias("std"), F.min("p").alias("min"), F.max("p").alias("max"))
+
+
 def cohort_overview(df: DataFrame) -> DataFrame:
     """Counts, prevalence, and moments and percentiles of the score (population deviation)."""
-    q = F.percentile("p", F.array(*(F.lit(x) for x in (0.25, 0.5, 0.75, 0.9, 0.95))))
-    one = df.agg(F.count(F.lit(1)).alias("n_total"), F.coalesce(F.sum("y"), F.lit(0)).alias("n_positive"), F.avg("p").alias("mean"), F.stddev_pop("p").alias("std"), F.min("p").alias("min"), F.max("p").alias("max"), q.alias("q"))
+    q = groups.quantiles(groups.histogram(df, []), (0.25, 0.5, 0.75, 0.9, 0.95)).select("attribute", "q")
+    one = _totals(df).withColumn("attribute", F.lit(OVERALL)).join(q, "attribute", "left")  # a row each
     return one.select("n_total", "n_positive", (F.col("n_total") - F.col("n_positive")).alias("n_negative"), ratio("n_positive", "n_total").alias("prevalence"), "mean", "std", "min", "max", *(F.col("q")[i].alias(n) for i, n in enumerate(("percentile_25", "median", "percentile_75", "percentile_90", "percentile_95"))))
 
 
@@ -36,7 +41,7 @@ def outcome_by_attribute(df: DataFrame, attributes: Sequence[str], reference: di
 def table1(df: DataFrame, attributes: Sequence[str], reference: dict[str, str] | None = None) -> DataFrame:
     """category, group, n, percentage, outcome rate, rate ratio and interval: overall first in meaning, groups of each attribute."""
     lo, hi = wilson_plain("n_positive", "n_total")
-    top = cohort_overview(df).select(F.lit("Overall").alias("category"), F.lit("All").alias("group"), F.col("n_total").alias("n"), F.lit(100.0).alias("percentage"), F.col("prevalence").alias("outcome_rate"), F.lit(1.0).alias("rate_ratio"), lo.alias("ci_95_low"), hi.alias("ci_95_high"))
+    top = _totals(df).select(F.lit("Overall").alias("category"), F.lit("All").alias("group"), F.col("n_total").alias("n"), F.lit(100.0).alias("percentage"), ratio("n_positive", "n_total").alias("outcome_rate"), F.lit(1.0).alias("rate_ratio"), lo.alias("ci_95_low"), hi.alias("ci_95_high"))
     rest = outcome_by_attribute(df, attributes, reference).select(F.col("attribute").alias("category"), "group", "n", (100 * F.col("pct")).alias("percentage"), "outcome_rate", "rate_ratio", "ci_95_low", "ci_95_high")
     return top.unionByName(rest)
 
@@ -44,8 +49,9 @@ def table1(df: DataFrame, attributes: Sequence[str], reference: dict[str, str] |
 def continuous_summary(df: DataFrame, column: str, attributes: Sequence[str] = ()) -> DataFrame:
     """n, missing, mean, population deviation, quartiles, least and greatest of a column, overall and by group."""
     rows = groups.long(df, attributes, column)
-    q = F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = rows.groupBy("attribute", "group").agg(F.count(column).alias("n"), F.count_if(F.col(column).isNull()).alias("n_missing"), F.avg(column).alias("mean"), F.stddev_pop(column).alias("std"), F.min(column).alias("min"), F.max(column).alias("max"), q.alias("q"))
+    hist = rows.where(F.col(column).isNotNull()).groupBy("attribute", "group", F.col(column).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    q = groups.quantiles(hist, (0.25, 0.5, 0.75), "x", ranges=groups.value_range)
+    out = rows.groupBy("attribute", "group").agg(F.count(column).alias("n"), F.count_if(F.col(column).isNull()).alias("n_missing"), F.avg(column).alias("mean"), F.stddev_pop(column).alias("std"), F.min(column).alias("min"), F.max(column).alias("max")).join(q, ["attribute", "group"], "left")
     return out.select("attribute", "group", "n", "n_missing", "mean", "std", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "min", "max")
 
 

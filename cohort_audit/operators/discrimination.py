@@ -35,7 +35,7 @@ def auroc_comparison(frame: DataFrame, reference: dict[str, str] | None = None)
 
 def roc_points(hist: DataFrame, drop_collinear: bool = True) -> DataFrame:
     """Rates by descending threshold, from (0, 0) at infinity; points on a straight line between their neighbours may be dropped."""
-    run = groups.running(hist, descending=True).withColumn("range", F.least(F.floor(F.col("p") * groups.RANGES), F.lit(groups.RANGES - 1)).cast("int"))
+    run = groups.running(hist, descending=True).withColumn("range", groups.score_range(F.col("p")))
     keys = ["attribute", "group"]
     neg = F.col("n") - F.col("k")
     # The next point's step lies in the same range of scores or is the first step of the next range that has one.
@@ -71,9 +71,12 @@ def precision_summaries(hist: DataFrame) -> DataFrame:
 
 def risk_distribution(df: DataFrame, attributes: Sequence[str] = ()) -> DataFrame:
     """Moments and quartiles of the score by group and outcome."""
+    keys = ["attribute", "group", "y"]
+    small = df.groupBy("p", "y", *attributes).agg(F.count(F.lit(1)).alias("n"))
+    hist = groups.long(small, attributes, "p", "y", "n").groupBy(*keys, "p").agg(F.sum("n").alias("n"))
     rows = groups.long(df, attributes, "p", "y")
-    q = F.percentile("p", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = rows.groupBy("attribute", "group", "y").agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("mean"), F.stddev_pop("p").alias("std"), F.min("p").alias("min"), F.max("p").alias("max"), q.alias("q"))
+    moments = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("mean"), F.stddev_pop("p").alias("std"), F.min("p").alias("min"), F.max("p").alias("max"))
+    out = moments.join(groups.quantiles(hist, (0.25, 0.5, 0.75), keys=keys), keys)
     return out.select("attribute", "group", "y", "n", "mean", F.col("q")[1].alias("median"), "std", "min", "max", F.col("q")[0].alias("q25"), F.col("q")[2].alias("q75"), (F.col("q")[2] - F.col("q")[0]).alias("iqr"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..constants import OVERALL
 
 #: Score ranges that split an ordered histogram, so that no task holds all scores of a group.
-RANGES = 4096
+RANGES = 65536
 
 
 def standard(df: DataFrame, prob: str = "y_prob", label: str = "y_true", attributes: Sequence[str] = (), cluster: str | None = None) -> DataFrame:
@@ -65,20 +65,67 @@ def histogram(df: DataFrame, attributes: Sequence[str], overall: bool = True) ->
     return long(rows, attributes, "p", "n", "k", overall=overall).groupBy("attribute", "group", "p").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
 
 
-def running(hist: DataFrame, columns: Sequence[str] = ("n", "k"), descending: bool = False) -> DataFrame:
-    """``hist`` with ``before_<c>``, the sum of c over a group's earlier scores.
+def score_range(p: Column) -> Column:
+    """Range of a score by its log odds: scores crowded near 0 or 1 fall into many ranges too."""
+    eps = 2.0**-40
+    inside = F.greatest(F.lit(0.0), F.least(F.lit(1.0), p))
+    return F.floor((F.ln((inside + eps) / (1 - inside + eps)) + 28) * (RANGES / 56)).cast("int")
 
-    Sums come in two levels, over ranges of the score and within a range, so no task needs all scores of a group.
+
+def value_range(x: Column) -> Column:
+    """Range of any number, by its logarithm on both sides of 0."""
+    return F.floor(F.signum(x) * F.log1p(F.abs(x)) * 1024).cast("int")
+
+
+def running(hist: DataFrame, columns: Sequence[str] = ("n", "k"), descending: bool = False, value: str = "p", keys: Sequence[str] = ("attribute", "group"), ranges: Callable[[Column], Column] = score_range) -> DataFrame:
+    """``hist`` with ``before_<c>``, the sum of c over a group's earlier values, and ``total_<c>``, its sum over the group.
+
+    Sums come in two levels, over ranges of the value and within a range, so no task needs all values of a group.
     """
-    keys = ["attribute", "group"]
+    keys = list(keys)
     order = F.desc if descending else F.asc
-    ranged = hist.withColumn("range", F.least(F.floor(F.col("p") * RANGES), F.lit(RANGES - 1)).cast("int"))
+    ranged = hist.withColumn("range", ranges(F.col(value)))
     sums = ranged.groupBy(*keys, "range").agg(*(F.sum(c).alias(f"of_{c}") for c in columns))
-    w = Window.partitionBy(*keys).orderBy(order("range")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    base = sums.select(*keys, "range", *((F.sum(f"of_{c}").over(w) - F.col(f"of_{c}")).alias(f"base_{c}") for c in columns))
-    v = Window.partitionBy(*keys, "range").orderBy(order("p")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy(*keys)
+    w = whole.orderBy(order("range")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    base = sums.select(*keys, "range", *((F.sum(f"of_{c}").over(w) - F.col(f"of_{c}")).alias(f"base_{c}") for c in columns), *(F.sum(f"of_{c}").over(whole).alias(f"total_{c}") for c in columns))
+    v = Window.partitionBy(*keys, "range").orderBy(order(value)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     within = ranged.select("*", *((F.sum(c).over(v) - F.col(c)).alias(f"within_{c}") for c in columns))
-    return within.join(base, [*keys, "range"]).select(*hist.columns, *((F.col(f"base_{c}") + F.col(f"within_{c}")).alias(f"before_{c}") for c in columns))
+    return within.join(base, [*keys, "range"]).select(*hist.columns, *((F.col(f"base_{c}") + F.col(f"within_{c}")).alias(f"before_{c}") for c in columns), *(f"total_{c}" for c in columns))
+
+
+def quantiles(hist: DataFrame, probabilities: Sequence[float], value: str = "p", keys: Sequence[str] = ("attribute", "group"), ranges: Callable[[Column], Column] = score_range) -> DataFrame:
+    """The keys and ``q``, exact quantiles (linear between neighbours) of values counted in ``n``, from running sums."""
+    run = running(hist, ("n",), value=value, keys=keys, ranges=ranges)
+    places = [(F.col("total_n") - 1) * F.lit(float(x)) for x in probabilities]
+
+    def at(i: Column) -> Column:  # the value of place i is the last one with no more rows before it
+        return F.max(F.when(F.col("before_n") <= i, F.col(value))).cast("double")
+
+    ends = [c for i, h in enumerate(places) for c in (at(F.floor(h)).alias(f"lo{i}"), at(F.ceil(h)).alias(f"hi{i}"))]
+    out = run.groupBy(*keys, "total_n").agg(*ends)
+    between = [F.when(F.floor(h) == F.ceil(h), F.col(f"lo{i}")).otherwise((F.ceil(h) - h) * F.col(f"lo{i}") + (h - F.floor(h)) * F.col(f"hi{i}")) for i, h in enumerate(places)]
+    return out.select(*keys, F.array(*between).alias("q"))
+
+
+def binned(hist: DataFrame, most: int, each: bool = False) -> DataFrame:
+    """``hist`` with at most ``2 * most`` scores a group, for tasks that hold a group's table.
+
+    A group of at most ``most`` distinct scores stays as it is. Else scores are joined into ``most`` bins of equal counts, at
+    their mean score; a score that fills a bin alone stays by itself. So a bin of several scores holds at most 2 / most of the
+    rows, which bounds the change of an AUROC by 2 / most however the scores are spread. ``each`` keeps a row a score, with
+    its bin's score as ``step``.
+    """
+    keys = ["attribute", "group"]
+    run = running(hist.withColumn("one", F.lit(1).cast("long")), ("n", "one"))
+    alone = (F.col("total_one") <= most) | (F.col("n") * most > F.col("total_n"))
+    rows = run.select(*hist.columns, F.floor(F.col("before_n") * F.lit(float(most)) / F.col("total_n")).alias("bin"), F.when(alone, F.col("p")).alias("own"))
+    mean = F.coalesce(F.col("own"), F.try_divide(F.sum(F.col("n") * F.col("p")), F.sum("n").cast("double")))
+    bins = rows.groupBy(*keys, "bin", "own").agg(F.sum("n").alias("n"), F.sum("k").alias("k"), mean.alias("step"))
+    if not each:
+        return bins.select(*keys, F.col("step").alias("p"), "n", "k")
+    means = bins.where("own is null").select(*keys, "bin", F.col("step").alias("mean"))
+    return rows.join(means, [*keys, "bin"], "left").select(*hist.columns, F.coalesce("own", "mean").alias("step"))
 
 
 def references(cells: DataFrame, references_: dict[str, str] | None = None, by: Column | None = None) -> DataFrame:

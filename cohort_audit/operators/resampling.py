@@ -49,11 +49,11 @@ def _chunks(frame: DataFrame, replicates: int) -> DataFrame:
 def bootstrap_auroc(df: DataFrame, attributes: Sequence[str] = (), replicates: int = C.N_BOOTSTRAP_SUBGROUP, seed: int = C.SEED, stratified: bool = True, resolution: int = 2000, metric: Callable[[np.ndarray, np.ndarray], np.ndarray] = _weighted_auroc) -> DataFrame:
     """AUROC samples: attribute, group, replicate, value.
 
-    Scores are counted in at most ``resolution`` steps a group, so a task holds a bounded table; a resample draws the
-    counts (two multinomials if ``stratified`` by outcome, else one). Replicates with one class are left out. ``metric``
+    A group's scores are joined into about ``resolution`` bins of equal counts where it has more (:func:`groups.binned`, which
+    bounds the change of the value), so a task holds a bounded table; a resample draws the counts (two multinomials if ``stratified`` by outcome, else one). Replicates with one class are left out. ``metric``
     maps counts of negatives and positives by ascending score (a row a replicate) to values.
     """
-    hist = groups.histogram(df.withColumn("p", F.round(F.col("p") * resolution) / resolution), attributes)
+    hist = groups.binned(groups.histogram(df, attributes), resolution)
 
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
         a, g, chunk = pdf["attribute"].iloc[0], pdf["group"].iloc[0], int(pdf["chunk"].iloc[0])
@@ -95,13 +95,15 @@ def _weighted_ace(scores: np.ndarray, n: np.ndarray, k: np.ndarray, bins: int, l
 def bootstrap_ace(df: DataFrame, attributes: Sequence[str] = (), replicates: int = C.N_BOOTSTRAP, seed: int = C.SEED, clusters: bool = False, bins: int = C.BINS, least: int = 5, resolution: int = 2000) -> DataFrame:
     """Samples of the adaptive calibration error: attribute, group, replicate, value.
 
-    Scores are counted in at most ``resolution`` steps a group. Rows are resampled by multinomial counts; with ``clusters``
+    A group's scores are joined into about ``resolution`` bins of equal counts where it has more. Rows are resampled by multinomial counts; with ``clusters``
     whole clusters (column ``cluster``) have Poisson(1) weights instead.
     """
-    stepped = df.withColumn("p", F.round(F.col("p") * resolution) / resolution)
+    exact = groups.histogram(df, attributes)
     schema = "attribute string, group string, replicate long, value double"
     if clusters:
-        rows = groups.long(stepped, attributes, "p", "y", "cluster").groupBy("attribute", "group", "cluster", "p").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("k"))
+        rows = groups.long(df, attributes, "p", "y", "cluster").groupBy("attribute", "group", "cluster", "p").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("k"))
+        rows = rows.join(groups.binned(exact, resolution, each=True).select("attribute", "group", "p", "step"), ["attribute", "group", "p"])
+        rows = rows.groupBy("attribute", "group", "cluster", F.col("step").alias("p")).agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
         reps = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
         w = _weight(F.col("cluster"), F.col("replicate"), seed)
         hist = reps.groupBy("attribute", "group", "replicate", "p").agg(F.sum(F.col("n") * w).alias("n"), F.sum(F.col("k") * w).alias("k")).where("n > 0")
@@ -123,7 +125,7 @@ def bootstrap_ace(df: DataFrame, attributes: Sequence[str] = (), replicates: int
         v = np.array([_weighted_ace(x, r[: len(x)] + r[len(x) :], r[len(x) :], bins, least) for r in s])
         return pd.DataFrame({"attribute": a, "group": g, "replicate": chunk * CHUNK + np.arange(size), "value": v}).dropna()
 
-    return _chunks(groups.histogram(stepped, attributes), replicates).groupBy("attribute", "group", "chunk").applyInPandas(draw, schema)
+    return _chunks(groups.binned(exact, resolution), replicates).groupBy("attribute", "group", "chunk").applyInPandas(draw, schema)
 
 
 def gap_samples(samples: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cohort_audit.config import FairnessConfig, FairnessMetric, MetricDisplayConfig, UseCaseType, normalize_persona
 from cohort_audit.errors import ColumnNotFoundError, ConfigurationError, DataValidationError
-from cohort_audit.operators import calibration, discrimination, disparity, groups, multiplicity, rates, resampling, thresholds
+from cohort_audit.operators import calibration, descriptive, discrimination, disparity, groups, multiplicity, rates, resampling, thresholds
 from cohort_audit.plans import audit, decision
 from cohort_audit.reports import render
 from cohort_audit.sources import load
@@ -238,3 +238,55 @@ def test_monitor_on_a_stream(spark, cohort, tmp_path):
     want = monitor.windowed_rates(rows, "at", ["sex"])
     assert spark.table("monitor").count() == want.count() > 0
     assert spark.table("monitor").agg(F.sum("n")).first()[0] == 2 * rows.count()
+
+
+def test_quantiles_of_any_numbers(spark):
+    rng = np.random.default_rng(3)
+    values = {"a": np.round(rng.normal(0, 50, 301), 1), "b": rng.lognormal(8, 3, 200), "c": np.array([7.0]), "d": np.repeat([1.0, 2.0], [1, 900])}
+    df = spark.createDataFrame([(g, float(x)) for g, xs in values.items() for x in xs] + [("e", None)], "g string, x double")
+    got = {r["group"]: r for r in descriptive.continuous_summary(df, "x", ["g"]).collect()}
+    for g, xs in values.items():
+        assert [got[g][c] for c in ("q1", "median", "q3")] == pytest.approx(list(np.quantile(xs, [0.25, 0.5, 0.75])))
+    assert got["e"]["n_missing"] == 1 and got["e"]["median"] is None
+    assert got["_overall"]["median"] == pytest.approx(np.median(np.concatenate(list(values.values()))))
+
+
+def crowded(spark, n=20_000):
+    """A rare outcome with almost all scores below 0.005, one score that a third of the rows share, and a few near 1."""
+    rng = np.random.default_rng(5)
+    p = np.where(rng.random(n) < 0.33, 0.0004, rng.beta(0.7, 900, n))
+    p[:20] = 1 - rng.random(20) * 1e-9
+    y = rng.random(n) < np.minimum(6 * p + 0.001, 1)
+    return p, y, spark.createDataFrame([(str(i // 4), float(a), int(b)) for i, (a, b) in enumerate(zip(p, y, strict=True))], "cluster string, p double, y int")
+
+
+def test_bins_follow_the_scores(spark):
+    p, y, df = crowded(spark)
+    hist = groups.histogram(df, [])
+    exact = discrimination.auroc(hist).first()["auroc"]
+    order = np.argsort(p, kind="stable")
+    _, at, m = np.unique(p[order], return_index=True, return_counts=True)
+    rank = np.repeat(at + (m + 1) / 2, m)
+    assert exact == pytest.approx((rank[y[order]].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (~y).sum()))
+    for most in (50, 500):
+        few = groups.binned(hist, most)
+        rows = few.collect()
+        assert len(rows) <= 2 * most and sum(r["n"] for r in rows) == len(p) and sum(r["k"] for r in rows) == y.sum()
+        assert abs(discrimination.auroc(few).first()["auroc"] - exact) <= 2 / most
+    assert sorted(groups.binned(hist, len(p)).collect()) == sorted(hist.collect())
+    each = {r["p"]: r["step"] for r in groups.binned(hist, 50, each=True).collect()}
+    assert len(each) == hist.count() and sorted(set(each.values())) == pytest.approx(sorted(r["p"] for r in groups.binned(hist, 50).collect()))
+    ci = resampling.percentile_ci(resampling.bootstrap_auroc(df, [], 200)).first()
+    assert ci["ci_lower"] <= exact <= ci["ci_upper"] and abs(ci["mean"] - exact) < 0.01
+    assert hist.select(groups.score_range(F.col("p"))).distinct().count() > 1000
+
+
+def test_adaptive_error_of_crowded_scores(spark):
+    p, y, df = crowded(spark)
+    edges = np.unique(np.quantile(p, np.arange(11) / 10))
+    at = np.searchsorted(edges[1:-1], p, "right")
+    want = sum(abs(y[at == b].sum() - p[at == b].sum()) for b in range(at.max() + 1) if (at == b).sum() >= 5) / len(p)
+    assert calibration.ace(df).first()["ace"] == pytest.approx(want)
+    for clusters in (False, True):
+        ci = resampling.percentile_ci(resampling.bootstrap_ace(df, [], 40, clusters=clusters)).first()
+        assert abs(ci["mean"] - want) < 5 * ci["se"] + 1e-4
