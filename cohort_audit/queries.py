@@ -538,12 +538,12 @@ def bootstrap_confusion_ci(df):
 
 @query()
 def cluster_bootstrap_ci(df):
-    return resampling.percentile_ci(resampling.cluster_bootstrap(df, ATTRIBUTES, T, "tpr", 200))
+    return resampling.percentile_ci(resampling.cluster_bootstrap(df, ATTRIBUTES, T, "tpr"))
 
 
 @query()
 def permutation_test(df):
-    return resampling.permutation_test(df, "c_mktsegment", "tpr", T, permutations=200)
+    return resampling.permutation_test(df, "c_mktsegment", "tpr", T)
 
 
 @query()
