@@ -86,12 +86,17 @@ def split_join(many: DataFrame, few: DataFrame, on: list[str], heavy: DataFrame,
     return left.join(right, [*on, "__salt"], how).drop("__salt")
 
 
-def id_text(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and ``text`` alone, so that further columns of any name do no harm; batches of at most ``BATCH_ROWS`` rows."""
-    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+def batched(df: DataFrame) -> DataFrame:
+    """``df``; Python workers get at most ``BATCH_ROWS`` rows at a time."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(name)) <= BATCH_ROWS:
         conf.set(name, str(BATCH_ROWS))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return df
+
+
+def id_text(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text`` alone, so that further columns of any name do no harm; batches of at most ``BATCH_ROWS`` rows."""
+    return batched(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def id_share(doc_id: str = "doc_id") -> Column:
@@ -145,7 +150,7 @@ def row_chunks(batch: pa.RecordBatch, column: str = "text", most: int = 2 << 20)
 
 def kept_rows(docs: DataFrame, keep: Callable[[pa.RecordBatch], np.ndarray], most: int = 1 << 20) -> DataFrame:
     """``docs`` with the rows whose flag is true; ``keep`` sees batches of ``text`` alone. No row is matched by its id."""
-    id_text(docs)  # sets the size of batches
+    batched(docs)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
