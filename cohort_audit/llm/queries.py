@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import base, bpe, langid, media, minhash, packing, periods, quality, suffixes, tokenids, toxicity, turns, unigram
+from . import base, bpe, langid, media, minhash, packing, periods, quality, suffixes, tokenids, toxicity, turns, unigram, vectors
 
 WORD_BPE, BYTE_BPE, PIECES = "word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"
 
@@ -61,12 +61,16 @@ def op11_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.repair(turns.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
 
 
+def op12_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op13_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.periodic_runs(base.read_documents(spark, sf_dir), plant=True)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_duplicates, op2_language, op3_repeats, op4_token_counts, op5_media, op6_token_ids, op7_packing, op8_bpe, op9_quality, op10_toxicity, op11_turns, op13_periods)}
+    return {f.__name__: f for f in (op1_near_duplicates, op2_language, op3_repeats, op4_token_counts, op5_media, op6_token_ids, op7_packing, op8_bpe, op9_quality, op10_toxicity, op11_turns, op12_vectors, op13_periods)}
 
 
 def oracle_sql() -> dict[str, str]:
