@@ -1,12 +1,10 @@
-"""Tail functions on math and numpy: normal, beta, chi-square, hypergeometric and Kolmogorov-Smirnov."""
+"""Tail functions on math: normal, beta, chi-square, hypergeometric and Kolmogorov-Smirnov."""
 
 from __future__ import annotations
 
 import math
 from statistics import NormalDist
 
-import numpy as np
-
 _NORMAL = NormalDist()
 
 
@@ -120,30 +118,3 @@ def clopper_pearson(successes: int, trials: int, confidence: float = 0.95) -> tu
         return 0.0, 1.0
     a = 1 - confidence
     return 0.0 if successes == 0 else beta_ppf(a / 2, successes, trials - successes + 1), 1.0 if successes == trials else beta_ppf(1 - a / 2, successes + 1, trials - successes)
-
-
-def lowess(x: np.ndarray, y: np.ndarray, weight: np.ndarray, at: np.ndarray, frac: float = 0.75) -> np.ndarray:
-    """Local linear fit with tricube weights over the nearest ``frac`` of the total weight, at given places.
-
-    ``x`` is ascending and distinct; ``weight`` counts its rows, so ties cost nothing.
-    """
-    total = weight.sum()
-    k = max(1.0, np.floor(frac * total + 1e-9))
-    out = np.empty(len(at))
-    for i, x0 in enumerate(at):
-        far = np.abs(x - x0)
-        order = np.argsort(far, kind="stable")
-        reach = np.searchsorted(np.cumsum(weight[order]), k - 1e-9)
-        h = far[order[min(reach, len(x) - 1)]]
-        if h <= 0:
-            same = far == 0
-            out[i] = (y[same] * weight[same]).sum() / weight[same].sum()
-            continue
-        u = far / h
-        w = np.where(u < 0.999, np.where(u < 0.001, 1.0, (1 - u**3) ** 3), 0.0) * weight
-        w /= w.sum()
-        mean = w @ x
-        spread = w @ (x - mean) ** 2
-        slope = (w * (x - mean)) @ y / spread if spread > (0.001 * (x[-1] - x[0])) ** 2 else 0.0
-        out[i] = w @ y + slope * (x0 - mean)
-    return np.clip(out, 0, 1)

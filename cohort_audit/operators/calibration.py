@@ -5,17 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.intervals import ratio
-from ..functions.special import lowess
-from . import groups
-
-#: Places of a local regression for groups with more distinct scores; between them the curve is linear.
-LOWESS_GRID = 200
+from . import groups, local
 
 
 def bin_index(p: Column, edges: Sequence[float], closed: str = "left") -> Column:
@@ -106,24 +101,9 @@ def logistic_recalibration(df: DataFrame, attributes: Sequence[str] = (), least:
     return spark.createDataFrame([(a, g, float(x), float(y)) for a, g, x, y in out], "attribute string, group string, calibration_slope double, calibration_intercept double")
 
 
-def lowess_curve(df: DataFrame, attributes: Sequence[str] = (), frac: float = 0.75, least: int = C.CALIBRATION_N, resolution: int = 2000) -> DataFrame:
-    """Local regression of the outcome on the score by group: attribute, group, p, n, k, smoothed.
-
-    A group's scores are first joined into about ``resolution`` bins of equal counts where it has more
-    (:func:`groups.binned`), so a group is a bounded table whatever its rows; a group with more than ``LOWESS_GRID`` distinct scores is fitted on a grid of its quantiles and interpolated.
-    """
-    hist = groups.binned(groups.histogram(df, attributes), resolution)
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("p")
-        x, n = pdf["p"].to_numpy(), pdf["n"].to_numpy().astype(float)
-        if n.sum() < least:
-            return pdf.iloc[:0].assign(smoothed=pd.Series(dtype=float))
-        y = pdf["k"].to_numpy() / n
-        at = x if len(x) <= LOWESS_GRID else np.unique(x[np.searchsorted(np.cumsum(n), np.linspace(0, n.sum() * (1 - 1e-12), LOWESS_GRID), "right").clip(0, len(x) - 1)].tolist() + [x[0], x[-1]])
-        return pdf.assign(smoothed=np.interp(x, at, lowess(x, y, n, at, frac)))
-
-    return hist.groupBy("attribute", "group").applyInPandas(fit, "attribute string, group string, p double, n long, k long, smoothed double")
+def lowess_curve(df: DataFrame, attributes: Sequence[str] = (), frac: float = 0.75, least: int = C.CALIBRATION_N) -> DataFrame:
+    """Local regression of the outcome on the score by group, exact at every distinct score: attribute, group, p, n, k, smoothed."""
+    return local.local_regression(groups.histogram(df, attributes), frac, least)
 
 
 def curve_errors(curve: DataFrame) -> DataFrame:

@@ -497,12 +497,23 @@ def calibration_slope(df):
     return calibration.logistic_recalibration(df, ATTRIBUTES)
 
 
-@query()
+# Every place against all rows of its group: the distance of the k-th nearest row, then sums of tricube weights.
+_CURVE = f"""WITH {S}, {LONG}, g AS (SELECT attribute, "group", COUNT(*) AS m, MAX(p) - MIN(p) AS span, CAST(GREATEST(1, FLOOR(0.75*COUNT(*) + 1e-9)) AS BIGINT) AS near FROM l GROUP BY ALL),
+ h AS (SELECT l.attribute, l."group", p, COUNT(*) AS n, SUM(y) AS k, m, span FROM l JOIN g ON g.attribute = l.attribute AND g."group" = l."group" GROUP BY ALL),
+ i AS (SELECT l.attribute, l."group", p, near, ROW_NUMBER() OVER (PARTITION BY l.attribute, l."group" ORDER BY p) AS i FROM l JOIN g ON g.attribute = l.attribute AND g."group" = l."group"),
+ o AS (SELECT x.attribute, x."group", x.p AS lo, y.p AS hi FROM i x JOIN i y ON x.attribute = y.attribute AND x."group" = y."group" AND y.i = x.i + x.near - 1),
+ d AS (SELECT h.attribute, h."group", h.p, MIN(GREATEST(h.p - o.lo, o.hi - h.p)) AS d FROM h JOIN o ON h.attribute = o.attribute AND h."group" = o."group" WHERE h.m >= 20 GROUP BY ALL),
+ w AS (SELECT d.attribute, d."group", d.p, d.d, b.n*POW(1 - POW(ABS(b.p - d.p)/d.d, 3), 3) AS w, (b.p - d.p)/d.d AS t, b.k/b.n AS y FROM d JOIN h b ON d.attribute = b.attribute AND d."group" = b."group" AND ABS(b.p - d.p) < d.d),
+ e AS (SELECT attribute, "group", p, d, SUM(w) AS w, SUM(w*t)/SUM(w) AS t, SUM(w*t*t)/SUM(w) AS tt, SUM(w*y)/SUM(w) AS y, SUM(w*t*y)/SUM(w) AS ty FROM w GROUP BY ALL),
+ curve AS (SELECT h.attribute, h."group", h.p, h.n, CAST(h.k AS BIGINT) AS k, LEAST(1, GREATEST(0, e.y - CASE WHEN (e.tt - e.t*e.t)*e.d*e.d > POW(0.001*h.span, 2) THEN (e.ty - e.t*e.y)/(e.tt - e.t*e.t)*e.t ELSE 0 END)) AS smoothed FROM e JOIN h ON h.attribute = e.attribute AND h."group" = e."group" AND h.p = e.p)"""
+
+
+@query(f"{_CURVE} SELECT attribute, \"group\", {r('p', 'p')}, n, k, {r('smoothed', 'smoothed')} FROM curve")
 def lowess_curve(df):
     return calibration.lowess_curve(df, ATTRIBUTES)
 
 
-@query()
+@query(f"{_CURVE}, q AS (SELECT attribute, \"group\", SUM(n*ABS(smoothed - p))/SUM(n) AS ici, SUM(n*POW(smoothed - p, 2))/SUM(n) AS sq, MAX(ABS(smoothed - p)) AS e_max, SUM(k)/SUM(n) AS prev, SUM(n*p)/SUM(n) AS sp, SUM(n*p*p)/SUM(n) AS spp FROM curve GROUP BY ALL) SELECT attribute, \"group\", {r('ici', 'ici')}, {r('sq/(prev*prev - 2*prev*sp + spp)', 'eci')}, {r('e_max', 'e_max')} FROM q")
 def calibration_curve_errors(df):
     return calibration.curve_errors(calibration.lowess_curve(df, ATTRIBUTES))
 

@@ -36,8 +36,3 @@ def test_fisher_by_enumeration():
     n, r, k = a + b + c + d, a + b, a + c
     p = {x: math.comb(k, x) * math.comb(n - k, r - x) / math.comb(n, r) for x in range(max(0, r + k - n), min(r, k) + 1)}
     assert S.fisher_exact(a, b, c, d) == pytest.approx(sum(v for v in p.values() if v <= p[a] + 1e-12))
-
-
-def test_lowess_keeps_a_line():
-    x = np.linspace(0, 1, 50)
-    assert np.allclose(S.lowess(x, x * 0.5 + 0.2, np.ones(50), x), x * 0.5 + 0.2, atol=1e-9)
