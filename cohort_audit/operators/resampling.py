@@ -10,10 +10,11 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from . import clusters as cluster_draws
 from . import groups, rates
 
 CHUNK = 50
@@ -95,25 +96,16 @@ def _weighted_ace(scores: np.ndarray, n: np.ndarray, k: np.ndarray, bins: int, l
 def bootstrap_ace(df: DataFrame, attributes: Sequence[str] = (), replicates: int = C.N_BOOTSTRAP, seed: int = C.SEED, clusters: bool = False, bins: int = C.BINS, least: int = 5, resolution: int = 2000) -> DataFrame:
     """Samples of the adaptive calibration error: attribute, group, replicate, value.
 
-    A group's scores are joined into about ``resolution`` bins of equal counts where it has more. Rows are resampled by multinomial counts; with ``clusters``
-    whole clusters (column ``cluster``) have Poisson(1) weights instead.
+    A group's scores are joined into about ``resolution`` bins of equal counts where it has more. Rows are resampled by multinomial
+    counts, or with ``clusters`` whole clusters (column ``cluster``) are drawn, the same ones for all groups.
     """
-    exact = groups.histogram(df, attributes)
     schema = "attribute string, group string, replicate long, value double"
     if clusters:
-        rows = groups.long(df, attributes, "p", "y", "cluster").groupBy("attribute", "group", "cluster", "p").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("k"))
-        rows = rows.join(groups.binned(exact, resolution, each=True).select("attribute", "group", "p", "step"), ["attribute", "group", "p"])
-        rows = rows.groupBy("attribute", "group", "cluster", F.col("step").alias("p")).agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-        reps = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-        w = _weight(F.col("cluster"), F.col("replicate"), seed)
-        hist = reps.groupBy("attribute", "group", "replicate", "p").agg(F.sum(F.col("n") * w).alias("n"), F.sum(F.col("k") * w).alias("k")).where("n > 0")
 
-        def one(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("p")
-            v = _weighted_ace(pdf["p"].to_numpy(), pdf["n"].to_numpy().astype(float), pdf["k"].to_numpy().astype(float), bins, least)
-            return pdf.iloc[:1][["attribute", "group", "replicate"]].assign(value=v)
+        def each(x: np.ndarray, n: np.ndarray, k: np.ndarray) -> np.ndarray:
+            return np.array([_weighted_ace(x, *(v.astype(float) for v in row), bins, least) for row in zip(n, k, strict=True)])
 
-        return hist.groupBy("attribute", "group", "replicate").applyInPandas(one, schema).where(~F.isnan("value"))
+        return cluster_draws.score_statistic(df, attributes, each, replicates, seed, min(resolution, 500)).where("value is not null")
 
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
         a, g, chunk = pdf["attribute"].iloc[0], pdf["group"].iloc[0], int(pdf["chunk"].iloc[0])
@@ -125,7 +117,7 @@ def bootstrap_ace(df: DataFrame, attributes: Sequence[str] = (), replicates: int
         v = np.array([_weighted_ace(x, r[: len(x)] + r[len(x) :], r[len(x) :], bins, least) for r in s])
         return pd.DataFrame({"attribute": a, "group": g, "replicate": chunk * CHUNK + np.arange(size), "value": v}).dropna()
 
-    return _chunks(groups.binned(exact, resolution), replicates).groupBy("attribute", "group", "chunk").applyInPandas(draw, schema)
+    return _chunks(groups.binned(groups.histogram(df, attributes), resolution), replicates).groupBy("attribute", "group", "chunk").applyInPandas(draw, schema)
 
 
 def gap_samples(samples: DataFrame) -> DataFrame:
@@ -155,54 +147,26 @@ def bootstrap_confusion(cells: DataFrame, replicates: int = C.N_BOOTSTRAP, seed:
     return cells.select("attribute", "group", "n", "tp", "fp", "tn", "fn").mapInPandas(draw, "attribute string, group string, metric string, replicate long, value double")
 
 
-def _weight(cluster: Column, replicate: Column, seed: int) -> Column:
-    """Poisson(1) weight of a cluster in a replicate, from a hash: the same wherever and whenever it is computed."""
-    u = (F.xxhash64(cluster, replicate, F.lit(seed)).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))).cast("double")
-    out, cum, term = F.lit(0), 0.0, float(np.exp(-1))
-    for k in range(0, 9):
-        cum += term
-        out = F.when(u >= cum, k + 1).otherwise(out)
-        term /= k + 1
-    return out
-
-
-def _poisson(key: np.ndarray, replicates: np.ndarray, seed: int) -> np.ndarray:
-    """Poisson(1) weights of rows (hashed clusters) by replicate, from a hash: the same wherever and whenever they are drawn."""
-    with np.errstate(over="ignore"):
-        x = key.astype(np.int64).view(np.uint64)[:, None] ^ ((replicates.astype(np.uint64) + np.uint64(seed % 2**32)) * np.uint64(0x9E3779B97F4A7C15))[None, :]
-        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-        x ^= x >> np.uint64(31)
-    cum = np.cumsum(np.exp(-1.0) / np.cumprod(np.r_[1.0, np.arange(1.0, 9.0)]))
-    return np.searchsorted(cum, (x >> np.uint64(11)).astype(float) * 2.0**-53, "right").astype(float)
-
-
 def cluster_bootstrap(df: DataFrame, attributes: Sequence[str], threshold: float = 0.5, metric: str = "tpr", replicates: int = 500, seed: int = C.SEED) -> DataFrame:
-    """Samples of a rate under resampling of whole clusters: attribute, group, replicate, value.
+    """Samples of a rate when whole clusters are drawn with replacement: attribute, group, replicate, value.
 
-    Rows are first summed by cluster and group; each cluster then has a Poisson(1) weight in every replicate (the limit of
-    drawing clusters with replacement). Tasks add up their clusters for all replicates, so only sums by group and replicate
-    are shuffled.
+    Rows are first summed by cluster and group; :mod:`clusters` draws the clusters and adds up their sums. Clusters without a
+    row that counts are drawn too.
     """
     num, den = rates.RATES[metric]
-    long = groups.long(df, attributes, "p", "y", "cluster")
-    sums = rates.derived(long.groupBy("attribute", "group", "cluster").agg(*rates.aggregates(threshold))).where(F.col(den) > 0)
-    sums = sums.select("attribute", "group", F.xxhash64("cluster").alias("key"), F.col(num).cast("double").alias("a"), F.col(den).cast("double").alias("b"))
+    keyed = cluster_draws.keyed(df)
+    sums = rates.derived(groups.long(keyed, attributes, "p", "y", "key").groupBy("attribute", "group", "key").agg(*rates.aggregates(threshold)))
+    sums = sums.select("key", "attribute", "group", F.lit(0).cast("long").alias("cell"), F.col(num).cast("double").alias("a"), F.col(den).cast("double").alias("b"))
 
-    def add(batches):
-        held: dict[tuple, np.ndarray] = {}
-        numbers = np.arange(replicates)
-        for pdf in batches:
-            for names, part in pdf.groupby(["attribute", "group"], sort=False):
-                total = held.setdefault(names, np.zeros((2, replicates)))
-                for i in range(0, len(part), 2000):
-                    rows = part.iloc[i : i + 2000]
-                    total += rows[["a", "b"]].to_numpy().T @ _poisson(rows["key"].to_numpy(), numbers, seed)
-        for (attribute, group), (a, b) in held.items():
-            yield pd.DataFrame({"attribute": attribute, "group": group, "replicate": numbers, "a": a, "b": b})
-
-    out = sums.mapInPandas(add, "attribute string, group string, replicate long, a double, b double").groupBy("attribute", "group", "replicate").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    return out.select("attribute", "group", "replicate", F.when(F.col("b") > 0, F.try_divide("a", "b")).alias("value"))
+    def rate(_: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.divide(a[:, 0], b[:, 0], out=np.full(len(a), np.nan), where=b[:, 0] > 0)
+
+    return cluster_draws.by_replicate(sums, cluster_draws.draws(keyed, replicates, seed), rate)
+
+
+def cluster_auroc(df: DataFrame, attributes: Sequence[str] = (), replicates: int = C.N_BOOTSTRAP, seed: int = C.SEED, resolution: int = 500) -> DataFrame:
+    """AUROC samples when whole clusters are drawn: attribute, group, replicate, value (null with one class)."""
+    return cluster_draws.score_statistic(df, attributes, lambda _, n, k: _weighted_auroc(n.astype(float) - k, k.astype(float)), replicates, seed, resolution)
 
 
 def bootstrap_statistic(values: DataFrame, statistic: Callable[[np.ndarray], float], column: str = "value", replicates: int = 2000, seed: int = C.SEED, most: int = 1_000_000) -> DataFrame:

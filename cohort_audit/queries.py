@@ -530,7 +530,17 @@ def ace_bootstrap_ci(df):
 
 @query()
 def ace_gap_ci(df):
-    return resampling.percentile_ci(resampling.gap_samples(resampling.bootstrap_ace(df, ATTRIBUTES, 200, clusters=True)), ("attribute",))
+    return resampling.percentile_ci(resampling.gap_samples(resampling.bootstrap_ace(df, ATTRIBUTES, clusters=True)), ("attribute",))
+
+
+@query()
+def cluster_auroc_ci(df):
+    return resampling.percentile_ci(resampling.cluster_auroc(df, ATTRIBUTES))
+
+
+@query()
+def cluster_auroc_gap_ci(df):
+    return resampling.percentile_ci(resampling.gap_samples(resampling.cluster_auroc(df, ATTRIBUTES)), ("attribute",))
 
 
 _BAND = "CASE WHEN auroc IS NULL THEN NULL WHEN auroc < 0.6 THEN 'Failed discrimination (no better than chance)' WHEN auroc < 0.7 THEN 'Poor discrimination' WHEN auroc < 0.8 THEN 'Acceptable discrimination' WHEN auroc < 0.9 THEN 'Good discrimination' ELSE 'Excellent discrimination' END"
