@@ -1,4 +1,4 @@
-"""Bootstrap and permutation inference.
+"""Bootstrap inference.
 
 Replicates are spread over tasks (group x chunk of replicates), each with its own seeded generator, and resample compact
 tables (confusion cells, score histograms, per-cluster sums) rather than rows.
@@ -181,65 +181,3 @@ def bootstrap_statistic(values: DataFrame, statistic: Callable[[np.ndarray], flo
         return pd.DataFrame({"replicate": chunk * CHUNK + np.arange(size), "value": [float(statistic(rng.choice(x, len(x)))) for _ in range(size)]})
 
     return _chunks(values.select(F.col(column).cast("double").alias("v")).dropna(), replicates).groupBy("chunk").applyInPandas(draw, "replicate long, value double")
-
-
-STRATA = {"TPR": 1, "Recall": 1, "FNR": 1, "FPR": 0, "TNR": 0, "Specificity": 0}
-
-
-def metric_type(metric: str) -> str:
-    """The outcome stratum in which a metric's labels may be permuted."""
-    name = metric.lower()
-    return {"tpr": "TPR", "sensitivity": "TPR", "recall": "TPR", "equal_opportunity": "TPR", "fnr": "FNR", "fpr": "FPR", "tnr": "TNR", "specificity": "TNR"}.get(name, "Independence")
-
-
-def permutation_test(df: DataFrame, attribute: str, metric: str = "tpr", threshold: float = 0.5, confounders: Sequence[str] = (), permutations: int = 1000, seed: int = C.SEED) -> DataFrame:
-    """p of the range of a rate over groups when group labels are permuted over clusters, within outcome stratum and confounders.
-
-    Clusters of equal sums are interchangeable, so a permutation of a stratum's labels is a draw without replacement of how
-    many clusters of each kind get each label (hypergeometric); label counts stay what they are. Tasks draw from the table of
-    kinds, a row a distinct pair of sums, and only sums by permutation and label are shuffled. One row: observed, p_value,
-    null quantiles.
-    """
-    num, den = rates.RATES[metric]
-    want = STRATA.get(metric_type(metric))
-    rows = df if want is None else df.where(F.col("y") == want)
-    rows = rows.where(F.col(attribute).isNotNull())
-    strata = list(confounders)
-    unit = rates.derived(rows.groupBy("cluster", *strata).agg(F.max(attribute).alias("label"), *rates.aggregates(threshold)))
-    unit = unit.select(F.xxhash64(*strata).alias("s") if strata else F.lit(0).cast("long").alias("s"), "label", F.col(num).cast("long").alias("a"), F.col(den).cast("long").alias("b"))
-    kinds = unit.groupBy("s", "a", "b", "label").agg(F.count(F.lit(1)).alias("m"))
-
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        chunk, s = int(pdf["chunk"].iloc[0]), int(pdf["s"].iloc[0])
-        size = min(CHUNK, permutations - chunk * CHUNK)
-        rng = _generator(seed, "permutation", s, chunk)
-        left = pdf.groupby("label")["m"].sum().sort_index()
-        labels, left = list(left.index), np.repeat(left.to_numpy()[:, None], size, 1)
-        sums = np.zeros((2, len(labels), size))
-        for (a, b), m in pdf.groupby(["a", "b"])["m"].sum().sort_index().items():
-            todo = np.full(size, m)
-            for i in range(len(labels)):  # this kind's clusters are dealt to the labels by turns
-                got = rng.hypergeometric(left[i], left[i + 1 :].sum(0), todo) if i + 1 < len(labels) else todo
-                left[i] -= got
-                todo = todo - got
-                sums[0, i] += a * got
-                sums[1, i] += b * got
-        number = chunk * CHUNK + 1 + np.arange(size)
-        return pd.concat([pd.DataFrame({"rep": number, "g": g, "a": sums[0, i], "b": sums[1, i]}) for i, g in enumerate(labels)])
-
-    drawn = _chunks(kinds, permutations).groupBy("s", "chunk").applyInPandas(draw, "rep long, g string, a double, b double")
-    seen = kinds.groupBy("label").agg(F.sum(F.col("a") * F.col("m")).cast("double").alias("a"), F.sum(F.col("b") * F.col("m")).cast("double").alias("b"))
-    both = drawn.union(seen.select(F.lit(0).cast("long"), "label", "a", "b"))
-    sums = both.groupBy("rep", "g").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where("b > 0")
-    spread = sums.withColumn("r", F.col("a") / F.col("b")).groupBy("rep").agg((F.max("r") - F.min("r")).alias("v"))
-    obs = spread.where("rep = 0").select(F.col("v").alias("observed"))
-    null = spread.where("rep > 0").crossJoin(F.broadcast(obs))  # one row
-    q = F.percentile("v", F.array(F.lit(0.025), F.lit(0.975)))  # over the permutations
-    reached = F.count_if(F.col("v") >= F.col("observed") - 1e-12)
-    return null.groupBy("observed").agg(((1 + reached) / (1 + F.count(F.lit(1)))).alias("p_value"), q.alias("q"), F.count(F.lit(1)).alias("n_permutations")).select(F.lit(metric).alias("metric"), "observed", "p_value", F.col("q")[0].alias("null_lower"), F.col("q")[1].alias("null_upper"), "n_permutations")
-
-
-def permutation_test_arrays(spark, y_true: Sequence[int], y_pred: Sequence[int], labels: Sequence[str], metric: str = "selection_rate", permutations: int = 1000, seed: int = C.SEED) -> DataFrame:
-    """:func:`permutation_test` on plain sequences, each row its own cluster."""
-    rows = [(str(i), float(p), int(y), str(g)) for i, (y, p, g) in enumerate(zip(y_true, y_pred, labels, strict=True))]
-    return permutation_test(spark.createDataFrame(rows, "cluster string, p double, y int, g string"), "g", metric, 0.5, permutations=permutations, seed=seed)

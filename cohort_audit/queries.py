@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import constants as C
 from .functions import intervals
-from .operators import calibration, descriptive, discrimination, disparity, groups, intersect, multiplicity, rates, resampling, thresholds
+from .operators import calibration, descriptive, discrimination, disparity, groups, intersect, multiplicity, permutation, rates, resampling, thresholds
 from .plans import audit
 from .sources import load
 
@@ -564,7 +564,22 @@ def cluster_bootstrap_ci(df):
 
 @query()
 def permutation_test(df):
-    return resampling.permutation_test(df, "c_mktsegment", "tpr", T)
+    return permutation.permutation_test(df, "c_mktsegment", "tpr", T)
+
+
+@query()
+def permutation_test_rows(df):
+    return permutation.permutation_test(df.drop("cluster"), "c_mktsegment", "tpr", T)
+
+
+@query()
+def permutation_test_auroc(df):
+    return permutation.permutation_test(df.drop("cluster"), "c_mktsegment", "auroc")
+
+
+@query()
+def permutation_test_auroc_clusters(df):
+    return permutation.permutation_test(df, "c_mktsegment", "auroc")
 
 
 @query()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cohort_audit.config import FairnessConfig, FairnessMetric, MetricDisplayConfig, UseCaseType, normalize_persona
 from cohort_audit.errors import ColumnNotFoundError, ConfigurationError, DataValidationError
-from cohort_audit.operators import calibration, descriptive, discrimination, disparity, groups, multiplicity, rates, resampling, thresholds
+from cohort_audit.operators import calibration, descriptive, discrimination, disparity, groups, multiplicity, rates, permutation, resampling, thresholds
 from cohort_audit.plans import audit, decision
 from cohort_audit.reports import render
 from cohort_audit.sources import load
@@ -116,9 +116,9 @@ def test_permutation(spark):
     rng = np.random.default_rng(0)
     rows = [(str(i), float(rng.random()), 1, "a" if i % 2 else "b") for i in range(400)]
     df = spark.createDataFrame(rows, "cluster string, p double, y int, g string")
-    assert resampling.permutation_test(df, "g", "tpr", permutations=99).first()["p_value"] > 0.01
+    assert permutation.permutation_test(df, "g", "tpr", permutations=99).first()["p_value"] > 0.01
     far = df.withColumn("p", F.when(F.col("g") == "a", 0.9).otherwise(0.1))
-    assert resampling.permutation_test(far, "g", "tpr", permutations=99).first()["p_value"] == pytest.approx(0.01)
+    assert permutation.permutation_test(far, "g", "tpr", permutations=99).first()["p_value"] == pytest.approx(0.01)
 
 
 def test_permutations_keep_label_counts(spark):
@@ -126,7 +126,7 @@ def test_permutations_keep_label_counts(spark):
     rng = np.random.default_rng(4)
     rows = [(str(i // 3), float(rng.random()), 1, "a" if (i // 3) % 3 else "b", "s" if (i // 3) % 2 else "t") for i in range(240)]
     df = spark.createDataFrame(rows, "cluster string, p double, y int, g string, site string")
-    got = resampling.permutation_test(df, "g", "tpr", confounders=["site"], permutations=2000).first()
+    got = permutation.permutation_test(df, "g", "tpr", confounders=["site"], permutations=2000).first()
     unit = pd.DataFrame(rows, columns=["c", "p", "y", "g", "site"]).assign(a=lambda d: d.p >= 0.5).groupby("c").agg(a=("a", "sum"), b=("y", "sum"), g=("g", "first"), site=("site", "first")).reset_index()
 
     def spread(labels):
@@ -217,7 +217,7 @@ def test_ace_bootstrap(spark, cohort):
 
 
 def test_permutation_on_sequences(spark):
-    got = resampling.permutation_test_arrays(spark, [0, 1] * 40, [1] * 40 + [0] * 40, ["a"] * 40 + ["b"] * 40, permutations=50).first()
+    got = permutation.permutation_test_arrays(spark, [0, 1] * 40, [1] * 40 + [0] * 40, ["a"] * 40 + ["b"] * 40, permutations=50).first()
     assert got["observed"] == 1.0 and got["p_value"] < 0.05
 
 
