@@ -123,6 +123,11 @@ def ks_p(d: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
     return pd.Series([special.ks_p(float(x), int(a), int(b)) for x, a, b in zip(d, n1, n2, strict=True)])
 
 
+@F.pandas_udf(DoubleType())
+def ks_asymptotic_p(d: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
+    return pd.Series([special.ks_asymptotic(float(x), int(a), int(b)) for x, a, b in zip(d, n1, n2, strict=True)])
+
+
 def impact_decision(lower: Column, upper: Column, threshold: float = 0.8) -> Column:
     """What an interval of the ratio says about the four-fifths rule."""
     none = lower.isNull() | upper.isNull() | F.isnan(lower) | F.isnan(upper)

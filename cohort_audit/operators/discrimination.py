@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.intervals import auroc_band, auroc_diff_band, ks_p, ratio
+from ..functions.intervals import auroc_band, auroc_diff_band, ks_asymptotic_p, ks_p, ratio
 from . import groups
 
 
@@ -102,5 +102,7 @@ def ks_statistic(hist: DataFrame) -> DataFrame:
     return rows.groupBy("attribute", "group").agg(F.max(gap).alias("ks_statistic"), F.max("n_positive").alias("n_positive"), F.max("n_negative").alias("n_negative"))
 
 
-def ks_test(frame: DataFrame) -> DataFrame:
-    return frame.withColumn("p_value", F.when(F.col("ks_statistic").isNotNull(), ks_p("ks_statistic", "n_positive", "n_negative")))
+def ks_test(frame: DataFrame, exact: bool = True) -> DataFrame:
+    """Adds the p-value: exact for small samples, or asymptotic for all."""
+    p = ks_p if exact else ks_asymptotic_p
+    return frame.withColumn("p_value", F.when(F.col("ks_statistic").isNotNull(), p("ks_statistic", "n_positive", "n_negative")))

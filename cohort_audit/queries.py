@@ -459,12 +459,17 @@ def effective_sample_size(df):
     return rates.effective_sample_size(df, "cluster")
 
 
-# The tests to correct: a stand-in p from each group's size, which SQL can state exactly.
-_P = f"{CELLS}, t AS (SELECT attribute, \"group\", CAST((tp * 37) % 1000 AS DOUBLE) / 20000 + 0.0001 AS p_value FROM c), o AS (SELECT *, COUNT(*) OVER () AS m, ROW_NUMBER() OVER (ORDER BY p_value) AS i FROM t)"
+# Exact tests of each group's outcome against its attribute's largest group: sums of the chances of all tables as likely or less.
+_FISHER = f"""{CELLS}, n AS (SELECT attribute, "group", n_positive AS a, n - n_positive AS b, ROW_NUMBER() OVER (PARTITION BY attribute ORDER BY n DESC, "group") AS i FROM c WHERE attribute <> '_overall'),
+ f AS (SELECT n.attribute, n."group", m."group" AS ref_group, n.a, n.b, m.a AS c, m.b AS d FROM n JOIN n m ON m.attribute = n.attribute AND m.i = 1 WHERE n.i > 1),
+ x AS (SELECT attribute, "group", ref_group, a, b, c, d, UNNEST(GENERATE_SERIES(GREATEST(0, a - d), LEAST(a + b, a + c))) AS x FROM f),
+ g AS (SELECT *, LGAMMA(a+b+1) - LGAMMA(x+1) - LGAMMA(a+b-x+1) + LGAMMA(c+d+1) - LGAMMA(a+c-x+1) - LGAMMA(d-a+x+1) - LGAMMA(a+b+c+d+1) + LGAMMA(a+c+1) + LGAMMA(b+d+1) AS p FROM x),
+ fisher AS (SELECT attribute, "group", ref_group, LEAST(1, SUM(EXP(p)) FILTER (p <= own + 1e-7)) AS p_value FROM (SELECT *, MAX(p) FILTER (x = a) OVER (PARTITION BY attribute, "group") AS own FROM g) GROUP BY ALL)"""
+_P = f"{_FISHER}, o AS (SELECT *, COUNT(*) OVER () AS m, ROW_NUMBER() OVER (ORDER BY p_value) AS i FROM fisher)"
 
 
 def _tests(df):
-    return rates.cells(df, ATTRIBUTES, T).select("attribute", "group", ((F.col("tp") * 37 % 1000).cast("double") / 20000 + 0.0001).alias("p_value"))
+    return descriptive.fisher_against_reference(descriptive.crosstab(df, ATTRIBUTES)).select("attribute", "group", "p_value")
 
 
 @query(f"{_P} SELECT attribute, \"group\", {r('p_value', 'p_value')}, {r('MAX(LEAST(1.0, p_value*(m - i + 1))) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING)', 'p_adjusted')} FROM o")
@@ -593,12 +598,16 @@ def ztest_pvalue(df):
     return disparity.disparities(rates.cells(df, ATTRIBUTES, T), "tpr").select("attribute", "comparison_group", "z", "p_value")
 
 
-@query()
+# The upper tail of chi-square at an even number of degrees of freedom is a finite sum.
+@query(f"""{CELLS}, t AS (SELECT attribute, SUM(n_positive) AS k, SUM(n) AS n, COUNT(*) - 1 AS dof FROM c WHERE attribute <> '_overall' GROUP BY attribute),
+ q AS (SELECT t.attribute, t.n, t.dof, SUM(POW(c.n_positive - c.n*t.k/t.n, 2)/(c.n*t.k/t.n) + POW(c.n - c.n_positive - c.n*(t.n - t.k)/t.n, 2)/(c.n*(t.n - t.k)/t.n)) AS chi2 FROM c JOIN t ON t.attribute = c.attribute GROUP BY ALL),
+ e AS (SELECT *, SQRT(chi2/n) AS v, LIST_SUM(LIST_TRANSFORM(GENERATE_SERIES(0, CAST(dof/2 AS BIGINT) - 1), lambda i: EXP(-chi2/2)*POW(chi2/2, i)/GAMMA(i + 1))) AS p FROM q)
+ SELECT attribute, {r('chi2', 'chi2')}, dof, CAST(n AS BIGINT) AS n, {r('v', 'cramers_v')}, CASE WHEN v < 0.1 THEN 'negligible' WHEN v < 0.2 THEN 'small' WHEN v < 0.4 THEN 'medium' ELSE 'large' END AS interpretation, {r('p', 'p_value')} FROM e""")
 def chi2_pvalue(df):
     return descriptive.chi_square_test(descriptive.crosstab(df, ATTRIBUTES))
 
 
-@query()
+@query(f"{_FISHER} SELECT attribute, \"group\", ref_group, {r('p_value', 'p_value')} FROM fisher")
 def fisher_exact(df):
     return descriptive.fisher_against_reference(descriptive.crosstab(df, ATTRIBUTES))
 
@@ -608,6 +617,13 @@ def ks_test(df):
     return discrimination.ks_test(discrimination.ks_statistic(groups.histogram(df, ATTRIBUTES)))
 
 
+@query(f"""{_HIST}, {_DESC}, d AS (SELECT attribute, "group", MAX(ABS(CAST(pos - tps + k AS DOUBLE)/pos - CAST(neg - fps + n - k AS DOUBLE)/neg)) AS d, CAST(MAX(pos) AS BIGINT) AS n_positive, CAST(MAX(neg) AS BIGINT) AS n_negative FROM w GROUP BY attribute, "group"),
+ x AS (SELECT *, d*SQRT(CAST(n_positive AS DOUBLE)*n_negative/(n_positive + n_negative)) AS x FROM d)
+ SELECT attribute, "group", {r('d', 'ks_statistic')}, n_positive, n_negative, {r('CASE WHEN x < 0.3 THEN 1.0 ELSE LEAST(1.0, GREATEST(0.0, 2*LIST_SUM(LIST_TRANSFORM(GENERATE_SERIES(1, 100), lambda i: POW(-1, i - 1)*EXP(-2*i*i*x*x))))) END', 'p_value')} FROM x""")
+def ks_test_asymptotic(df):
+    return discrimination.ks_test(discrimination.ks_statistic(groups.histogram(df, ATTRIBUTES)), exact=False)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rates of all groups and their disparities, from one aggregation of the scored view."""
     df = groups.standard(load.scored(spark, sf_dir), attributes=ATTRIBUTES)
