@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Bytes of text that the numpy kernels take at a time; a longer document is taken alone.
 CHUNK_BYTES = 1 << 19
@@ -86,6 +87,11 @@ def split_join(many: DataFrame, few: DataFrame, on: list[str], heavy: DataFrame,
     return left.join(right, [*on, "__salt"], how).drop("__salt")
 
 
+def whole_row(df: DataFrame) -> Column:
+    """A row as one struct, whatever its columns are called."""
+    return F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in df.columns))
+
+
 def batched(df: DataFrame) -> DataFrame:
     """``df``; Python workers get at most ``BATCH_ROWS`` rows at a time."""
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -152,6 +158,8 @@ def kept_rows(docs: DataFrame, keep: Callable[[pa.RecordBatch], np.ndarray], mos
     """``docs`` with the rows whose flag is true; ``keep`` sees batches of ``text`` alone. No row is matched by its id."""
     batched(docs)
     names = docs.columns
+    plain = [f"c{i}" for i in range(len(names))]  # any column name passes through
+    schema = StructType([StructField(n, f.dataType, f.nullable) for n, f in zip(plain, docs.schema, strict=True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,7 +167,7 @@ def kept_rows(docs: DataFrame, keep: Callable[[pa.RecordBatch], np.ndarray], mos
             for lo, hi, _, _ in byte_chunks(texts, "text", most):
                 yield batch.slice(lo, hi - lo).filter(pa.array(keep(texts.slice(lo, hi - lo))))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.toDF(*plain).mapInArrow(run, schema).toDF(*names)
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:

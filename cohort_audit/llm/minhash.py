@@ -149,11 +149,13 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Of the pairs (a, b) those whose shingle sets have at least that Jaccard similarity."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
-    heavy = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > base.HEAVY)
+    def heavy(c: str) -> DataFrame:
+        return pairs.groupBy(c).agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > base.HEAVY)
+
     both = F.size(F.array_intersect("x", "y"))
     # Sizes alone rule out pairs before the sets are intersected.
     near = (F.least(F.size("x"), F.size("y")) >= similarity * F.greatest(F.size("x"), F.size("y"))) & (both >= similarity * (F.size("x") + F.size("y") - both))
-    return base.split_join(pairs.join(right, "b"), left, ["a"], heavy, ["b"]).where(near).select("a", "b")
+    return base.split_join(base.split_join(pairs, right, ["b"], heavy("b"), ["a"]), left, ["a"], heavy("a"), ["b"]).where(near).select("a", "b")
 
 
 def prefix_pairs(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -161,9 +163,25 @@ def prefix_pairs(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFr
 
     Sets of n shingles that are similar enough share one of their n - ceil(similarity * n) + 1 rarest shingles, whatever
     fixed order of rarity is taken; and what both have from the first shared shingle on must still be enough (positional
-    filter). A text's own edits are its rarest shingles, so a far copy of a common text meets nothing, and near copies of it
-    are in one class by now.
+    filter). For the smaller set of a pair that means one of its n - ceil(2 * similarity / (1 + similarity) * n) + 1 rarest, so
+    only these are looked up, by the shingles of sets that are as large or larger. A text's own edits are its rarest shingles:
+    texts that share a template and are too far for a link have more of them than the smaller set's share, so
+    the template's shingles are not looked up at all, however many texts have it; nearer ones are in one class by now.
     """
+    head, heavy = prefix_heads(nodes, sets, similarity)
+    other = looked_up(head, similarity).select("shingle", F.col("node").alias("other"), F.col("of").alias("other_of"), F.col("n").alias("other_n"), F.col("place").alias("other_place"))
+    fits = (F.col("of") != F.col("other_of")) & ((F.col("other_n") < F.col("n")) | ((F.col("other_n") == F.col("n")) & (F.col("other") < F.col("node")))) & (F.col("other_n") >= similarity * F.col("n"))
+    fits = fits & (1 + F.least(F.col("n") - F.col("place"), F.col("other_n") - F.col("other_place")) >= similarity / (1 + similarity) * (F.col("n") + F.col("other_n")) - 1e-9)
+    return base.split_join(head, other, ["shingle"], heavy, ["node"]).where(fits).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
+def looked_up(head: DataFrame, similarity: float) -> DataFrame:
+    """Of the heads those in which a smaller set, or one of equal size, can share its first shingle with a similar one."""
+    return head.where(F.col("place") <= F.col("n") - F.ceil(2 * similarity / (1 + similarity) * F.col("n") - 1e-9) + 1)
+
+
+def prefix_heads(nodes: DataFrame, sets: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """shingle, node, of, n, place: the rarest shingles of each node that nodes of other classes have too; and the heavy shingles."""
     whole = nodes.join(sets.withColumnRenamed("doc_id", "node"), "node").select("node", "of", F.xxhash64("shingles").alias("part"), F.size("shingles").alias("n"), "shingles")
     rows = whole.select("node", "of", "part", "n", F.explode("shingles").alias("shingle"))  # the hash is taken once a text
     rows = base.stored(rows, "prefix")
@@ -174,10 +192,7 @@ def prefix_pairs(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFr
     head = base.stored(head.where("m > 1").select("shingle", "node", "of", "n", "place"), "heads")
     mixed = head.groupBy("shingle").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo <> hi").select("shingle")
     head = base.stored(base.split_join(head, mixed, ["shingle"], heavy, ["node"]), "heads")
-    other = head.select("shingle", F.col("node").alias("other"), F.col("of").alias("other_of"), F.col("n").alias("other_n"), F.col("place").alias("other_place"))
-    fits = (F.col("of") < F.col("other_of")) & (F.least("n", "other_n") >= similarity * F.greatest("n", "other_n"))
-    fits = fits & (1 + F.least(F.col("n") - F.col("place"), F.col("other_n") - F.col("other_place")) >= similarity / (1 + similarity) * (F.col("n") + F.col("other_n")) - 1e-9)
-    return base.split_join(head, other, ["shingle"], heavy, ["node"]).where(fits).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    return head, heavy
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -192,8 +207,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("a", "m"))
         large = base.split_join(both, least.drop("n"), ["a"], least.where(F.col("n") > base.HEAVY), ["b"])
         large = large.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))  # a node's stars are few: each is a component so far
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = base.split_join(large, low.drop("n"), ["a"], low.where(F.col("n") > base.HEAVY), ["b"]).select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         now = base.stored(small, "edges")
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == last:
@@ -210,7 +225,7 @@ def repeated_ids(rows: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row a document: ``doc_id``, ``copy_of`` (least id of its word sequence) and ``class_id`` (least id of its class)."""
     table = base.stored(sketches(docs), "sketches")
-    nodes = table.where("doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"))
+    nodes = table.where("doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("copies"))
     nodes = base.stored(nodes, "nodes")
     rows = nodes.where("bands is not null").select("node", F.explode("bands").alias("band"))
     heads = base.stored(rows.groupBy("band").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1"), "bands")
@@ -237,7 +252,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     more = base.stored(verified(cross, sets, similarity), "links")
     classes = base.stored(components(links.union(more)), "classes") if not more.isEmpty() else base.stored(classes, "classes")
     of = nodes.select("k1", "k2", "node").join(classes.withColumnRenamed("id", "node"), "node", "left").select("k1", "k2", "node", F.coalesce("class_id", "node").alias("class_id"))
-    found = table.select("doc_id", "k1", "k2").join(of, ["k1", "k2"], "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("copy_of"), F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"))
+    copied = nodes.where(F.col("copies") > base.HEAVY).select("k1", "k2")
+    found = base.split_join(table.select("doc_id", "k1", "k2"), of, ["k1", "k2"], copied, ["doc_id"], "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("copy_of"), F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"))
     return found
 
 

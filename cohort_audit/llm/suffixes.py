@@ -457,8 +457,8 @@ def without_repeats(docs: DataFrame, measure: Measure = BYTES) -> DataFrame:
 
     A null text stays null. Other columns stay as they are.
     """
-    keyed = docs.withColumn("__did", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).withColumn("__key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    marks = repeated(_keyed(docs), measure).select(F.col("did").alias("__did"), F.col("key").alias("__key"), F.col("marks").alias("__marks"))
+    keyed = docs.select(base.whole_row(docs).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("did"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("key"))
+    marks = repeated(_keyed(docs), measure)
 
     @F.pandas_udf("string")
     def cut(text, found):
@@ -473,5 +473,5 @@ def without_repeats(docs: DataFrame, measure: Measure = BYTES) -> DataFrame:
                 out.append(_kept(raw, covered(raw, m, measure)).decode("utf-8", "ignore"))
         return pd.Series(out)
 
-    joined = keyed.join(marks, ["__did", "__key"], "left").withColumn("text", cut("text", "__marks"))
-    return joined.select(*(F.col(f"`{c}`") for c in docs.columns))
+    joined = keyed.join(marks, ["did", "key"], "left").withColumn("cut", cut(F.col("row.text"), "marks"))
+    return joined.select(F.col("row").withField("text", F.col("cut")).alias("row")).select("row.*")

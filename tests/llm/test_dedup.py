@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cohort_audit.llm import base, minhash, suffixes
@@ -84,6 +85,25 @@ def test_chain_and_hot_group(spark, rng):
     assert {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(df).collect()} == classes(texts)
 
 
+@pytest.mark.parametrize("own", [42, 30, 26])
+def test_texts_of_one_template_are_not_compared(spark, own):
+    """Texts just too far for a link that share most words: no text is looked up by the template's shingles."""
+    template = [f"t{k}" for k in range(215)]
+    compared = {}
+    for n in (40, 80):
+        texts = {i: " ".join([*template, *(f"own{i}x{k}" for k in range(own))]) for i in range(n)}
+        texts |= {1000 + i: " ".join([*template[: 200 + i], f"more{i}"]) for i in range(0, 12, 3)}
+        df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+        nodes = spark.createDataFrame([(i, i) for i in range(n)], "node long, of long")
+        head, _ = minhash.prefix_heads(nodes, minhash.shingle_sets(df), 0.8)
+        index = minhash.looked_up(head, 0.8)
+        compared[n] = head.groupBy("shingle").count().join(index.groupBy("shingle").agg(F.count("node").alias("m")), "shingle").agg(F.coalesce(F.sum(F.col("count") * F.col("m")), F.lit(0))).first()[0]
+        found = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(df).collect()}
+        assert found == classes(texts)
+    far = own / (215 + own) > 0.12
+    assert compared[80] <= 2 * compared[40] if far else compared[80] > 0
+
+
 def test_registers_estimate_the_similarity():
     rng = np.random.default_rng(2)
     a = rng.integers(0, 2**63, 400).astype(np.uint64)

@@ -111,3 +111,17 @@ def test_empty_tables(spark):
         out = stage(spark, docs, SF)
         assert out.columns == docs.columns and out.count() == 0
     assert P.packed(spark, docs, SF).count() == 0
+
+
+def test_clashing_columns(spark, docs):
+    """Further columns of any name keep their values through every stage and do no harm."""
+    names = ["__key", "__often", "__marks", "__did", "key", "row", "cut", "a.b", "a`b", "id", "did", "marks", "often", "class_id", "toxic", "quality", "label", "score"]
+    wide = docs.select("doc_id", "text", "lang", "source", "n_chars", *(F.concat_ws("-", F.lit(str(i)), F.col("doc_id").cast("string")).alias(n) for i, n in enumerate(names)))
+    plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    for stage in (P.not_toxic, P.known_language, P.one_of_near_duplicates, P.without_repeats):
+        out = stage(spark, wide, SF)
+        assert out.columns == wide.columns
+        got = out.collect()
+        assert sorted((r[0], r[1], r[4]) for r in got if r[1] is not None) == sorted((r[0], r[1], r[4]) for r in stage(spark, plain, SF).collect() if r[1] is not None)
+        assert all(r[5 + i] == f"{i}-{r[0]}" for r in got for i in range(len(names)))
+    assert P.packed(spark, wide, SF).count() == P.packed(spark, plain, SF).count()
