@@ -34,20 +34,22 @@ def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     Rows of one id and different texts, and rows without an id, are known by the hash of id and text, beyond other ids: an id
     with two unlike texts keeps both. Of equal rows one stays.
     """
-    hashed = F.lit(1 << 62).bitwiseOR(F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 62) - 1)))
-    often = minhash.repeated_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"))).select(F.col("doc_id").alias("__often"))
-    rows = docs.join(F.broadcast(often) if often.count() < 10_000 else often, F.col("doc_id") == F.col("__often"), "left")
-    rows = rows.withColumn("__key", F.when(F.col("doc_id").isNull() | F.col("__often").isNotNull(), hashed).otherwise(F.col("doc_id").cast("long"))).drop("__often")
-    classes = base.stored(minhash.near_duplicates(rows.select(F.col("__key").alias("doc_id"), "text")).select(F.col("doc_id").alias("__key"), "class_id"), "classes")
-    ids = rows.select("__key", F.col("doc_id").cast("long").alias("__id")).distinct()
-    order = F.struct(F.col("__id").isNull(), "__id", "__key")
-    best = classes.distinct().join(ids, "__key").groupBy("class_id").agg(F.min_by("__key", order).alias("__key")).select("__key")
-    rows = rows.join(best, "__key", "left_semi")
-    twice = minhash.repeated_ids(classes.select(F.col("__key").alias("doc_id"))).withColumnRenamed("doc_id", "__key")
+    # Each row travels as one struct, so columns of any name clash with nothing.
+    key = F.lit(1 << 62).bitwiseOR(F.xxhash64("id", "text").bitwiseAND(F.lit((1 << 62) - 1)))
+    rows = docs.select(base.whole_row(docs).alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    often = minhash.repeated_ids(rows.select(F.col("id").alias("doc_id"))).select(F.col("doc_id").alias("id"), F.lit(True).alias("often"))
+    rows = rows.join(F.broadcast(often) if often.count() < 10_000 else often, "id", "left")
+    rows = rows.withColumn("key", F.when(F.col("id").isNull() | F.col("often").isNotNull(), key).otherwise(F.col("id"))).drop("often")
+    classes = base.stored(minhash.near_duplicates(rows.select(F.col("key").alias("doc_id"), "text")).select(F.col("doc_id").alias("key"), "class_id"), "classes")
+    ids = rows.select("key", "id").distinct()
+    order = F.struct(F.col("id").isNull(), "id", "key")
+    best = classes.distinct().join(ids, "key").groupBy("class_id").agg(F.min_by("key", order).alias("key")).select("key")
+    rows = rows.select("key", "row").join(best, "key", "left_semi")
+    twice = minhash.repeated_ids(classes.select(F.col("key").alias("doc_id"))).withColumnRenamed("doc_id", "key")
     if not twice.isEmpty():
-        one = rows.join(twice, "__key", "left_semi").groupBy("__key").agg(F.first(F.struct(*docs.columns)).alias("row"))
-        rows = rows.join(twice, "__key", "left_anti").select(*docs.columns).union(one.select("row.*"))
-    return rows.select(*docs.columns)
+        one = rows.join(twice, "key", "left_semi").groupBy("key").agg(F.first("row").alias("row"))
+        rows = rows.join(twice, "key", "left_anti").select("row").union(one.select("row"))
+    return rows.select("row.*")
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
