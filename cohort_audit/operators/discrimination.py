@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.intervals import auroc_band, auroc_diff_band, ks_asymptotic_p, ks_p, ratio
 from . import groups
+from .resampling import percentile_ci
 
 
 def auroc(hist: DataFrame) -> DataFrame:
@@ -33,6 +34,19 @@ def auroc_comparison(frame: DataFrame, reference: dict[str, str] | None = None)
     return both.select("attribute", "group", "ref_group", "auroc", "ref_auroc", d.alias("auroc_diff"), auroc_diff_band(d).alias("interpretation"), (F.abs(d) >= 0.05).alias("clinically_meaningful"))
 
 
+def auroc_comparison_ci(comparison: DataFrame, samples: DataFrame) -> DataFrame:
+    """:func:`auroc_comparison` with the intervals of both AUROCs and of their difference, from bootstrap ``samples``.
+
+    Groups are drawn apart, so a replicate's difference is that of two independent draws.
+    """
+    own = percentile_ci(samples).select("attribute", "group", "ci_lower", "ci_upper")
+    ref = own.select("attribute", F.col("group").alias("ref_group"), F.col("ci_lower").alias("ref_ci_lower"), F.col("ci_upper").alias("ref_ci_upper"))
+    pairs = comparison.select("attribute", "group", "ref_group")
+    both = pairs.join(samples, ["attribute", "group"]).join(samples.select("attribute", F.col("group").alias("ref_group"), "replicate", F.col("value").alias("ref_value")), ["attribute", "ref_group", "replicate"])
+    gap = percentile_ci(both.withColumn("value", F.col("value") - F.col("ref_value"))).select("attribute", "group", F.col("ci_lower").alias("diff_ci_lower"), F.col("ci_upper").alias("diff_ci_upper"))
+    return comparison.join(own, ["attribute", "group"], "left").join(ref, ["attribute", "ref_group"], "left").join(gap, ["attribute", "group"], "left")
+
+
 def roc_points(hist: DataFrame, drop_collinear: bool = True) -> DataFrame:
     """Rates by descending threshold, from (0, 0) at infinity; points on a straight line between their neighbours may be dropped."""
     run = groups.running(hist, descending=True).withColumn("range", groups.score_range(F.col("p")))
@@ -74,8 +88,7 @@ def risk_distribution(df: DataFrame, attributes: Sequence[str] = ()) -> DataFram
     keys = ["attribute", "group", "y"]
     small = df.groupBy("p", "y", *attributes).agg(F.count(F.lit(1)).alias("n"))
     hist = groups.long(small, attributes, "p", "y", "n").groupBy(*keys, "p").agg(F.sum("n").alias("n"))
-    rows = groups.long(df, attributes, "p", "y")
-    moments = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("mean"), F.stddev_pop("p").alias("std"), F.min("p").alias("min"), F.max("p").alias("max"))
+    moments = groups.moments(hist, keys)
     out = moments.join(groups.quantiles(hist, (0.25, 0.5, 0.75), keys=keys), keys)
     return out.select("attribute", "group", "y", "n", "mean", F.col("q")[1].alias("median"), "std", "min", "max", F.col("q")[0].alias("q25"), F.col("q")[2].alias("q75"), (F.col("q")[2] - F.col("q")[0]).alias("iqr"))
 

@@ -94,6 +94,18 @@ def running(hist: DataFrame, columns: Sequence[str] = ("n", "k"), descending: bo
     return within.join(base, [*keys, "range"]).select(*hist.columns, *((F.col(f"base_{c}") + F.col(f"within_{c}")).alias(f"before_{c}") for c in columns), *(f"total_{c}" for c in columns))
 
 
+def moments(hist: DataFrame, keys: Sequence[str], value: str = "p") -> DataFrame:
+    """The keys, n, mean, population deviation, least and greatest of values counted in ``n``, from the counts alone.
+
+    Squares are taken about the mean in a second step, so that large offsets lose no digits.
+    """
+    keys = list(keys)
+    whole = hist.groupBy(*keys).agg(F.sum("n").alias("total"), F.try_divide(F.sum(F.col("n") * F.col(value)), F.sum("n").cast("double")).alias("mean"))
+    rows = hist.join(F.broadcast(whole), keys)  # a row a group
+    d = F.col(value) - F.col("mean")
+    return rows.groupBy(*keys).agg(F.max("total").alias("n"), F.max("mean").alias("mean"), F.sqrt(F.try_divide(F.sum(F.col("n") * d * d), F.max("total").cast("double"))).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+
+
 def quantiles(hist: DataFrame, probabilities: Sequence[float], value: str = "p", keys: Sequence[str] = ("attribute", "group"), ranges: Callable[[Column], Column] = score_range) -> DataFrame:
     """The keys and ``q``, exact quantiles (linear between neighbours) of values counted in ``n``, from running sums."""
     run = running(hist, ("n",), value=value, keys=keys, ranges=ranges)

@@ -43,18 +43,25 @@ def _weighted_auroc(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
         return (n1 * (before + n0 / 2)).sum(1) / (n0.sum(1) * n1.sum(1))
 
 
+def weighted_precision(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    """Average precision of each row of counts of negatives and positives by ascending score; nan without positives."""
+    flagged, hits = (np.cumsum(x[:, ::-1], axis=1)[:, ::-1] for x in (n0 + n1, n1))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return (n1 * np.divide(hits, flagged, out=np.zeros_like(hits), where=flagged > 0)).sum(1) / n1.sum(1)
+
+
 def _chunks(frame: DataFrame, replicates: int) -> DataFrame:
     return frame.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(-(-replicates // CHUNK) - 1))))
 
 
-def bootstrap_auroc(df: DataFrame, attributes: Sequence[str] = (), replicates: int = C.N_BOOTSTRAP_SUBGROUP, seed: int = C.SEED, stratified: bool = True, resolution: int = 2000, metric: Callable[[np.ndarray, np.ndarray], np.ndarray] = _weighted_auroc) -> DataFrame:
+def bootstrap_auroc(df: DataFrame, attributes: Sequence[str] = (), replicates: int = C.N_BOOTSTRAP_SUBGROUP, seed: int = C.SEED, stratified: bool = True, resolution: int = 2000, metric: Callable[[np.ndarray, np.ndarray], np.ndarray] = _weighted_auroc, overall: bool = True) -> DataFrame:
     """AUROC samples: attribute, group, replicate, value.
 
     A group's scores are joined into about ``resolution`` bins of equal counts where it has more (:func:`groups.binned`, which
     bounds the change of the value), so a task holds a bounded table; a resample draws the counts (two multinomials if ``stratified`` by outcome, else one). Replicates with one class are left out. ``metric``
     maps counts of negatives and positives by ascending score (a row a replicate) to values.
     """
-    hist = groups.binned(groups.histogram(df, attributes), resolution)
+    hist = groups.binned(groups.histogram(df, attributes, overall), resolution)
 
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
         a, g, chunk = pdf["attribute"].iloc[0], pdf["group"].iloc[0], int(pdf["chunk"].iloc[0])
@@ -120,6 +127,12 @@ def bootstrap_ace(df: DataFrame, attributes: Sequence[str] = (), replicates: int
     return _chunks(groups.binned(groups.histogram(df, attributes), resolution), replicates).groupBy("attribute", "group", "chunk").applyInPandas(draw, schema)
 
 
+def discrimination_samples(df: DataFrame, attributes: Sequence[str] = (), replicates: int = C.N_BOOTSTRAP_SUBGROUP, seed: int = C.SEED, metric: Callable[[np.ndarray, np.ndarray], np.ndarray] = _weighted_auroc) -> DataFrame:
+    """Samples of the AUROC, or of another metric of score counts: all rows drawn simply, groups with their outcomes' numbers kept."""
+    whole = bootstrap_auroc(df, [], replicates, seed, False, metric=metric)
+    return whole.unionByName(bootstrap_auroc(df, attributes, replicates, seed, True, metric=metric, overall=False)) if attributes else whole
+
+
 def gap_samples(samples: DataFrame) -> DataFrame:
     """Greatest less least value over the groups of an attribute, in each replicate."""
     return samples.where(F.col("attribute") != C.OVERALL).groupBy("attribute", "replicate").agg((F.max("value") - F.min("value")).alias("value"))
@@ -167,17 +180,3 @@ def cluster_bootstrap(df: DataFrame, attributes: Sequence[str], threshold: float
 def cluster_auroc(df: DataFrame, attributes: Sequence[str] = (), replicates: int = C.N_BOOTSTRAP, seed: int = C.SEED, resolution: int = 500) -> DataFrame:
     """AUROC samples when whole clusters are drawn: attribute, group, replicate, value (null with one class)."""
     return cluster_draws.score_statistic(df, attributes, lambda _, n, k: _weighted_auroc(n.astype(float) - k, k.astype(float)), replicates, seed, resolution)
-
-
-def bootstrap_statistic(values: DataFrame, statistic: Callable[[np.ndarray], float], column: str = "value", replicates: int = 2000, seed: int = C.SEED, most: int = 1_000_000) -> DataFrame:
-    """Samples of any statistic of one column. The column must be small enough for a task: over ``most`` rows it is an error."""
-    n = values.count()
-    if n > most:
-        raise ValueError(f"{n} rows; a free statistic is taken over at most {most}")
-
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, chunk = np.sort(pdf["v"].to_numpy()), int(pdf["chunk"].iloc[0])
-        rng, size = _generator(seed, chunk), min(CHUNK, replicates - chunk * CHUNK)
-        return pd.DataFrame({"replicate": chunk * CHUNK + np.arange(size), "value": [float(statistic(rng.choice(x, len(x)))) for _ in range(size)]})
-
-    return _chunks(values.select(F.col(column).cast("double").alias("v")).dropna(), replicates).groupBy("chunk").applyInPandas(draw, "replicate long, value double")

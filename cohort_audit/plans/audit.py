@@ -184,7 +184,10 @@ class Audit:
         if self.intersections:
             frames["intersectional"] = intersect.intersectional(df, self.intersections, self.threshold, self.config.get_threshold("min_subgroup_n", C.SUBGROUP_N))
         if bootstrap_ci:
-            frames["auroc_ci"] = resampling.percentile_ci(resampling.bootstrap_auroc(df, names, n_bootstrap, random_seed))
+            samples = resampling.discrimination_samples(df, names, n_bootstrap, random_seed)
+            frames["auroc_ci"] = resampling.percentile_ci(samples)
+            frames["auprc_ci"] = resampling.percentile_ci(resampling.discrimination_samples(df, names, n_bootstrap, random_seed, resampling.weighted_precision))
+            frames["auroc_comparison"] = discrimination.auroc_comparison_ci(frames["auroc_comparison"], samples)
             frames["classification_ci"] = resampling.percentile_ci(resampling.bootstrap_confusion(cells, n_bootstrap, random_seed), ("attribute", "group", "metric"))
         found = [r.asDict() for r in flags(cells, frames["profile"], self.config.thresholds, fair).orderBy("category", "attribute", "group").collect()]
         meta = {"run_timestamp": datetime.datetime.now(datetime.UTC).isoformat(), "n_rows": self.n, "bootstrap_ci": bootstrap_ci, "n_bootstrap": n_bootstrap, "random_seed": random_seed, "environment": environment(self.spark)}

@@ -7,12 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import constants as C
 from .functions import intervals
-from .operators import calibration, descriptive, discrimination, disparity, groups, intersect, multiplicity, permutation, rates, resampling, thresholds
+from .operators import calibration, descriptive, discrimination, disparity, groups, intersect, metrics, multiplicity, permutation, rates, resampling, thresholds
 from .plans import audit
 from .sources import load
 
@@ -624,6 +625,37 @@ def ks_test_asymptotic(df):
     return discrimination.ks_test(discrimination.ks_statistic(groups.histogram(df, ATTRIBUTES)), exact=False)
 
 
+@query()
+def auprc_bootstrap_ci(df):
+    return resampling.percentile_ci(resampling.discrimination_samples(df, ATTRIBUTES, metric=resampling.weighted_precision))
+
+
+@query()
+def auroc_comparison_ci(df):
+    compared = discrimination.auroc_comparison(discrimination.auroc(groups.histogram(df, ATTRIBUTES)))
+    return discrimination.auroc_comparison_ci(compared, resampling.discrimination_samples(df, ATTRIBUTES))
+
+
+def _log_loss():
+    """A metric of a user's own: mean log loss of scores kept away from 0 and 1, with the share of rows beyond 0.9."""
+    return metrics.Sums(lambda p, y: (-np.log(np.where(y == 1, np.clip(p, 1e-6, 1 - 1e-6), 1 - np.clip(p, 1e-6, 1 - 1e-6))), p > 0.9, np.ones_like(p)), lambda loss, high, n: loss / n + high / n)
+
+
+@query(f"WITH {S}, {LONG} SELECT attribute, \"group\", COUNT(*) AS n, {r('AVG(-LN(CASE WHEN y = 1 THEN LEAST(GREATEST(p, 1e-6), 1 - 1e-6) ELSE 1 - LEAST(GREATEST(p, 1e-6), 1 - 1e-6) END)) + AVG(CASE WHEN p > 0.9 THEN 1.0 ELSE 0.0 END)', 'value')} FROM l GROUP BY ALL")
+def user_metric(df):
+    return metrics.evaluate(df, ATTRIBUTES, _log_loss())
+
+
+@query()
+def user_metric_ci(df):
+    return metrics.metric_ci(df, ATTRIBUTES, _log_loss())
+
+
+@query()
+def little_bootstrap_ci(df):
+    return metrics.statistic_ci(df, metrics.weighted_quantile(0.9), "p")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rates of all groups and their disparities, from one aggregation of the scored view."""
     df = groups.standard(load.scored(spark, sf_dir), attributes=ATTRIBUTES)

@@ -290,3 +290,22 @@ def test_adaptive_error_of_crowded_scores(spark):
     for clusters in (False, True):
         ci = resampling.percentile_ci(resampling.bootstrap_ace(df, [], 40, clusters=clusters)).first()
         assert abs(ci["mean"] - want) < 5 * ci["se"] + 1e-4
+
+
+def test_average_precision_samples_and_comparison_intervals(spark):
+    """The weighted average precision against its steps; comparison intervals hold the difference."""
+    rng = np.random.default_rng(3)
+    n0, n1 = rng.integers(0, 4, (3, 12)).astype(float), rng.integers(0, 4, (3, 12)).astype(float)
+    for row in range(3):
+        hits = flagged = total = 0.0
+        for k in range(11, -1, -1):
+            hits, flagged = hits + n1[row, k], flagged + n0[row, k] + n1[row, k]
+            total += n1[row, k] * (hits / flagged if flagged else 0)
+        assert resampling.weighted_precision(n0, n1)[row] == pytest.approx(total / n1[row].sum())
+    rows = [(float(np.clip(rng.normal(0.4 + 0.2 * y, 0.2), 0, 1)), y, g) for g in "ab" for y in (0, 1) for _ in range(100)]
+    df = spark.createDataFrame(rows, "p double, y int, g string")
+    samples = resampling.discrimination_samples(df, ["g"], 200)
+    r = discrimination.auroc_comparison_ci(discrimination.auroc_comparison(discrimination.auroc(groups.histogram(df, ["g"]))), samples).first()
+    assert r["ci_lower"] < r["auroc"] < r["ci_upper"] and r["ref_ci_lower"] < r["ref_auroc"] < r["ref_ci_upper"]
+    assert r["diff_ci_lower"] < r["auroc_diff"] < r["diff_ci_upper"]
+    assert {x["group"]: x["n_samples"] for x in resampling.percentile_ci(samples).collect()} == {"a": 200, "b": 200, "_overall": 200}
