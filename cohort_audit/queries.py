@@ -15,7 +15,8 @@ from . import constants as C
 from .functions import intervals
 from .operators import calibration, descriptive, discrimination, disparity, groups, intersect, metrics, multiplicity, permutation, rates, resampling, thresholds
 from .plans import audit
-from .sources import load
+from .sources import load, profile
+from .streaming import ordered
 
 ATTRIBUTES = ["c_mktsegment", "r_name", "o_orderpriority"]
 T = 0.5
@@ -656,6 +657,41 @@ def little_bootstrap_ci(df):
     return metrics.statistic_ci(df, metrics.weighted_quantile(0.9), "p")
 
 
+def _own(sql: str | None = None):
+    """Registers a query that reads its tables itself."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = lambda spark, sf_dir: rounded(f(spark, sf_dir))
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+_PROFILED = ["c_mktsegment", "r_name", "o_orderpriority", "y_true", "cluster_id"]
+_KIND = "CASE WHEN n_unique <= 20 THEN 'categorical' WHEN column_ = 'cluster_id' THEN 'numeric' ELSE 'text' END"
+
+
+@_own(f"WITH {S}, u AS (" + " UNION ALL ".join(f"SELECT '{c}' AS column_, COUNT(DISTINCT {c}) AS n_unique, COUNT(*) - COUNT({c}) AS null_count, CAST(MIN({c}) AS VARCHAR) AS lo, CAST(MAX({c}) AS VARCHAR) AS hi, LIST_SLICE(LIST_SORT(LIST(DISTINCT CAST({c} AS VARCHAR))), 1, 5) AS first_ FROM s" for c in _PROFILED if c != "y_true") + f""")
+ SELECT column_ AS "column", {_KIND} AS kind, CASE WHEN n_unique < 1024 THEN n_unique ELSE -1 END AS n_unique, n_unique < 1024 AS exact, null_count, CASE WHEN {_KIND} = 'numeric' THEN ARRAY_TO_STRING(['min: ' || lo || '.0', 'max: ' || hi || '.0'], ',') ELSE ARRAY_TO_STRING(first_, ',') END AS sample_values, column_ LIKE '%region%' AS hinted FROM u""")
+def column_profile(spark, sf_dir):
+    found = profile.detect_demographics(load.scored(spark, sf_dir).select(*_PROFILED))
+    return found.withColumns({"sample_values": F.array_join("sample_values", ","), "n_unique": F.when(F.col("exact"), F.col("n_unique")).otherwise(F.lit(-1))})  # an estimate has no SQL
+
+
+_DATED = f"""d AS (SELECT s.*, CAST(FLOOR(EPOCH(o_orderdate)/86400/30) AS BIGINT)*30 AS day FROM s JOIN orders ON o_orderkey = row_id), b AS (SELECT attribute, "group", day, LEAST(999, CAST(FLOOR(p*1000) AS BIGINT)) AS bucket, COUNT(*) AS n, SUM(y) AS k FROM (""" + " UNION ALL ".join([f'''SELECT '{a}' AS attribute, {a} AS "group", day, p, y FROM d''' for a in ATTRIBUTES] + ["SELECT '_overall', '_overall', day, p, y FROM d"]) + """) l GROUP BY ALL), o AS (SELECT *, n - k AS neg, SUM(n - k) OVER (PARTITION BY attribute, "group", day ORDER BY bucket) - (n - k) AS below FROM b)"""
+
+
+@_own(f"WITH {S}, {_DATED} SELECT attribute, \"group\", day, CAST(SUM(n) AS BIGINT) AS n, CAST(SUM(k) AS BIGINT) AS n_positive, {r('CASE WHEN SUM(k) > 0 AND SUM(neg) > 0 THEN SUM(k*(below + neg/2.0))/SUM(k)/SUM(neg) END', 'auroc')} FROM o GROUP BY attribute, \"group\", day")
+def windowed_auroc(spark, sf_dir):
+    """AUROC of windows of 30 days by the streaming monitor's own counts, on the orders' dates."""
+    dates = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("row_id"), F.timestamp_seconds(F.unix_date(F.to_date("o_orderdate")) * 86400).alias("at"))
+    rows = load.scored(spark, sf_dir).join(dates, "row_id")
+    out = ordered.of_table(ordered.buckets(rows, "at", ATTRIBUTES, "30 days"))
+    return out.select("attribute", "group", F.floor(F.unix_seconds("window_start") / 86400).cast("long").alias("day"), "n", "n_positive", "auroc")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rates of all groups and their disparities, from one aggregation of the scored view."""
     df = groups.standard(load.scored(spark, sf_dir), attributes=ATTRIBUTES)

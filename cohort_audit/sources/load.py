@@ -101,16 +101,6 @@ def validate_upload(df: DataFrame) -> list[str]:
     return errors
 
 
-def detect_demographics(df: DataFrame, most: int = 20, hints: Sequence[str] = ("race", "ethnic", "sex", "gender", "age", "insurance", "language", "payer", "region", "site")) -> DataFrame:
-    """Each column's kind (categorical up to ``most`` values, numeric, text) and whether its name hints at demographics."""
-    cols = [c for c in df.columns if c not in ("y_true", "y_prob", "y_pred")]
-    if not cols:
-        return df.sparkSession.createDataFrame([], "column string, kind string, n_unique long, hinted boolean")
-    r = df.agg(*(F.count_distinct(F.col(f"`{c}`")).alias(c) for c in cols)).first()
-    rows = [(c, "categorical" if r[c] <= most else "numeric" if isinstance(df.schema[c].dataType, NumericType) else "text", r[c], any(h in c.lower() for h in hints)) for c in cols]
-    return df.sparkSession.createDataFrame(rows, "column string, kind string, n_unique long, hinted boolean")
-
-
 def attribute_profile(df: DataFrame, attributes: Sequence[str]) -> DataFrame:
     """attribute, n_unique, n_missing, missing_rate of each attribute, in one pass."""
     aggs = [F.count(F.lit(1)).alias("n")]
