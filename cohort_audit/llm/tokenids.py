@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from . import base, tokens
 
 BLOCK_IDS = 1 << 16
-SCHEMA = "part int, block int, width int, n_ids long, doc_ids array<long>, doc_ends array<long>, bits binary"
+SCHEMA = "part int, block int, width int, n_ids long, first_id long, last_id long, doc_ids array<long>, doc_ends array<long>, bits binary"
 
 
 def width_of(vocab_size: int) -> int:
@@ -76,9 +76,10 @@ def write(docs: DataFrame, path: str, out: str, end_id: int | None = None) -> No
         def flush() -> pa.RecordBatch:
             flat = np.frombuffer(b"".join(ids), encoder.dtype)
             ends = np.cumsum([len(x) // encoder.dtype.itemsize for x in ids])
-            values = [part, block, width, len(flat), names, ends, pack(flat, width)]
-            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], ["part", "block", "width", "n_ids", "doc_ids", "doc_ends", "bits"])
+            known = [d for d in names if d is not None]
+            values = [part, block, width, len(flat), min(known, default=None), max(known, default=None), names, ends, pack(flat, width)]
+            kinds = [pa.int32(), pa.int32(), pa.int32(), *[pa.int64()] * 3, pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], ["part", "block", "width", "n_ids", "first_id", "last_id", "doc_ids", "doc_ends", "bits"])
 
         for whole in batches:
             for batch in base.row_chunks(whole):
@@ -115,8 +116,11 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
 
 def read_document(spark: SparkSession, path: str, doc_id: int) -> list[np.ndarray]:
-    """The ids of the documents of one id, in order (one but for repeated rows), from the blocks that can hold it."""
-    here = (F.array_min("doc_ids") <= doc_id) & (F.array_max("doc_ids") >= doc_id)
+    """The ids of the documents of one id, in order (one but for repeated rows), from the blocks that can hold it.
+
+    Blocks lie in the order of their ids, so the files' statistics on ``first_id`` and ``last_id`` leave a block or two to read.
+    """
+    here = (F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id)
     out = []
     for row in spark.read.schema(SCHEMA).parquet(path).where(here).orderBy("part", "block").toLocalIterator():
         for i in (k for k, d in enumerate(row["doc_ids"]) if d == doc_id):
@@ -124,6 +128,29 @@ def read_document(spark: SparkSession, path: str, doc_id: int) -> list[np.ndarra
     return out
 
 
+def write_index(spark: SparkSession, path: str, index: str) -> None:
+    """A table of where blocks start: ``start``, ``stop`` (positions of ids in all files), ``part``, ``block``; in order of start."""
+    starts = open_blocks(spark, path).select("start", (F.col("start") + F.col("n_ids")).alias("stop"), "part", "block")
+    starts.repartitionByRange("start").sortWithinPartitions("start").write.parquet(index)
+
+
+def read_span(spark: SparkSession, path: str, index: str, start: int, length: int) -> np.ndarray:
+    """``length`` ids from position ``start`` on, across documents and blocks, from the blocks that hold them."""
+    here = (F.col("start") < start + length) & (F.col("stop") > start)
+    blocks = spark.read.parquet(index).where(here).orderBy("start").collect()  # the blocks of the span
+    if not blocks:
+        return np.zeros(0, np.uint32)
+    wanted = F.lit(False)
+    for r in blocks:
+        wanted = wanted | ((F.col("part") == r["part"]) & (F.col("block") == r["block"]))
+    held = {(r["part"], r["block"]): r for r in spark.read.schema(SCHEMA).parquet(path).where(wanted).select("part", "block", "width", "bits").toLocalIterator()}
+    out = []
+    for r in blocks:
+        row = held[r["part"], r["block"]]
+        out.append(unpack(bytes(row["bits"]), row["width"], max(start, r["start"]) - r["start"], min(start + length, r["stop"]) - r["start"]))
+    return np.concatenate(out)
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """One row a document from the files: ``doc_id``, ``start``, ``n_tokens`` and ``ids``."""
 

@@ -110,6 +110,24 @@ def test_op6_in_a_width_of_no_whole_bytes(spark, texts, tmp_path):
         assert [x.tolist() for x in tokenids.read_document(spark, out, i)] == [ids for k, ids in got if k == i]
 
 
+def test_random_access_reads_few_blocks(spark, texts, monkeypatch):
+    """Documents by id and spans by position, over blocks of a few ids; the filter on ids reaches the files' statistics."""
+    monkeypatch.setattr(tokenids, "BLOCK_IDS", 40)
+    path, out, index = P.path("word_bpe_49k.json"), base.shared_path(spark, "few"), base.shared_path(spark, "index")
+    rows = [(i, t) for i, t in texts.items() if i != 82] + [(None, "no id"), (None, None), (3, "twice")]
+    tokenids.write(spark.createDataFrame(rows, "doc_id long, text string"), path, out, 1)
+    tokenids.write_index(spark, out, index)
+    docs = tokenids.read(spark, out).orderBy("start").collect()
+    whole = np.concatenate([r["ids"] for r in docs])
+    assert spark.read.parquet(index).count() > 20
+    for i in (3, 0, 86, 999):
+        assert [x.tolist() for x in tokenids.read_document(spark, out, i)] == [r["ids"] for r in docs if r["doc_id"] == i]
+    for start, length in ((0, 5), (37, 9), (100, 700), (len(whole) - 3, 10), (len(whole), 4), (50, 0)):
+        assert tokenids.read_span(spark, out, index, start, length).tolist() == whole[start : start + length].tolist()
+    plan = spark.read.schema(tokenids.SCHEMA).parquet(out).where("first_id <= 3 and last_id >= 3")._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(first_id,3)" in plan and "GreaterThanOrEqual(last_id,3)" in plan
+
+
 @pytest.mark.parametrize("width", [1, 3, 8, 13, 16, 17, 32])
 def test_packed_ids_come_back_from_any_place(width):
     ids = np.random.default_rng(width).integers(0, 2**width, 777)
