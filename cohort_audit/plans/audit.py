@@ -78,8 +78,21 @@ class AuditResults:
     metadata: dict[str, Any] = field(default_factory=dict)
     flags: list[dict[str, Any]] = field(default_factory=list)
     governance_recommendation: dict[str, Any] = field(default_factory=dict)
+    held: list[DataFrame] = field(default_factory=list)
     _tables: dict[str, list[dict[str, Any]]] = field(default_factory=dict)
 
+    def release(self) -> None:
+        """Give back the cached tables that the sections share; sections read later are computed from the input again."""
+        for df in self.held:
+            df.unpersist()
+        self.held = []
+
+    def __enter__(self) -> AuditResults:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.release()
+
     def collected(self, name: str) -> list[dict[str, Any]]:
         if name not in self._tables:
             self._tables[name] = [r.asDict(recursive=True) for r in self.frames[name].collect()] if name in self.frames else []
@@ -193,6 +206,7 @@ class Audit:
         meta = {"run_timestamp": datetime.datetime.now(datetime.UTC).isoformat(), "n_rows": self.n, "bootstrap_ci": bootstrap_ci, "n_bootstrap": n_bootstrap, "random_seed": random_seed, "environment": environment(self.spark)}
         out = AuditResults(self.config, self.threshold, self.attributes, frames, meta, found)
         out.governance_recommendation = recommendation(found, len(self.attributes), self.config)
+        out.held = [df, cells, hist]
         return out
 
 

@@ -309,3 +309,14 @@ def test_average_precision_samples_and_comparison_intervals(spark):
     assert r["ci_lower"] < r["auroc"] < r["ci_upper"] and r["ref_ci_lower"] < r["ref_auroc"] < r["ref_ci_upper"]
     assert r["diff_ci_lower"] < r["auroc_diff"] < r["diff_ci_upper"]
     assert {x["group"]: x["n_samples"] for x in resampling.percentile_ci(samples).collect()} == {"a": 200, "b": 200, "_overall": 200}
+
+
+def test_released_results_keep_their_sections(spark):
+    rows = [(i / 100, int(i % 3 == 0), "ab"[i % 2]) for i in range(100)]
+    a = audit.Audit(spark, spark.createDataFrame(rows, "y_prob double, y_true int, sex string"), "y_prob", "y_true", FairnessConfig("m"))
+    a.add_sensitive_attribute("sex", "sex")
+    with a.run(bootstrap_ci=False) as results:
+        before = results.frames["rates"].count()
+        assert results.held and all(df.is_cached for df in results.held)
+        held = list(results.held)
+    assert not results.held and not any(df.is_cached for df in held) and results.frames["rates"].count() == before
