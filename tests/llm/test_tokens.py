@@ -124,7 +124,8 @@ def test_random_access_reads_few_blocks(spark, texts, monkeypatch):
         assert [x.tolist() for x in tokenids.read_document(spark, out, i)] == [r["ids"] for r in docs if r["doc_id"] == i]
     for start, length in ((0, 5), (37, 9), (100, 700), (len(whole) - 3, 10), (len(whole), 4), (50, 0)):
         assert tokenids.read_span(spark, out, index, start, length).tolist() == whole[start : start + length].tolist()
-    plan = spark.read.schema(tokenids.SCHEMA).parquet(out).where("first_id <= 3 and last_id >= 3")._jdf.queryExecution().executedPlan().toString()
+    read = spark.read.schema(tokenids.SCHEMA).parquet(out).where("first_id <= 3 and last_id >= 3")
+    plan = spark._jvm.PythonSQLUtils.explainString(read._jdf.queryExecution(), "formatted")
     assert "LessThanOrEqual(first_id,3)" in plan and "GreaterThanOrEqual(last_id,3)" in plan
 
 
