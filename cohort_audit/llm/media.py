@@ -119,6 +119,25 @@ def resolve(seqs: DataFrame, media: DataFrame, key: str = "page_id") -> DataFram
     return found.withColumnRenamed("__key", key)
 
 
+def with_payloads(seqs: DataFrame, store: DataFrame, key: str = "page_id", payload: str = "payload") -> DataFrame:
+    """``key`` and ``items`` in their order, each media item with the bytes that ``store`` (digest, payload) has for its digest.
+
+    A page is what shares a row of ``seqs``: rows of one key stay apart. Texts, positions and captions are as they were; a digest
+    that ``store`` lacks, or that does not name the bytes it has, gives null. Bytes are joined to references by digest, those
+    that many references share over several tasks, and come together again by page: a page and its media fit a task.
+    """
+    names = ["position", "kind", "text", "digest", "src", "caption"]
+    pages = base.stored(seqs.select(F.monotonically_increasing_id().alias("page"), F.col(key).alias("of"), "items"), "pages")  # a page's number is fixed once written
+    refs = pages.select("page", F.explode("items").alias("item")).where("item.digest is not null").select("page", F.col("item.position").alias("position"), F.col("item.digest").alias("digest"))
+    sound = store.where(F.sha2(payload, 256) == F.col("digest")).groupBy("digest").agg(F.first(payload).alias("payload"))
+    heavy = refs.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > base.HEAVY)
+    found = base.split_join(refs, sound, ["digest"], heavy, ["page", "position"])
+    held = found.groupBy("page").agg(F.map_from_entries(F.collect_list(F.struct("position", "payload"))).alias("held"))  # a page's own references
+    both = pages.join(held, "page", "left")
+    items = F.transform("items", lambda x: F.struct(*(x[n].alias(n) for n in names), F.try_element_at("held", x["position"]).alias("payload")))
+    return both.select(F.col("of").alias(key), items.alias("items"))
+
+
 def _chunk(name: bytes, data: bytes) -> bytes:
     return struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
 

@@ -237,3 +237,23 @@ def test_op10(spark, rude):
     assert toxicity.fit(docs, labels.where("toxic = 0")) is None
     assert {r["score"] for r in toxicity.score(docs, None).collect()} == {0.0}
     assert toxicity.score(docs.where("false"), index).count() == 0
+
+
+def test_payloads_come_back_in_their_places(spark, monkeypatch):
+    """Texts, captions and bytes of interleaved pages stay aligned; unknown and wrong digests give null; a digest may be hot."""
+    monkeypatch.setattr(base, "HEAVY", 3)
+    bytes_of = {hashlib.sha256(b).hexdigest(): b for b in (b"one", b"two", b"", bytes(range(256)))}
+    a, b, empty, c = bytes_of
+    page = f'<p>First &amp; best.</p><figure><img src="sha256:{a}"><img src="sha256:{b}"><figcaption>Two of them</figcaption></figure>tail<img src="http://x/y.png" alt="far"><audio src="sha256:{"0" * 64}"></audio><p>end</p>'
+    pages = [(i, f'<p>{i}</p><img src="sha256:{a}" alt="hot">') for i in range(20)] + [(100, page), (101, None), (102, "no media"), (None, page), (100, f'<img src="sha256:{c}"><img src="sha256:{empty}">')]
+    store = [(d, bytearray(x)) for d, x in bytes_of.items()] + [(a, bytearray(b"one")), ("f" * 64, bytearray(b"wrong"))]
+    df = spark.createDataFrame(pages, "page_id long, html string")
+    got = media.with_payloads(media.sequences(df), spark.createDataFrame(store, "digest string, payload binary")).collect()
+    assert len(got) == len(pages)
+    for r in got:
+        for x in r["items"]:
+            want = bytes_of.get(x["digest"])
+            assert (None if x["payload"] is None else bytes(x["payload"])) == want
+    first = [[(x["position"], x["kind"], x["text"], x["caption"], x["src"], x["payload"] and bytes(x["payload"])) for x in r["items"]] for r in got if r["page_id"] == 100 and len(r["items"]) > 2]
+    assert first == [[(0, "text", "First & best.", None, None, None), (1, "media", None, "Two of them", None, b"one"), (2, "media", None, "Two of them", None, b"two"), (3, "text", "tail", None, None, None), (4, "media", None, "far", "http://x/y.png", None), (5, "media", None, None, None, None), (6, "text", "end", None, None, None)]]
+    assert sorted(str(r["page_id"]) for r in got) == sorted(str(i) for i, _ in pages)
