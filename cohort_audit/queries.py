@@ -27,8 +27,8 @@ ORACLES: dict[str, str] = {}
 
 
 def digits(name: str) -> int:
-    """Thresholds are scores of eight places, which six would cut at a tie."""
-    return 8 if name == "threshold" else 6
+    """Thresholds and scores have eight places, which six would cut at a tie."""
+    return 8 if name in ("threshold", "p") else 6
 
 
 def rounded(df: DataFrame) -> DataFrame:
