@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -92,6 +95,26 @@ def whole_row(df: DataFrame) -> Column:
     return F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in df.columns))
 
 
+def give_back() -> None:
+    """Return freed memory to the system: an idle Python worker else keeps the peak of its last task beside the next one's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function of batches that gives back its memory once a task's batches are done."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
 def batched(df: DataFrame) -> DataFrame:
     """``df``; Python workers get at most ``BATCH_ROWS`` rows at a time."""
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"

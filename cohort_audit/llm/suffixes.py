@@ -255,7 +255,7 @@ def contexts_of(docs: DataFrame, measure: Measure) -> DataFrame:
                 ints = [pa.array(x.astype(np.int32)) for x in (place - s0, s0 - off[row], s1 - off[row])]
                 yield pa.RecordBatch.from_arrays([batch.column("did").take(at), batch.column("key").take(at), base.to_long(name), *ints, base.to_long(c1), base.to_long(c2)], ["did", "key", "anchor", "back", "first", "last", "c1", "c2"])
 
-    return docs.select("did", "key", "text").mapInArrow(run, _CONTEXT)
+    return docs.select("did", "key", "text").mapInArrow(base.frugal(run), _CONTEXT)
 
 
 def _slices(docs: DataFrame, wanted: DataFrame, measure: Measure) -> DataFrame:
@@ -282,7 +282,7 @@ def _slices(docs: DataFrame, wanted: DataFrame, measure: Measure) -> DataFrame:
                     cols = zip(*out[i : i + 2000], strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
-    return joined.mapInArrow(run, "did long, key long, anchor long, back int, first int, last int, settled boolean, hot boolean, data binary")
+    return joined.mapInArrow(base.frugal(run), "did long, key long, anchor long, back int, first int, last int, settled boolean, hot boolean, data binary")
 
 
 _MARKS = "did long, key long, lo int, hi int"
@@ -318,7 +318,7 @@ def _marks_of_blocks(slices: DataFrame, measure: Measure) -> DataFrame:
             yield flush()
 
     cols = slices.select("did", "key", "anchor", "back", "first", "settled", "data")
-    return cols.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, _MARKS)
+    return cols.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(base.frugal(run), _MARKS)
 
 
 def _classes(level: DataFrame, width: int, measure: Measure) -> DataFrame:
@@ -350,7 +350,7 @@ def _classes(level: DataFrame, width: int, measure: Measure) -> DataFrame:
                 at = pa.array(row)
                 yield pa.RecordBatch.from_arrays([part.column("sid").take(at), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32)), part.column("weight").take(at), pa.array(kind.astype(np.int32)), *map(base.to_long, cols)], names)
 
-    return level.select("sid", "back", "lo", "hi", "weight", "data").mapInArrow(run, "sid long, lo int, hi int, weight int, kind int, core1 long, core2 long, all1 long, all2 long")
+    return level.select("sid", "back", "lo", "hi", "weight", "data").mapInArrow(base.frugal(run), "sid long, lo int, hi int, weight int, kind int, core1 long, core2 long, all1 long, all2 long")
 
 
 def _marks_of_hot(slices: DataFrame, measure: Measure, scratch: base.Scratch) -> DataFrame | None:
@@ -449,7 +449,7 @@ def removed(docs: DataFrame, measure: Measure = BYTES, passages: Measure | None
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], ["doc_id", *names])
 
     schema = "doc_id long, " + ", ".join(f"{n} {'string' if n == 'kept_sha256' else 'long'}" for n in names)
-    return found.select("doc_id", "text", "marks", "others").mapInArrow(run, schema)
+    return found.select("doc_id", "text", "marks", "others").mapInArrow(base.frugal(run), schema)
 
 
 def without_repeats(docs: DataFrame, measure: Measure = BYTES) -> DataFrame:
@@ -471,6 +471,7 @@ def without_repeats(docs: DataFrame, measure: Measure = BYTES) -> DataFrame:
             else:
                 raw = t.encode("utf-8")
                 out.append(_kept(raw, covered(raw, m, measure)).decode("utf-8", "ignore"))
+        base.give_back()
         return pd.Series(out)
 
     joined = keyed.join(marks, ["did", "key"], "left").withColumn("cut", cut(F.col("row.text"), "marks"))
