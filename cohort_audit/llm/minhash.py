@@ -207,8 +207,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("a", "m"))
         large = base.split_join(both, least.drop("n"), ["a"], least.where(F.col("n") > base.HEAVY), ["b"])
         large = large.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
-        small = base.split_join(large, low.drop("n"), ["a"], low.where(F.col("n") > base.HEAVY), ["b"]).select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"))  # a node's rows are its neighbours' least nodes: a few components so far
+        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         now = base.stored(small, "edges")
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == last:
