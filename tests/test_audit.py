@@ -313,7 +313,8 @@ def test_average_precision_samples_and_comparison_intervals(spark):
 
 def test_released_results_keep_their_sections(spark):
     rows = [(i / 100, int(i % 3 == 0), "ab"[i % 2]) for i in range(100)]
-    a = audit.Audit(spark, spark.createDataFrame(rows, "y_prob double, y_true int, sex string"), "y_prob", "y_true", FairnessConfig("m"))
+    config = FairnessConfig("m", primary_fairness_metric=FairnessMetric.EQUALIZED_ODDS, fairness_justification="a test")
+    a = audit.Audit(spark, spark.createDataFrame(rows, "y_prob double, y_true int, sex string"), "y_prob", "y_true", config)
     a.add_sensitive_attribute("sex", "sex")
     with a.run(bootstrap_ci=False) as results:
         before = results.frames["rates"].count()
