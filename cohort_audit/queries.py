@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import constants as C
@@ -32,7 +32,13 @@ def digits(name: str) -> int:
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    return df.select(*((F.round(F.col(f"`{c}`"), digits(c)) + F.lit(0.0)).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes))
+    """``df`` with its doubles rounded as the SQL does, which rounds the scaled double; the decimal form would round ties such as 41/640 otherwise."""
+
+    def to(c: str) -> Column:
+        scale = F.lit(10.0 ** digits(c))
+        return F.round(F.col(f"`{c}`") * scale, 0) / scale + F.lit(0.0)
+
+    return df.select(*(to(c).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes))
 
 
 def query(sql: str | None = None):

@@ -32,6 +32,18 @@ def test_query_equals_sql(spark, name):
     assert sorted(names) == cols and got == want
 
 
+def test_ties_are_rounded_as_in_sql(spark):
+    """Rates of 640 negatives and their like, which lie half way between two numbers of six places."""
+    ties = spark.range(1, 2_000_000, 25, 4).selectExpr("id", "cast(id as double) / 2000000 as x", "-cast(id as double) / 2000000 as y")
+    got = Q.rounded(ties).toPandas().sort_values("id")
+    sql = f"SELECT i AS id, {Q.r('CAST(i AS DOUBLE)/2000000', 'x')}, {Q.r('-CAST(i AS DOUBLE)/2000000', 'y')} FROM range(1, 2000000, 25) t(i) ORDER BY id"
+    want = duckdb.sql(sql).df()
+    assert (got.to_numpy() == want.to_numpy()).all()
+    odd = spark.sql("SELECT double('inf') AS x, double('nan') AS y, CAST(NULL AS DOUBLE) AS z, 1e300 AS w")
+    r = Q.rounded(odd).first()
+    assert r["x"] == math.inf and math.isnan(r["y"]) and r["z"] is None and r["w"] == pytest.approx(1e300)
+
+
 @pytest.mark.parametrize("name", sorted(set(Q.QUERIES) - set(Q.ORACLES)))
 def test_query_runs(spark, name):
     assert Q.QUERIES[name](spark, SF).count() > 0
