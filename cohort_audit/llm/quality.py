@@ -1,9 +1,9 @@
 """Operator 9 - quality rules with isolation forests on their statistics.
 
-Rule statistics of every whole text are computed by numpy over chunks of UTF-8 bytes. Bounded samples of labelled rows
-(``SAMPLE`` of each label) fit two isolation forests (random splits, path lengths): one on the rows labelled good, one on
-those labelled bad. Forests of two thirds of the rows score the last third, by turns, and these scores set the limits: a
-document goes if it is more anomalous among the good than all but ``FALSE_SHARE`` of the good rows, or if its anomaly among
+Rule statistics of every whole text are computed by numpy over chunks of UTF-8 bytes. All labelled rows fit two isolation
+forests (random splits, path lengths): one on the rows labelled good, one on those labelled bad; as the method has it, each
+tree is grown on a draw of its own of ``LEAF_SAMPLE`` rows, out of all of them. Forests of two thirds of the rows score the last
+third, by turns, and these scores of all labelled rows, counted in steps of 1 / ``STEPS``, set the limits: a document goes if it is more anomalous among the good than all but ``FALSE_SHARE`` of the good rows, or if its anomaly among
 the good exceeds that among the bad by more than a margin. The margin is the one of the best trade-off (share of the bad
 rejected less share of the good lost) that loses at most ``LOST_SHARE`` of the good rows. With fewer than 20 rows labelled
 bad only the first limit holds.
@@ -21,6 +21,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from . import base
 
 WINDOW = 5
-SAMPLE, TREES, LEAF_SAMPLE, FOLDS = 8000, 100, 256, 3
+TREES, LEAF_SAMPLE, FOLDS, STEPS = 100, 256, 3, 1 << 16
 #: Share of the calibration rows labelled good that the outlier limit may reject, and that both limits may.
 FALSE_SHARE, LOST_SHARE = 0.002, 0.01
 BASE_COLUMNS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -185,44 +186,119 @@ def grow(x: np.ndarray, trees: int = TREES, sample: int = LEAF_SAMPLE, seed: int
     return Forest(feature, value, left, path, float(_expected(size)))
 
 
-def best_margin(good: np.ndarray, lost: np.ndarray, bad: np.ndarray, share: float = LOST_SHARE) -> float:
+def best_margin(good: np.ndarray, lost: np.ndarray, bad: np.ndarray, share: float = LOST_SHARE, times: tuple[np.ndarray, np.ndarray] | None = None) -> float:
     """The threshold on score differences of the most bad rows rejected less good rows lost, in shares; ``lost`` are gone anyway.
 
     At most ``share`` of the good rows are lost, counting one more than are seen (few rows say little), if the others allow it.
+    ``times``: how many rows each of the good and of the bad values stands for (default: one).
     """
     values = np.unique(np.concatenate([good, bad]))
     cuts = np.append((values[1:] + values[:-1]) / 2, values[-1])
-    kept = np.sort(good[~lost])
-    gone = (1 + lost.sum() + len(kept) - np.searchsorted(kept, cuts, "right")) / (1 + len(good))
-    hit = 1 - np.searchsorted(np.sort(bad), cuts, "right") / len(bad)
+    g, b = (np.ones(len(good)), np.ones(len(bad))) if times is None else times
+
+    def above(x: np.ndarray, n: np.ndarray) -> np.ndarray:
+        order = np.argsort(x)
+        upto = np.concatenate([[0], np.cumsum(n[order])])
+        return upto[-1] - upto[np.searchsorted(x[order], cuts, "right")]
+
+    gone = (1 + g[lost].sum() + above(good[~lost], g[~lost])) / (1 + g.sum())
+    hit = above(bad, b) / b.sum()
     gain = np.where(gone <= max(share, gone.min()), hit - gone, -np.inf)
     return float(cuts[gain.argmax()])
 
 
-def fit(statistics: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Forest | None:
-    """Forests from at most ``sample`` labelled rows of each label, those with the smallest hash of their id."""
+def quantile_of(values: np.ndarray, times: np.ndarray, q: float) -> float:
+    """Quantile (linear between neighbours) of ascending values that stand for ``times`` rows each."""
+    upto, place = np.cumsum(times), (times.sum() - 1) * q
+    low, high = (values[np.searchsorted(upto, f(place), "right")] for f in (np.floor, np.ceil))
+    return float(low + (high - low) * (place - np.floor(place)))
+
+
+def forests_of(known: DataFrame, sizes: dict[tuple[int, int], int]) -> dict[tuple[int, int], Forest]:
+    """Forests by label and left-out fold (-1: none) from ``known`` (quality, fold, hash, statistics), of ``sizes`` rows by label and fold.
+
+    Each tree takes the ``LEAF_SAMPLE`` rows of least hash under a seed of its own among *all* of its label and folds, which is
+    a simple draw without replacement. Tasks pass on the rows below a hash that leaves about 10 deviations more than enough.
+    """
+    names = [(label, out) for label in sorted({k[0] for k in sizes}) for out in range(-1, FOLDS)]
+    count = [sum(n for (k, fold), n in sizes.items() if k == label and fold != out) for label, out in names]
+    limits = [np.uint64(min(1.0, (LEAF_SAMPLE + 10 * LEAF_SAMPLE**0.5) / max(n, 1)) * (2**63 - 1)) for n in count]
 
-    def taken(label: int) -> np.ndarray:
-        ids = labels.where(F.col("quality") == label).select(F.col("doc_id").cast("long").alias("doc_id"))
-        rows = statistics.where((F.col("n_words") >= 10) & (100 * F.col("n_repeat_words") <= 20 * F.col("n_words"))).join(ids, "doc_id", "left_semi")
-        return features(base.bounded_sample(rows, sample).select(*BASE_COLUMNS, *MORE_COLUMNS).toPandas().to_numpy())
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            label, fold, hash_ = (batch.column(c).to_numpy() for c in ("quality", "fold", "hash"))
+            x = features(np.stack([batch.column(c).to_numpy() for c in BASE_COLUMNS + MORE_COLUMNS], 1))
+            for i, (k, out) in enumerate(names):
+                own = np.flatnonzero((label == k) & (fold != out))
+                for t in range(TREES) if len(own) else ():
+                    key = base.mix(hash_[own].view(np.uint64), i * TREES + t + 1) >> np.uint64(1)
+                    hit = np.flatnonzero(key <= limits[i])
+                    if len(hit):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), i * TREES + t)), pa.array(key[hit].astype(np.int64)), pa.array([r.tobytes() for r in x[own[hit]]], pa.binary())], ["tree", "key", "x"])
+
+    def plant(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["key", "x"]).iloc[:LEAF_SAMPLE]
+        tree = int(pdf["tree"].iloc[0])
+        f = grow(np.stack([np.frombuffer(r) for r in pdf["x"]]), 1, LEAF_SAMPLE, tree)
+        return pd.DataFrame({"tree": [tree], "feature": [f.feature.tobytes()], "value": [f.value.tobytes()], "left": [f.left.tobytes()], "path": [f.path.tobytes()], "scale": [f.scale]})
+
+    picked = base.batched(known).mapInArrow(pick, "tree long, key long, x binary")
+    trees: dict[int, list] = {}
+    # At most TREES trees of 2 LEAF_SAMPLE nodes a forest, of 8 forests.
+    for r in picked.groupBy("tree").applyInPandas(plant, "tree long, feature binary, value binary, left binary, path binary, scale double").orderBy("tree").collect():
+        trees.setdefault(r["tree"] // TREES, []).append(r)
+    out = {}
+    for i, rows in trees.items():
+        stack = {c: np.stack([np.frombuffer(r[c], float if c in ("value", "path") else np.int64) for r in rows]) for c in ("feature", "value", "left", "path")}
+        out[names[i]] = Forest(**stack, scale=rows[0]["scale"])
+    return out
+
+
+def calibration(known: DataFrame, forests: dict[tuple[int, int], Forest]) -> DataFrame:
+    """quality, calm, step, near: every row's anomaly among the good, by forests that have not seen its fold, less that among the bad.
+
+    ``step`` and ``near`` are the two in whole steps of 1 / ``STEPS``.
+    """
+    shared = known.sparkSession.sparkContext.broadcast(pickle.dumps(forests))
 
-    good = taken(1)
-    if len(good) < 20:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[tuple[int, int], Forest] = pickle.loads(shared.value)
+        for batch in batches:
+            fold, x = batch.column("fold").to_numpy(), features(np.stack([batch.column(c).to_numpy() for c in BASE_COLUMNS + MORE_COLUMNS], 1))
+            calm, other = np.zeros(len(x)), np.zeros(len(x))
+            for f in range(FOLDS):
+                at = np.flatnonzero(fold == f)
+                calm[at] = own.get((1, f), own[1, -1]).score(x[at])
+                if (0, -1) in own:
+                    other[at] = own.get((0, f), own[0, -1]).score(x[at])
+            steps = [pa.array(np.rint(v * STEPS).astype(np.int64)) for v in (calm, calm - other)]
+            yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array(calm), *steps], ["quality", "calm", "step", "near"])
+
+    return base.batched(known).mapInArrow(run, "quality int, calm double, step long, near long")
+
+
+def fit(statistics: DataFrame, labels: DataFrame) -> Forest | None:
+    """Forests and limits from all labelled rows that pass the base rules."""
+    marks = labels.where(F.col("quality").isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).distinct()
+    rows = statistics.where((F.col("n_words") >= 10) & (100 * F.col("n_repeat_words") <= 20 * F.col("n_words"))).join(marks, "doc_id")
+    columns = [*BASE_COLUMNS, *MORE_COLUMNS]
+    known = base.stored(rows.select("quality", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int").alias("fold"), F.xxhash64("doc_id", *columns).alias("hash"), *columns), "known")
+    sizes = {(r["quality"], r["fold"]): r["count"] for r in known.groupBy("quality", "fold").count().collect()}
+    good, bad = (sum(n for (k, _), n in sizes.items() if k == label) for label in (1, 0))
+    if good < 20:
         return None
-    bad = taken(0)
-    forest, calm = grow(good), np.zeros(len(good))
-    against, near = np.zeros(len(good)), np.zeros(len(bad))
-    for fold in range(FOLDS):
-        g, b = np.arange(len(good)) % FOLDS == fold, np.arange(len(bad)) % FOLDS == fold
-        own = grow(good[~g])
-        calm[g] = own.score(good[g])
-        if len(bad) >= 20:
-            other = grow(bad[~b])
-            against[g], near[b] = calm[g] - other.score(good[g]), own.score(bad[b]) - other.score(bad[b])
-    forest.threshold = float(np.quantile(calm, 1 - FALSE_SHARE)) + 0.01
-    if len(bad) >= 20:
-        forest.bad, forest.margin = grow(bad), best_margin(against, calm > forest.threshold, near)
+    both = bad >= 20
+    forests = forests_of(known, sizes if both else {k: n for k, n in sizes.items() if k[0]})
+    seen = base.stored(calibration(known, forests), "calibration")
+    # Only counts by steps come to the driver, at most 2 STEPS a label.
+    calm = seen.where("quality = 1").groupBy("step").count().orderBy("step").toPandas()
+    forest = forests[1, -1]
+    forest.threshold = quantile_of(calm["step"].to_numpy() / STEPS, calm["count"].to_numpy(), 1 - FALSE_SHARE) + 0.01
+    if both:
+        near = seen.groupBy("quality", "near", (F.col("calm") > forest.threshold).alias("lost")).count().toPandas()
+        g, b = near[near["quality"] == 1], near[near["quality"] == 0]
+        forest.bad = forests[0, -1]
+        forest.margin = best_margin(g["near"].to_numpy() / STEPS, g["lost"].to_numpy(bool), b["near"].to_numpy() / STEPS, times=(g["count"].to_numpy(float), b["count"].to_numpy(float)))
     return forest
 
 
