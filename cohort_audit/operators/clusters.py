@@ -69,6 +69,22 @@ def keyed(df: DataFrame) -> DataFrame:
     return df.withColumn("key", F.xxhash64("cluster"))
 
 
+def _summed(weights: np.ndarray, row: np.ndarray, values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of ``values * weights[row]`` over the stretches that begin at ``first``: the j-th entries of all stretches at a time."""
+    size = np.diff(first, append=len(row))
+    order = np.argsort(-size, kind="stable")
+    begin, left = first[order], size[order]
+    plain = bool((values == 1).all())
+    out = np.zeros((len(first), weights.shape[1]), weights.dtype)
+    for j in range(int(left[0])):
+        at = begin[: np.searchsorted(-left, -j, "left")] + j
+        x = weights[row[at]]
+        out[: len(at)] += x if plain else x * values[at, None].astype(weights.dtype)
+    back = np.empty_like(order)
+    back[order] = np.arange(len(order))
+    return out[back]
+
+
 class _Matrix:
     """Sums of two values by (attribute, group, cell) and replicate."""
 
@@ -89,10 +105,14 @@ class _Matrix:
         while len(self.place) > len(self.sums):
             self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
         row, values = place[order], part[["a", "b"]].to_numpy(float)[order]
-        for lo in range(0, weights.shape[1], CHUNK):
-            w = weights[row, lo : lo + CHUNK]
-            for i in (0, 1):
-                self.sums[at, i, lo : lo + CHUNK] += np.add.reduceat(w * values[:, i : i + 1], first, axis=0)
+        # Whole sums below 2**24 are exact in four bytes.
+        whole = bool((values == np.floor(values)).all()) and np.abs(values).sum() * max(float(weights.max()), 1.0) < 1 << 24
+        w, number = weights.astype(np.float32 if whole else float), np.repeat(np.arange(len(first)), np.diff(first, append=len(row)))
+        for i in (0, 1):
+            some = np.flatnonzero(values[:, i])
+            if len(some):
+                here = np.flatnonzero(np.diff(number[some], prepend=-1))
+                self.sums[at[number[some[here]]], i] += _summed(w, row[some], values[some, i], here)
 
     def pieces(self, part: int) -> Iterator[pd.DataFrame]:
         of: dict[tuple, list[int]] = {}

@@ -3,6 +3,7 @@
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,6 +73,26 @@ def test_samples_equal_a_replay(spark, monkeypatch, fill):
             assert ace[group, i] == pytest.approx(resampling._weighted_ace(x, n0 + n1, n1, 10, 5), abs=1e-6)
 
 
+@pytest.mark.parametrize("value", [1, 3, 0.25, 1 << 23])
+def test_sums_of_a_bucket_pass_over_its_rows_once(value, monkeypatch):
+    """Sums against a direct product; and no more than a layer of the stretches is read at a time, each row's weights once."""
+    rng = np.random.default_rng(8)
+    part = pd.DataFrame({"key": np.sort(rng.integers(0, 40, 900)), "attribute": "a", "group": rng.choice(["x", "y"], 900), "cell": rng.integers(0, 25, 900), "a": value, "b": rng.integers(0, 2, 900)})
+    w = rng.poisson(1, (part["key"].nunique(), 130))
+    read = []
+    plain = clusters._summed
+    monkeypatch.setattr(clusters, "_summed", lambda weights, row, *rest: read.append(len(row)) or plain(weights, row, *rest))
+    m = clusters._Matrix(130)
+    m.add(part, w)
+    m.add(part, w)
+    assert read == [900, part["b"].sum()] * 2  # rows without a positive are not multiplied
+    at = np.unique(part["key"], return_inverse=True)[1]
+    for (_, g, c), i in m.place.items():
+        own = ((part["group"] == g) & (part["cell"] == c)).to_numpy()
+        for k, column in enumerate("ab"):
+            assert m.sums[i, k] == pytest.approx(2 * (part[column].to_numpy(float)[own] @ w[at[own]]), rel=1e-12)
+
+
 def test_held_matrices_are_flushed(spark, monkeypatch):
     df = cohort(spark)
     want = sorted(map(tuple, resampling.cluster_auroc(df, ["g"], 60).collect()), key=str)
