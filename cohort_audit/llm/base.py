@@ -43,9 +43,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
+    swept(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def swept(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more.
+
+    It does so after garbage collections of the driver, which are rare where the heap has room; until then the files of every plan
+    add up on the disk, with many partitions mostly as small files.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 class Scratch:
     """Tables of the shared folder that are deleted together, once what was made of them is stored itself."""
 
@@ -56,6 +67,7 @@ class Scratch:
         path = shared_path(self.spark, name)
         self.paths.append(path)
         df.write.parquet(path)
+        swept(self.spark)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def clear(self) -> None:

@@ -158,7 +158,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return base.split_join(base.split_join(pairs, right, ["b"], heavy("b"), ["a"]), left, ["a"], heavy("a"), ["b"]).where(near).select("a", "b")
 
 
-def prefix_pairs(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def prefix_pairs(nodes: DataFrame, sets: DataFrame, similarity: float, scratch: base.Scratch | None = None) -> DataFrame:
     """All pairs (a, b) of ``nodes`` (node, of) of different ``of`` that can have the similarity, by prefix filtering.
 
     Sets of n shingles that are similar enough share one of their n - ceil(similarity * n) + 1 rarest shingles, whatever
@@ -168,7 +168,7 @@ def prefix_pairs(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFr
     texts that share a template and are too far for a link have more of them than the smaller set's share, so
     the template's shingles are not looked up at all, however many texts have it; nearer ones are in one class by now.
     """
-    head, heavy = prefix_heads(nodes, sets, similarity)
+    head, heavy = prefix_heads(nodes, sets, similarity, scratch)
     other = looked_up(head, similarity).select("shingle", F.col("node").alias("other"), F.col("of").alias("other_of"), F.col("n").alias("other_n"), F.col("place").alias("other_place"))
     fits = (F.col("of") != F.col("other_of")) & ((F.col("other_n") < F.col("n")) | ((F.col("other_n") == F.col("n")) & (F.col("other") < F.col("node")))) & (F.col("other_n") >= similarity * F.col("n"))
     fits = fits & (1 + F.least(F.col("n") - F.col("place"), F.col("other_n") - F.col("other_place")) >= similarity / (1 + similarity) * (F.col("n") + F.col("other_n")) - 1e-9)
@@ -180,27 +180,30 @@ def looked_up(head: DataFrame, similarity: float) -> DataFrame:
     return head.where(F.col("place") <= F.col("n") - F.ceil(2 * similarity / (1 + similarity) * F.col("n") - 1e-9) + 1)
 
 
-def prefix_heads(nodes: DataFrame, sets: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+def prefix_heads(nodes: DataFrame, sets: DataFrame, similarity: float, scratch: base.Scratch | None = None) -> tuple[DataFrame, DataFrame]:
     """shingle, node, of, n, place: the rarest shingles of each node that nodes of other classes have too; and the heavy shingles."""
     whole = nodes.join(sets.withColumnRenamed("doc_id", "node"), "node").select("node", "of", F.xxhash64("shingles").alias("part"), F.size("shingles").alias("n"), "shingles")
     rows = whole.select("node", "of", "part", "n", F.explode("shingles").alias("shingle"))  # the hash is taken once a text
-    rows = base.stored(rows, "prefix")
-    often = base.stored(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("m")), "often")
+    store = scratch or base
+    rows = store.stored(rows, "prefix")
+    often = store.stored(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("m")), "often")
     place = F.row_number().over(Window.partitionBy("node", "part").orderBy("m", "shingle"))  # a text's own shingles
     heavy = often.where(F.col("m") > base.HEAVY)
     head = base.split_join(rows, often, ["shingle"], heavy, ["node"]).withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1)
-    head = base.stored(head.where("m > 1").select("shingle", "node", "of", "n", "place"), "heads")
+    head = store.stored(head.where("m > 1").select("shingle", "node", "of", "n", "place"), "heads")
     mixed = head.groupBy("shingle").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo <> hi").select("shingle")
-    head = base.stored(base.split_join(head, mixed, ["shingle"], heavy, ["node"]), "heads")
+    head = store.stored(base.split_join(head, mixed, ["shingle"], heavy, ["node"]), "heads")
     return head, heavy
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: base.Scratch | None = None) -> DataFrame:
     """``id`` and ``class_id`` (the least id of its connected component) of every node of the edges (a, b).
 
-    Large-star and small-star steps by turns; each step's edges are written, so a lost executor costs one step.
+    Large-star and small-star steps by turns; each step's edges are written, so a lost executor costs one step, and
+    deleted after the next one; the last ones are deleted with ``scratch``.
     """
-    now = base.stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    held = base.Scratch(edges.sparkSession)
+    now = held.stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     last = None
     while True:
         both = now.union(now.select("b", "a"))
@@ -209,11 +212,16 @@ def components(edges: DataFrame) -> DataFrame:
         large = large.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))  # a node's rows are its neighbours' least nodes: a few components so far
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        now = base.stored(small, "edges")
+        step = base.Scratch(edges.sparkSession)
+        now = step.stored(small, "edges")
+        held.clear()
+        held = step
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == last:
             break
         last = state
+    if scratch is not None:
+        scratch.paths += held.paths
     return now.select(F.col("a").alias("id"), F.col("b").alias("class_id")).union(now.select(F.col("b").alias("id"), F.col("b").alias("class_id")).distinct())
 
 
@@ -224,13 +232,14 @@ def repeated_ids(rows: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row a document: ``doc_id``, ``copy_of`` (least id of its word sequence) and ``class_id`` (least id of its class)."""
+    scratch = base.Scratch(docs.sparkSession)
     table = base.stored(sketches(docs), "sketches")
     nodes = table.where("doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("copies"))
     nodes = base.stored(nodes, "nodes")
     rows = nodes.where("bands is not null").select("node", F.explode("bands").alias("band"))
-    heads = base.stored(rows.groupBy("band").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1"), "bands")
-    buckets = base.stored(base.split_join(rows, heads.select("band", "head"), ["band"], heads.where(F.col("n") > base.HEAVY), ["node"]), "buckets")
-    stars = base.stored(buckets.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    heads = scratch.stored(rows.groupBy("band").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1"), "bands")
+    buckets = scratch.stored(base.split_join(rows, heads.select("band", "head"), ["band"], heads.where(F.col("n") > base.HEAVY), ["node"]), "buckets")
+    stars = scratch.stored(buckets.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     used = buckets.select(F.col("node").alias("doc_id")).union(stars.select("a")).distinct()
     of_used = docs.select("doc_id", "text").join(used, "doc_id", "left_semi")
     links, ids = None, repeated_ids(table)
@@ -239,18 +248,19 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         of_used = of_used.join(ids, "doc_id", "left_anti").union(of_used.join(ids, "doc_id", "left_semi").distinct())
         own = table.join(ids, "doc_id", "left_semi").join(nodes.select("k1", "k2", "node"), ["k1", "k2"]).select("doc_id", "node").distinct()
         links = own.join(own.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").where("node <> a").select("a", F.col("node").alias("b")).distinct()
-    sets = base.stored(shingle_sets(of_used), "shingles")
+    sets = scratch.stored(shingle_sets(of_used), "shingles")
     near = verified(stars, sets, similarity)
-    links = base.stored(near.union(links) if links is not None else near, "links")
-    classes = components(links)
+    links = scratch.stored(near.union(links) if links is not None else near, "links")
+    classes = components(links, scratch)
     # Nodes of a bucket whose classes still differ.
     member = buckets.join(classes.withColumnRenamed("id", "node"), "node", "left").select("band", "node", F.coalesce("class_id", "node").alias("of"))
     mixed = member.groupBy("band").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo <> hi").select("band")
-    open_nodes = base.stored(base.split_join(member, mixed, ["band"], heads.where(F.col("n") > base.HEAVY), ["node"]).select("node", "of").distinct(), "open")
-    cross = prefix_pairs(open_nodes, sets, similarity)
-    cross = base.stored(cross.join(stars, ["a", "b"], "left_anti"), "cross")
-    more = base.stored(verified(cross, sets, similarity), "links")
-    classes = base.stored(components(links.union(more)), "classes") if not more.isEmpty() else base.stored(classes, "classes")
+    open_nodes = scratch.stored(base.split_join(member, mixed, ["band"], heads.where(F.col("n") > base.HEAVY), ["node"]).select("node", "of").distinct(), "open")
+    cross = prefix_pairs(open_nodes, sets, similarity, scratch)
+    cross = scratch.stored(cross.join(stars, ["a", "b"], "left_anti"), "cross")
+    more = scratch.stored(verified(cross, sets, similarity), "links")
+    classes = base.stored(components(links.union(more), scratch), "classes") if not more.isEmpty() else base.stored(classes, "classes")
+    scratch.clear()
     of = nodes.select("k1", "k2", "node").join(classes.withColumnRenamed("id", "node"), "node", "left").select("k1", "k2", "node", F.coalesce("class_id", "node").alias("class_id"))
     copied = nodes.where(F.col("copies") > base.HEAVY).select("k1", "k2")
     found = base.split_join(table.select("doc_id", "k1", "k2"), of, ["k1", "k2"], copied, ["doc_id"], "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("copy_of"), F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"))

@@ -26,6 +26,7 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: rows without a letter, or too far from every learned language, go."""
     base.give_back()  # what the stage before has freed in the driver
+    base.swept(spark)  # and on the disk
     return langid.known(docs, langid.fit(docs.where(~langid.held_out())))
 
 
@@ -36,6 +37,7 @@ def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     with two unlike texts keeps both. Of equal rows one stays.
     """
     base.give_back()  # what the stage before has freed in the driver
+    base.swept(spark)  # and on the disk
     # Each row travels as one struct, so columns of any name clash with nothing.
     key = F.lit(1 << 62).bitwiseOR(F.xxhash64("id", "text").bitwiseAND(F.lit((1 << 62) - 1)))
     rows = docs.select(base.whole_row(docs).alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
@@ -60,6 +62,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     In bytes such passages are of any length (the 400 bytes of the operator's own query miss most), so words are counted.
     """
     base.give_back()  # what the stage before has freed in the driver
+    base.swept(spark)  # and on the disk
     cut = suffixes.without_repeats(docs, suffixes.PASSAGES)
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
 
@@ -67,6 +70,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: pieces of the documents and their places in sequences of 1024 tokens."""
     base.give_back()  # what the stage before has freed in the driver
+    base.swept(spark)  # and on the disk
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024)
 
 

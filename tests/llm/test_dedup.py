@@ -3,6 +3,7 @@
 import hashlib
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -238,3 +239,13 @@ def test_split_join_is_a_join(spark, how, monkeypatch):
     heavy = many.groupBy("k").count().where("count > 100")
     got = base.split_join(many, few, ["k"], heavy, ["v"], how)
     assert sorted(map(repr, got.collect())) == sorted(map(repr, many.join(few, "k", how).collect()))
+
+
+def test_near_duplicates_leave_only_what_they_read(spark, docs, monkeypatch):
+    """Tables of the steps are gone before the classes are read; those left are the sketches, ids, nodes and classes."""
+    made, plain = [], base.shared_path
+    monkeypatch.setattr(base, "shared_path", lambda *a: made.append(plain(*a)) or made[-1])
+    found = minhash.near_duplicates(docs)
+    left = [Path(p).name.rsplit("-", 1)[0] for p in made if Path(p).exists()]
+    assert len(made) > 10 and sorted(left) == ["classes", "ids", "nodes", "sketches"]
+    assert found.count() == docs.count()
