@@ -23,7 +23,8 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from . import base
@@ -151,9 +152,8 @@ def kneser_ney(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Models:
     return Models(languages, codes, logp, contexts, back, float(np.log2(back[0].shape and 1 / size)), {})
 
 
-def calibrate(models: Models, texts: list[str], langs: list[str]) -> None:
-    """Fit the score and the rejection to labelled texts that were not counted."""
-    ce, letters = models.entropies(texts)
+def calibrate(models: Models, ce: np.ndarray, letters: np.ndarray, langs: list[str]) -> None:
+    """Fit the score and the rejection to cross-entropies and letters of labelled texts that were not counted."""
     ok = letters > 0
     ce, letters = ce[ok], letters[ok]
     truth = np.array([models.languages.index(x) for x in langs])[ok]
@@ -224,21 +224,39 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Models | None:
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes)), base.to_long(codes), pa.array(n)], ["lang", "code", "n"])
 
     grams = sample.where(~F.col("held")).select("text", "lang").mapInArrow(count, "lang string, code long, n long")
-    # Bounded: n-grams of at most ``per_language`` documents a language.
-    table = grams.groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
+    # Bounded: n-grams of at most ``per_language`` documents a language. They come as Arrow columns, without a Python object a row.
+    table = grams.groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
     counts = {}
-    for lang, g in table.groupby("lang"):
-        code = g["code"].to_numpy().view(np.uint64)
+    for lang in pc.unique(table["lang"]).to_pylist():
+        own = table.filter(pc.equal(table["lang"], lang))
+        code = own["code"].to_numpy().view(np.uint64)
         order = np.argsort(code)
-        counts[lang] = code[order], g["n"].to_numpy()[order]
+        counts[lang] = code[order], own["n"].to_numpy()[order]
     if not counts:
         return None
     models = kneser_ney(counts)
-    spare = sample.where(F.col("held") & F.col("lang").isin(list(counts))).select("text", "lang").collect()  # a tenth of the sample
-    calibrate(models, [r["text"] for r in spare], [r["lang"] for r in spare])
+    # A tenth of the sample. Its whole texts stay in the tasks; a row of a few numbers a text comes back.
+    spare = cross_entropies(sample.where(F.col("held") & F.col("lang").isin(list(counts))).select("text", "lang"), models)
+    calibrate(models, np.array([r["ce"] for r in spare]).reshape(-1, len(counts)), np.array([r["letters"] for r in spare], np.int64), [r["lang"] for r in spare])
     return models
 
 
+def cross_entropies(labelled: DataFrame, models: Models) -> list[Row]:
+    """``lang``, ``letters`` and ``ce`` (bits a symbol by language) of every text."""
+    shared = labelled.sparkSession.sparkContext.broadcast(pickle.dumps(models))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: Models = pickle.loads(shared.value)
+        for whole in batches:
+            for batch in base.row_chunks(whole, most=1 << 20):
+                ce, letters = own.entropies(base.texts_of(batch))
+                yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(letters), pa.array(list(ce), pa.list_(pa.float64()))], ["lang", "letters", "ce"])
+
+    out = base.batched(labelled).mapInArrow(run, "lang string, letters long, ce array<double>").collect()
+    shared.destroy()
+    return out
+
+
 def identify(docs: DataFrame, models: Models | None) -> DataFrame:
     """``doc_id``, ``lang_pred``, ``score``, ``cross_entropy`` and ``rejected`` of every whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(models))

@@ -3,7 +3,9 @@
 import hashlib
 import html
 import math
+import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -74,6 +76,24 @@ def test_op2_edges(spark, docs, no_docs):
 # ---- media -----------------------------------------------------------------------------------------------------------
 
 
+def test_op2_texts_stay_in_the_tasks(spark):
+    """What fitting takes of the driver's Python doesn't grow with the texts' lengths; the calibration is that of the texts themselves."""
+    words = {"aa": "abc abd acb bca cab dab", "bb": "xyz xzy zyx yxz wyx zwx"}
+    rows = [(i, " ".join(random.Random(i).choices(words[lang].split(), k=30_000)), lang) for i in range(120) for lang in [("aa", "bb")[i % 2]]]
+    docs = base.stored(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "long")
+    held = docs.where(base.id_share() < 0.1).select("text", "lang").collect()
+    assert len(held) > 5
+    tracemalloc.start()
+    models = langid.fit(docs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 << 20
+    got = models.calibration
+    langid.calibrate(models, *models.entropies([r["text"] for r in held]), [r["lang"] for r in held])
+    for k, x in got.items():
+        assert np.allclose(x, models.calibration[k], rtol=1e-9)
+
+
 def test_pages_give_ordered_items():
     page = '<p>One &amp; two</p><figure><img src="sha256:aa" alt="A"><img src="bb"><figcaption>Both</figcaption></figure>tail<img srcset="cc 1x, dd 2x" alt="C"><img><script>var x="<p>no</p>"</script>'
     items = media.parse(page)
