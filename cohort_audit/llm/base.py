@@ -116,12 +116,13 @@ def give_back() -> None:
 
 
 def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A function of batches that gives back its memory once a task's batches are done."""
+    """A function of batches that gives back its memory, and the powers that :class:`Rolling` keeps, once a task's batches are done."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             yield from run(batches)
         finally:
+            Rolling._powers.clear()
             give_back()
 
     return whole
@@ -202,7 +203,7 @@ def kept_rows(docs: DataFrame, keep: Callable[[pa.RecordBatch], np.ndarray], mos
             for lo, hi, _, _ in byte_chunks(texts, "text", most):
                 yield batch.slice(lo, hi - lo).filter(pa.array(keep(texts.slice(lo, hi - lo))))
 
-    return docs.toDF(*plain).mapInArrow(run, schema).toDF(*names)
+    return docs.toDF(*plain).mapInArrow(frugal(run), schema).toDF(*names)
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:

@@ -223,7 +223,7 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Models | None:
                     codes, n = np.unique(code[langs == lang], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes)), base.to_long(codes), pa.array(n)], ["lang", "code", "n"])
 
-    grams = sample.where(~F.col("held")).select("text", "lang").mapInArrow(count, "lang string, code long, n long")
+    grams = sample.where(~F.col("held")).select("text", "lang").mapInArrow(base.frugal(count), "lang string, code long, n long")
     # Bounded: n-grams of at most ``per_language`` documents a language. They come as Arrow columns, without a Python object a row.
     table = grams.groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
     counts = {}
@@ -252,7 +252,7 @@ def cross_entropies(labelled: DataFrame, models: Models) -> list[Row]:
                 ce, letters = own.entropies(base.texts_of(batch))
                 yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(letters), pa.array(list(ce), pa.list_(pa.float64()))], ["lang", "letters", "ce"])
 
-    out = base.batched(labelled).mapInArrow(run, "lang string, letters long, ce array<double>").collect()
+    out = base.batched(labelled).mapInArrow(base.frugal(run), "lang string, letters long, ce array<double>").collect()
     shared.destroy()
     return out
 
@@ -267,7 +267,7 @@ def identify(docs: DataFrame, models: Models | None) -> DataFrame:
             for batch in base.row_chunks(whole, most=1 << 20):
                 yield _predict(own, batch)
 
-    return base.id_text(docs).mapInArrow(run, "doc_id long, lang_pred string, score double, cross_entropy double, rejected boolean")
+    return base.id_text(docs).mapInArrow(base.frugal(run), "doc_id long, lang_pred string, score double, cross_entropy double, rejected boolean")
 
 
 def known(docs: DataFrame, models: Models | None) -> DataFrame:

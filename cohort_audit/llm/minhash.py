@@ -129,7 +129,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * BANDS, pa.int32()), base.to_long(bands.ravel()), mask=pa.array(n == 0))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, rows), base.to_long(keys[0]), base.to_long(keys[1]), lists], ["doc_id", "k1", "k2", "bands"])
 
-    return base.id_text(docs).mapInArrow(run, "doc_id long, k1 long, k2 long, bands array<long>")
+    return base.id_text(docs).mapInArrow(base.frugal(run), "doc_id long, k1 long, k2 long, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -142,7 +142,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                 ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=hi - lo))])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), base.to_long(h))], ["doc_id", "shingles"])
 
-    return base.id_text(docs).mapInArrow(run, "doc_id long, shingles array<long>")
+    return base.id_text(docs).mapInArrow(base.frugal(run), "doc_id long, shingles array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:

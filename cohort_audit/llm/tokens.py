@@ -11,14 +11,16 @@ import json
 import os
 import re
 from array import array
+from codecs import charmap_decode
 from collections.abc import Callable
 from functools import lru_cache
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 
 #: White space of the tokenizers' patterns (the Unicode property), written out since Python's own class differs.
 SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: Distinct chunks a worker remembers.
+#: Distinct chunks a worker remembers of each kind; about 170 bytes each.
 MEMO = 700_000
 
 
@@ -34,8 +36,8 @@ def load(path: str):
     return t
 
 
-@lru_cache(8)
 def spec(path: str) -> dict:
+    """The JSON of a file. It is read anew each time: parsed it takes some 30 MB, which a worker would hold for good."""
     with open(path, encoding="utf-8") as f:
         return json.load(f)
 
@@ -71,6 +73,28 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class Memo:
+    """The ids of chunks met lately: at most ``most`` in two generations, besides those of the texts at hand.
+
+    A full generation becomes the old one, and what the old one still holds when the next is full is forgotten; a chunk that is met
+    again moves to the young one, so frequent ones stay.
+    """
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def unknown(self, chunks: set[str]) -> set[str]:
+        """Those of ``chunks`` that are not remembered; the others are in ``young`` afterwards."""
+        if 2 * len(self.young) > self.most:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        new = {c for c in chunks if c not in young}  # not by the views of keys, which go through the whole memo
+        again = [c for c in new if c in old]
+        young.update((c, old.pop(c)) for c in again)
+        new.difference_update(again)
+        return new
+
+
 class Encoder:
     """``encode(texts)``: the ids of each text as little-endian bytes, two an id while the vocabulary allows.
 
@@ -80,7 +104,7 @@ class Encoder:
     """
 
     def __init__(self, path: str, merge: Callable[[list[str]], list[list[int]]] | None = None, memo: int = MEMO):
-        self.path, self.memos, self.most, self.library = path, ({}, {}), memo, load(path)
+        self.path, self.memos, self.most, self.library = path, (Memo(memo), Memo(memo)), memo, load(path)
         x = spec(path)
         self.keep_spaces = kind_of(x) == "bytes"
         self.vocab_size = max([*x["model"]["vocab"].values(), *(a["id"] for a in x["added_tokens"])]) + 1
@@ -94,7 +118,7 @@ class Encoder:
         else:
             self.split, self.cut = re.compile(short + f"[{LETTERS}]+|[0-9]|[{MARKS}]+"), re.compile("[^ \\n\\r\\t]+")
         shown = byte_alphabet()
-        self.shown = {c: "".join(shown[b] for b in chr(c).encode()) for c in [10, 32, *range(33, 127), *range(192, 256)] if "".join(shown[b] for b in chr(c).encode()) != chr(c)}
+        self.shown = "".join(shown[b] for b in range(256))
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.merge = merge or self.by_library
 
@@ -126,18 +150,17 @@ class Encoder:
     def between(self, texts: list[str]) -> list[bytes]:
         """The ids of texts without an added token's string."""
         cut = [self.parts(t) for t in texts]
-        for memo in self.memos:
-            if len(memo) > self.most:
-                memo.clear()
         words, chunks = set(), set()
         for kind, ws in cut:
             (chunks if kind else words).update(ws)
-        words -= self.memos[0].keys()
-        spans = {w: self.pretokens(w) for w in chunks - self.memos[1].keys()}
-        space, feed = self.shown[32], self.shown[10]
-        mapped = {w: w.replace(" ", space).replace("\n", feed) if w.isascii() else w.translate(self.shown) for w in words}
+        words = self.memos[0].unknown(words)
+        spans = {w: self.pretokens(w) for w in self.memos[1].unknown(chunks)}
+        mapped = {w: w if w.isascii() and not self.keep_spaces else charmap_decode(w.encode(), "strict", self.shown)[0] for w in words}
         todo = list({*mapped.values(), *(p for ps in spans.values() for p in ps)})
-        ids = {p: array(self.code, x).tobytes() for p, x in zip(todo, self.merge(todo), strict=True)}
-        self.memos[0].update((w, ids[p]) for w, p in mapped.items())
-        self.memos[1].update((w, b"".join([ids[p] for p in ps])) for w, ps in spans.items())
-        return [b"".join(map(self.memos[kind].__getitem__, ws)) for kind, ws in cut]
+        merged = self.merge(todo)
+        flat = array(self.code, chain.from_iterable(merged)).tobytes()
+        ends = [self.dtype.itemsize * n for n in accumulate(map(len, merged), initial=0)]
+        ids = {p: flat[a:b] for p, (a, b) in zip(todo, pairwise(ends), strict=True)}
+        self.memos[0].young.update((w, ids[p]) for w, p in mapped.items())
+        self.memos[1].young.update((w, b"".join([ids[p] for p in ps])) for w, ps in spans.items())
+        return [b"".join(map(self.memos[kind].young.__getitem__, ws)) for kind, ws in cut]

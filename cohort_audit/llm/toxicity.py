@@ -212,7 +212,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index |
                     n += 1
             yield pa.RecordBatch.from_arrays([pa.array(["", *seen], pa.string()), pa.array([n, *seen.values()], pa.int64())], ["term", "n"])
 
-        part = texts.where(F.col("toxic") == int(toxic)).select("text").mapInArrow(run, "term string, n long")
+        part = texts.where(F.col("toxic") == int(toxic)).select("text").mapInArrow(base.frugal(run), "term string, n long")
         sums = part.groupBy("term").agg(F.sum("n").alias("n"))
         often = sums.where((F.col("n") >= LEAST_ROWS) | (F.col("term") == "")) if among is None else sums
         return Counter({r["term"]: r["n"] for r in often.collect()})  # terms of several toxic rows of the bounded sample
@@ -244,7 +244,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index |
             found = [list(term_counts(x, pool).items()) for x in base.texts_of(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(found, pa.map_(pa.string(), pa.int64()))], ["doc_id", "toxic", "counts"])
 
-    rows = [(r["doc_id"], r["toxic"], r["counts"]) for r in texts.select("doc_id", "toxic", "text").mapInArrow(vectors, "doc_id long, toxic int, counts map<string,long>").orderBy("doc_id").collect()]  # at most ``examples`` short rows
+    rows = [(r["doc_id"], r["toxic"], r["counts"]) for r in texts.select("doc_id", "toxic", "text").mapInArrow(base.frugal(vectors), "doc_id long, toxic int, counts map<string,long>").orderBy("doc_id").collect()]  # at most ``examples`` short rows
     bare = [y for _, y, c in rows if not c]
     rest = (sum(bare) + 0.5) / (len(bare) + 1 + 0.5 / max(rate, 1e-3))
     return build(rows, len(rows), {t: bad[t] + good[t] for t in chosen}, chosen, rest)
@@ -263,7 +263,7 @@ def score(docs: DataFrame, index: Index | None, threshold: float = THRESHOLD) ->
                 evidence = [own.ids[near[:3]].tolist() if own is not None and len(near) else [] for _, near in found]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s), pa.array((s >= threshold).astype(np.int32)), pa.array(evidence, pa.list_(pa.int64()))], ["doc_id", "score", "predicted", "evidence"])
 
-    return base.id_text(docs).mapInArrow(run, "doc_id long, score double, predicted int, evidence array<long>")
+    return base.id_text(docs).mapInArrow(base.frugal(run), "doc_id long, score double, predicted int, evidence array<long>")
 
 
 def clean(docs: DataFrame, index: Index | None, threshold: float = THRESHOLD) -> DataFrame:

@@ -1,6 +1,8 @@
 """Operators 4, 6, 7 and 8 against the tokenizers library."""
 
+import gc
 import hashlib
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -48,6 +50,32 @@ def test_added_tokens_and_other_files(path, tmp_path):
         tokens.Encoder(str(other))
 
 
+def test_frequent_words_stay_in_a_bounded_memo():
+    """Words met again and again are merged once, however many others come between; of these few are remembered."""
+    e = tokens.Encoder(BYTE, memo=1000)
+    merged, merge = [], e.merge
+    e.merge = lambda todo: merged.extend(todo) or merge(todo)
+    often = [f" word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(100)]
+    letters = "abcdefghij"
+    for k in range(60):
+        rare = [" x" + "".join(letters[int(c)] for c in f"{k * 100 + i:05d}") for i in range(100)]
+        text = "".join(often + rare)
+        assert np.frombuffer(e.encode([text])[0], e.dtype).tolist() == e.library.encode(text, add_special_tokens=False).ids
+        assert sum(len(g) for g in vars(e.memos[0]).values() if isinstance(g, dict)) <= 1000 + 200
+    assert len(merged) == len(set(merged))
+
+
+def test_a_worker_holds_no_parsed_file():
+    tokens.load(BYTE)
+    gc.collect()
+    tracemalloc.start()
+    e = tokens.Encoder(BYTE)
+    gc.collect()
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 4 << 20 and tokens.spec(BYTE) is not tokens.spec(BYTE) and e.vocab_size > 50_000
+
+
 def test_pair_index_lets_lower_ranks_go_first(tmp_path):
     # abc arises by two merges; (abc, x) ranks between them, so it must go before the second place of the later one.
     import json
