@@ -32,8 +32,8 @@ from . import base, tokens
 #: Rounds of multiplicative weights, rate of the weights' change, how far below the best price a configuration is taken, and
 #: the shares of the fractional solution of which the best rounding stays.
 ROUNDS, RATE, NEAR, SHARES = 100, 0.5, 0.02, (1.0, 0.8, 0.6, 0.4, 0.2, 0.1)
-#: Distinct chunks that a worker remembers, and bytes of text that it takes at a time: the pipeline packs beside a full heap of the JVM.
-MEMO, CHUNK_BYTES = 500_000, 1 << 20
+#: Distinct parts that a worker remembers: the pipeline packs beside a full heap of the JVM.
+MEMO = 300_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, local long"
 
 
@@ -50,7 +50,7 @@ def pieces(docs: DataFrame, path: str, end_id: int, capacity: int) -> DataFrame:
         tail = np.array([end_id], encoder.dtype).tobytes()
         seen = [0] * (capacity + 1)
         for whole in batches:
-            for batch in base.row_chunks(whole, most=CHUNK_BYTES):
+            for batch in base.row_chunks(whole, most=tokens.CHUNK_BYTES):
                 rows: list[tuple] = []
                 for doc, x in zip(batch.column("doc_id").to_pylist(), encoder.encode(base.texts_of(batch)), strict=True):
                     raw = memoryview(np.frombuffer(x + tail, encoder.dtype).astype("<u4").tobytes())

@@ -82,7 +82,7 @@ def write(docs: DataFrame, path: str, out: str, end_id: int | None = None) -> No
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], ["part", "block", "width", "n_ids", "first_id", "last_id", "doc_ids", "doc_ends", "bits"])
 
         for whole in batches:
-            for batch in base.row_chunks(whole):
+            for batch in base.row_chunks(whole, most=tokens.CHUNK_BYTES):
                 for doc, x in zip(batch.column("doc_id").to_pylist(), encoder.encode(base.texts_of(batch)), strict=True):
                     n = (len(x) + len(tail)) // encoder.dtype.itemsize
                     if ids and size + n > BLOCK_IDS:

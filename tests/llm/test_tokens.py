@@ -65,6 +65,50 @@ def test_frequent_words_stay_in_a_bounded_memo():
     assert len(merged) == len(set(merged))
 
 
+def test_the_memo_of_columns_stays_bounded():
+    e = tokens.Encoder(BYTE, memo=1000)
+    for k in range(30):
+        e.encode([" ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + k % 26)}" for i in range(200)), "\u4e2d" * k + " x"])
+        for memo in e.memos:
+            assert len(memo.met) == len(memo.words) == len(memo.size) <= 1000 + 200 and memo.size.sum() == len(memo.ids)
+
+
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_columns_are_cut_as_the_librarys_pattern_cuts(path):
+    """Texts of a few plain characters, so that apostrophes, spaces, line feeds and ends of texts meet in every way."""
+    rng, t = np.random.default_rng(3), Tokenizer.from_file(path)
+    letters = np.array(list("  \n\n''" "'strevlmdSRE57!-éÀßÿÞ"))
+    texts = ["".join(rng.choice(letters, n)) for n in rng.integers(0, 30, 4000)]
+    texts += [x + y + z for x in ("", "a", "5", "!", " ", "\n", "'", "é") for y in ("'s", "'re", "'rx", "'S", "'l", "'ll", "'", "''s") for z in ("", "'s", "t", "5", "!", " ", "\n", "  a", " \n")]
+    e = tokens.Encoder(path, memo=500)
+    for k in range(0, len(texts), 900):
+        assert [np.frombuffer(x, e.dtype).tolist() for x in e.encode(texts[k : k + 900])] == [t.encode(x, add_special_tokens=False).ids for x in texts[k : k + 900]]
+
+
+def test_distinct_words_cost_no_calls_each():
+    """20,000 words never met before are cut, encoded and remembered as columns: fewer Python calls than words, few bytes a word."""
+    import cProfile
+    import pstats
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    text = " ".join("".join(rng.choice(list("abcdefghij"), 9)) for _ in range(20_000))
+    e = tokens.Encoder(BYTE)
+    e.encode(["warm"])
+    gc.collect()
+    tracemalloc.start()
+    arrow = pa.total_allocated_bytes()
+    e.encode([text])
+    gc.collect()
+    held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - arrow
+    tracemalloc.stop()
+    assert held < 60 * 20_000
+    profile = cProfile.Profile()
+    profile.runcall(e.encode, [text.replace("a", "z")])
+    assert pstats.Stats(profile).total_calls < 5000
+
+
 def test_a_worker_holds_no_parsed_file():
     tokens.load(BYTE)
     gc.collect()
