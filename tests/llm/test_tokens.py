@@ -295,3 +295,32 @@ def test_unigram_ties_and_unknowns():
     c = unigram.Counter(vocab)
     for x in ("abab", "ababa", "bab a", "azzb", "zz", "a z", "abaaba", ""):
         assert c.count([x])[0][0] == len(t.encode(x).ids), x
+
+
+def test_token_counts_of_random_texts():
+    """Marks, spaces, line feeds, unknown characters and long parts meet in every way; parts at once as one by one."""
+    rng, vocab = np.random.default_rng(5), unigram.vocabulary(PIECES)
+    small = [("<unk>", 0.0), ("▁", -3.0), ("a", -1.0), ("b", -1.0), ("ab", -2.0), ("ba", -2.0), ("aba", -3.0), ("▁a", -2.0), ("bab▁", -1.0), ("cab", -2.5), ("▁▁", -1.5)]
+    for v, letters, by_bytes in ((vocab, "   \n▁ab'then.%é中😀\0\r", True), (small, "   ▁aabbbc中z", False)):
+        t = Tokenizer(models.Unigram(v, 0, by_bytes))
+        t.pre_tokenizer = pre_tokenizers.Metaspace(prepend_scheme="always")
+        texts = ["".join(rng.choice(list(letters), n)) for n in rng.integers(0, 60, 1500)]
+        texts += ["", "\n", "\n\n a", "▁", "▁a", "a" * 100, "x " + "ab中" * 50 + " z", "the\n" + "then" * 30]
+        c = unigram.Counter(v, memo=50)
+        for k in range(0, len(texts), 400):
+            assert [n for n, _ in c.count(texts[k : k + 400])] == [len(t.encode(x).ids) for x in texts[k : k + 400]]
+        parts = ["".join(rng.choice(list(letters.replace(" ", "")), n)).replace("\n", "") for n in rng.integers(1, 39, 500)]
+        assert list(zip(*(x.tolist() for x in c.best_of(parts)), strict=True)) == [c.best(p) for p in parts]
+
+
+def test_distinct_parts_take_no_calls_each():
+    """The program runs once for 20,000 parts never met before: fewer Python calls than parts."""
+    import cProfile
+    import pstats
+
+    rng = np.random.default_rng(6)
+    text = " ".join("".join(rng.choice(list("abcdefghij"), 9)) for _ in range(20_000))
+    c = unigram.Counter(unigram.vocabulary(PIECES))
+    profile = cProfile.Profile()
+    profile.runcall(c.count, [text])
+    assert pstats.Stats(profile).total_calls < 5000
